@@ -21,9 +21,11 @@ def parse_events(df: DataFrame, value: str = "value", schema: T.StructType = ING
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     kept = [c for c in df.columns if c != value]
     text = F.col(value).cast("string")
-    return df.select(*kept, text.alias(value), F.from_json(text, full, options).alias("_e")).select(
-        *kept, value, "_e.*"
-    )
+    parsed = df.select(*kept, text.alias(value), F.from_json(text, full, options).alias("_e"))
+    # Blank text parses to no object at all, without a complaint.
+    corrupt = F.when(F.col("_e").isNull(), F.col(value)).otherwise(F.col(f"_e.{_CORRUPT}"))
+    fields = [F.col(f"_e.{name}") for name in schema.names]
+    return parsed.select(*kept, value, *fields, corrupt.alias(_CORRUPT))
 
 
 def encode_events(df: DataFrame, cols: Sequence[str] = ("doc_id", "user_id", "file_path", "file_name")):

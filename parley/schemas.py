@@ -108,5 +108,6 @@ ROLE_ROWS = (
 
 
 def role_seeds(spark: SparkSession) -> DataFrame:
-    """The seeded roles as an inline table."""
-    return spark.createDataFrame(list(ROLE_ROWS), ROLES)
+    """The seeded roles as an inline table, whose size the planner knows."""
+    values = ", ".join(f"({n}, '{name}', '{permissions}')" for n, name, permissions in ROLE_ROWS)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS roles({', '.join(ROLES.names)})")

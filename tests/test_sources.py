@@ -1,0 +1,88 @@
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from parley.operators import analytics
+from parley.session import shared_dir
+from parley.sources import readers, sinks
+
+
+def test_jdbc_options():
+    o = readers.jdbc_options("jdbc:x", "chat_logs", "id", (1, 100_000), user="u")
+    assert o == {
+        "url": "jdbc:x",
+        "dbtable": "chat_logs",
+        "partitionColumn": "id",
+        "lowerBound": "1",
+        "upperBound": "100000",
+        "numPartitions": "4",
+        "fetchsize": "5000",
+        "user": "u",
+    }
+    assert readers.postgres_url("h", 5432, "d") == "jdbc:postgresql://h:5432/d?stringtype=unspecified"
+
+
+def test_kafka_options():
+    assert readers.kafka_source_options("a:1")["startingOffsets"] == "earliest"
+    sink = sinks.kafka_sink_options("a:1")
+    assert (sink["kafka.acks"], sink["kafka.retries"], sink["topic"]) == ("all", "3", "document.ingestion.events")
+
+
+def test_overwrite_drops_null_keys_and_counts_them(spark, tmp_path):
+    target = str(tmp_path / "t")
+    logs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id int, user_id string")
+    counts = analytics.interaction_counts(logs)
+    for _ in range(2):
+        assert sinks.write_overwrite(counts, target, "user_id", ["total_interactions"]) == 1
+    got = spark.read.parquet(target)
+    assert got.schema["total_interactions"].dataType.simpleString() == "int"
+    assert rows(got.select("user_id", "total_interactions")) == [("a", 2)]
+
+
+def test_overwrite_rejects_counts_that_do_not_fit(spark, tmp_path):
+    df = spark.createDataFrame([("a", 2**31), ("b", 2**31 - 1)], "k string, n long")
+    assert sinks.write_overwrite(df, str(tmp_path / "t"), "k", ["n"]) == 1
+    good, bad = sinks.prepare_overwrite(df, "k", ["n"])
+    assert rows(good) == [("b", 2**31 - 1)] and rows(bad) == [("a", 2**31)]
+
+
+def test_events_round_trip_through_text(spark, tmp_path):
+    path = str(tmp_path / "events")
+    df = spark.createDataFrame([("d", "u", "/p", "n")], "doc_id string, user_id string, file_path string, file_name string")
+    sinks.write_events(df, "text", {"path": path})
+    stream = readers.read_events(spark, "text", {"path": path})
+    assert stream.isStreaming
+    query = stream.writeStream.format("memory").queryName("round_trip").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert rows(spark.table("round_trip").drop("value", "_corrupt")) == rows(df)
+
+
+def test_files_by_suffix(spark, tmp_path):
+    for name in ("a.pdf", "b.PDF", "c.txt", "d.pdf"):
+        (tmp_path / name).write_bytes(name.encode())
+    got = readers.read_files(spark, str(tmp_path)).select("content").collect()
+    assert sorted(bytes(r[0]) for r in got) == [b"a.pdf", b"d.pdf"]
+
+
+def test_chunk_batches_replace_themselves_and_earlier_deliveries(spark, tmp_path):
+    target = str(tmp_path / "chunks")
+
+    def batch(doc, n, tag):
+        return spark.createDataFrame([(doc, i, f"{tag}{i}", [1.0]) for i in range(n)], "doc_id string, chunk_idx int, chunk_text string, embedding array<float>")
+
+    sinks.write_chunks(batch("a", 3, "x"), target, 0)
+    sinks.write_chunks(batch("a", 3, "x"), target, 0)  # the batch runs again
+    assert sinks.read_chunks(spark, target).count() == 3
+    sinks.write_chunks(batch("a", 2, "y").unionByName(batch("b", 1, "z")), target, 1)
+    got = sinks.read_chunks(spark, target)
+    assert rows(got.select("doc_id", "chunk_text")) == [("a", "y0"), ("a", "y1"), ("b", "z0")]
+    assert got.select(F.count_distinct("id")).first()[0] == 3
+
+
+def test_the_shared_folder_comes_from_the_session(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_jdbc_needs_its_driver(spark):
+    with pytest.raises(Exception, match="(?i)driver|class|connect"):
+        readers.read_jdbc(spark, readers.postgres_url("nowhere.invalid", 1, "x"), "t", "id", (0, 1), driver="org.postgresql.Driver")
