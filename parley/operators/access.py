@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parley.functions.values import has_permission, permission_map
 from parley.operators.ordered import micros, top_per_key
@@ -80,11 +79,22 @@ def owned_by_callers(chunks: DataFrame, docs: DataFrame, callers: DataFrame, key
 
 def with_permission(calls: DataFrame, perms: DataFrame, permission: str | Column, out: str = "allowed") -> DataFrame:
     """Calls with a flag telling whether their user holds a permission; unknown users hold none."""
-    p = perms.select(F.col("user_id").alias("_uid"), F.col("permissions").alias("_perms"))
-    kind = p.schema["_perms"].dataType
-    joined = calls.join(p, F.col("user_id") == F.col("_uid"), "left")
-    parsed = permission_map(F.col("_perms"), kind if isinstance(kind, T.MapType) else None)
-    return joined.withColumn(out, has_permission(parsed, permission)).drop("_uid", "_perms")
+    parsed = permission_map(F.col("permissions"), perms.schema["permissions"].dataType)
+    # Parse once per user, before the join; a fixed permission is even looked up there.
+    held = parsed if isinstance(permission, Column) else has_permission(parsed, permission)
+    joined = calls.join(
+        perms.select(F.col("user_id").alias("_uid"), held.alias("_held")), F.col("user_id") == F.col("_uid"), "left"
+    )
+    if isinstance(permission, Column):
+        flag = has_permission(F.col("_held"), permission)
+    else:
+        flag = F.coalesce("_held", F.lit(False))
+    return joined.withColumn(out, flag).drop("_uid", "_held")
+
+
+def denial(permission: str) -> str:
+    """The answer to a call without the permission it needs."""
+    return f"Authorization Failure: User lacks required permission '{permission}'."
 
 
 def secured(permission: str):
@@ -98,8 +108,7 @@ def secured(permission: str):
         def run(calls: DataFrame, perms: DataFrame, *args, **kwargs) -> DataFrame:
             gated = with_permission(calls, perms, permission)
             denied = gated.filter(~F.col("allowed")).drop("allowed")
-            message = f"Authorization Failure: User lacks required permission '{permission}'."
-            denied = denied.withColumn("status", F.lit("DENIED")).withColumn("result", F.lit(message))
+            denied = denied.withColumn("status", F.lit("DENIED")).withColumn("result", F.lit(denial(permission)))
             done = operator(gated.filter("allowed").drop("allowed"), *args, **kwargs)
             return done.unionByName(denied.select(*done.columns))
 

@@ -9,13 +9,15 @@ the segments are then folded for real. All arithmetic is on integer microseconds
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parley.operators.ordered import BLOCK_MICROS, HOT_ROWS, floor_div, micros, running_sum, split_hot
 
@@ -34,6 +36,37 @@ def _from_micros(us: Column, kind: T.DataType) -> Column:
     return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=secs)
 
 
+def _fold_in_order(
+    rows: DataFrame, carry: DataFrame, keys: Sequence[str], order: Sequence[str], make_step, added: str
+) -> DataFrame:
+    """Run a fold over the rows of each (keys, _blk) in order and append its results to the rows.
+
+    The window brings each group together in order; the fold then streams over whole partitions and starts
+    anew where a group starts, so no group is ever held in memory and small groups cost no call of their
+    own. A ``carry`` row, if a group has one, comes first and sets its state from ``us``.
+    """
+    all_rows = rows.withColumn("carry", F.lit(False)).unionByName(
+        carry.withColumn("carry", F.lit(True)), allowMissingColumns=True
+    )
+    in_group = Window.partitionBy(*keys, "_blk").orderBy(F.desc("carry"), *order)
+    ordered = all_rows.withColumn("first", F.row_number().over(in_group) == 1)
+    extra = T.StructType.fromDDL(added).fields
+    out = T.StructType([*ordered.schema.fields, *extra])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make_step()
+        for batch in batches:
+            blk = batch.column("_blk").fill_null(0).to_pylist()
+            inputs = (batch.column(c).to_pylist() for c in ("first", "carry", "us"))
+            results = [step(*row) for row in zip(*inputs, blk)]
+            columns = [pa.array(c, type=arrow.field(f.name).type) for c, f in zip(zip(*results), extra)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=arrow)
+
+    done = ordered.mapInArrow(run, out)
+    return done.filter(~F.col("carry")).drop("carry", "first", "_blk")
+
+
 # ---- windows with a fixed life time, anchored at a miss -----------------------------------------
 
 
@@ -53,6 +86,25 @@ def ttl_walk(us: np.ndarray, ttl: int, expiry: int | None = None) -> tuple[np.nd
     return np.array(anchors, dtype="int64"), np.array(counts, dtype="int64")
 
 
+def _ttl_step(ttl: int):
+    """Fold that gives each access the anchor of its window."""
+
+    def start():
+        expiry = None
+
+        def step(first, carry, us, _):
+            nonlocal expiry
+            if carry:
+                expiry = us
+            elif first or us >= expiry:
+                expiry = us + ttl
+            return (expiry - ttl,)
+
+        return step
+
+    return start
+
+
 def ttl_exits(us: np.ndarray, start: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
     """Transfer function of a segment that begins at ``start``.
 
@@ -99,27 +151,19 @@ def ttl_windows(
             at = 0 if expiry is None else int(np.searchsorted(last, expiry))
             if at < len(last):
                 expiry = int(leaves[at])
-        return pd.DataFrame({key: [group[0]] * len(blocks), "_blk": blocks, "expiry": expiries})
-
-    def walk(group, pdf, carried):
-        expiry = int(carried["expiry"].iloc[0]) if len(carried) else None
-        anchors, counts = ttl_walk(np.sort(pdf["us"].to_numpy()), ttl, expiry)
-        return pd.DataFrame({key: [group[0]] * len(anchors), "anchor": anchors, "accesses": counts})
+        return pd.DataFrame({key: [group[0]] * len(blocks), "_blk": blocks, "us": expiries})
 
     carry = (
         rows.filter(F.col("_blk").isNotNull())
+        .distinct()
         .groupBy(key, "_blk")
         .applyInPandas(exits, _schema(log, key, "_blk bigint, last bigint, leaves bigint"))
         .groupBy(key)
-        .applyInPandas(chain, _schema(log, key, "_blk bigint, expiry bigint"))
-    )
-    parts = (
-        rows.groupBy(key, "_blk")
-        .cogroup(carry.groupBy(key, "_blk"))
-        .applyInPandas(walk, _schema(log, key, "anchor bigint, accesses bigint"))
+        .applyInPandas(chain, _schema(log, key, "_blk bigint, us bigint"))
     )
-    # A window of a hot key may reach over segments; its parts share the anchor.
-    whole = parts.groupBy(key, "anchor").agg(F.sum("accesses").alias("accesses"))
+    walked = _fold_in_order(rows, carry, [key], ["us"], _ttl_step(ttl), "anchor bigint")
+    # A window of a hot key may reach over segments; its accesses share the anchor.
+    whole = walked.groupBy(key, "anchor").agg(F.count(F.lit(1)).alias("accesses"))
     return whole.select(
         key,
         _from_micros(F.col("anchor"), log.schema[ts].dataType).alias("window_start"),
@@ -184,6 +228,29 @@ def bucket_walk(us: np.ndarray, level: int, last: int, cap: int, cost: int) -> t
     return admitted, left, level, last
 
 
+def _bucket_step(cap: int, cost: int, block: int):
+    """Fold that decides each request; a segment's carried level is that at the start of the segment."""
+
+    def start():
+        level = last = 0
+
+        def step(first, carry, us, blk):
+            nonlocal level, last
+            if carry:
+                level, last = us, blk * block
+                return False, level
+            level = cap if first else min(cap, level + us - last)
+            last = us
+            admitted = level >= cost
+            if admitted:
+                level -= cost
+            return admitted, level
+
+        return step
+
+    return start
+
+
 def bucket_transfer(us: np.ndarray, start: int, end: int, cap: int, cost: int) -> list[tuple[int, bool, int]]:
     """Level at ``end`` for every level at ``start``, as pieces ``(from, shift, value)``.
 
@@ -272,32 +339,15 @@ def token_bucket(
             levels.append(level)
             level = apply_transfer(list(zip(part["lo"], part["shift"], part["value"])), level)
             at = (int(blk) + 1) * block
-        return pd.DataFrame({key: [group[0]] * len(blocks), "_blk": blocks, "level": levels})
-
-    def fold(group, pdf, carried):
-        level = int(carried["level"].iloc[0]) if len(carried) else cap
-        pdf = pdf.sort_values(["us", "id"])
-        us = pdf["us"].to_numpy()
-        last = int(us[0]) if pd.isna(group[1]) else int(group[1]) * block
-        admitted, left, _, _ = bucket_walk(us, level, last, cap, cost)
-        return pd.DataFrame(
-            {key: [group[0]] * len(us), "id": pdf["id"], "ts": pdf["ts"], "admitted": admitted, "credit_us": left}
-        )
+        return pd.DataFrame({key: [group[0]] * len(blocks), "_blk": blocks, "us": levels})
 
     carry = (
         rows.filter(F.col("_blk").isNotNull())
         .groupBy(key, "_blk")
         .applyInPandas(transfer, _schema(requests, key, "_blk bigint, lo bigint, shift boolean, value bigint"))
         .groupBy(key)
-        .applyInPandas(chain, _schema(requests, key, "_blk bigint, level bigint"))
-    )
-    out = T.StructType(
-        [
-            requests.schema[key],
-            requests.schema["id"],
-            requests.schema["ts"],
-            *T.StructType.fromDDL("admitted boolean, credit_us bigint").fields,
-        ]
+        .applyInPandas(chain, _schema(requests, key, "_blk bigint, us bigint"))
     )
-    folded = rows.groupBy(key, "_blk").cogroup(carry.groupBy(key, "_blk")).applyInPandas(fold, out)
+    step = _bucket_step(cap, cost, block)
+    folded = _fold_in_order(rows, carry, [key], ["us", "id"], step, "admitted boolean, credit_us bigint")
     return folded.select("id", key, "ts", "admitted", "credit_us")

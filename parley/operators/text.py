@@ -50,28 +50,37 @@ def _numeric_entities(c: Column) -> Column:
         rest = F.regexp_replace(part, pattern, "")
         return F.when(part.rlike(pattern), F.concat(char, rest)).otherwise(part)
 
-    parts = F.split(c, r"(?=&#[0-9xX])")
-    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
+    def parts(text: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, r"(?=&#[0-9xX])"), decoded), "")
 
+    return let(c, lambda text: F.when(F.contains(text, F.lit("&#")), parts(text)).otherwise(text))
 
-def html_text(html: Column) -> Column:
-    """Markdown of an HTML page: title and headings, paragraphs, list items; entities decoded."""
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in DROPPED_ELEMENTS:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}[ \t\r\n]*>", " ")
-    c = F.regexp_replace(c, SPACE, " ")
-    c = F.regexp_replace(c, r"(?i)<(?:title|h1)\b[^>]*>", "\n\n# ")
+
+def _deep_headings(c: Column) -> Column:
     for level in range(2, 7):
-        c = F.regexp_replace(c, rf"(?i)<h{level}\b[^>]*>", "\n\n" + "#" * level + " ")
-    c = F.regexp_replace(c, r"(?i)<li\b[^>]*>", "\n- ")
-    c = F.regexp_replace(c, r"(?i)<br\b[^>]*>", "\n")
+        c = F.regexp_replace(c, rf"<[hH]{level}\b[^>]*>", "\n\n" + "#" * level + " ")
+    return c
+
+
+def html_text(html: Column) -> Column:
+    """Markdown of an HTML page: title and headings, paragraphs, list items; entities decoded.
+
+    Comments and some elements go with their content, all other tags leave their text.
+    """
+    dropped = "|".join(DROPPED_ELEMENTS)
+    c = F.regexp_replace(html, rf"(?is)<!--.*?-->|<({dropped})\b[^>]*>.*?</\1[ \t\r\n]*>", " ")
+    c = F.regexp_replace(c, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
+    c = F.regexp_replace(c, r"<(?:(?i:title)|[hH]1)\b[^>]*>", "\n\n# ")
+    c = let(c, lambda x: F.when(x.rlike("<[hH][2-6]"), _deep_headings(x)).otherwise(x))
+    c = F.regexp_replace(c, r"<[lL][iI]\b[^>]*>", "\n- ")
+    c = F.regexp_replace(c, r"<[bB][rR]\b[^>]*>", "\n")
     blocks = "|".join(("title", "h[1-6]", "p", *BLOCK_ELEMENTS))
-    c = F.regexp_replace(c, rf"(?i)</?(?:{blocks})\b[^>]*>", "\n\n")
+    c = F.regexp_replace(c, rf"</?(?i:{blocks})\b[^>]*>", "\n\n")
     c = F.regexp_replace(c, r"<[^>]*>", "")
     for name, char in ENTITIES.items():
         c = F.replace(c, F.lit(name), F.lit(char))
     c = F.replace(_numeric_entities(c), F.lit("&amp;"), F.lit("&"))
-    c = F.regexp_replace(c, r" *\n *", "\n")
+    c = F.regexp_replace(c, r" +\n *|\n +", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return F.trim(c, F.lit(BLANKS))
 

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.values import analytics_text, first_non_empty, map_with_default
-from parley.operators.access import chunk_owner, secured, user_permissions
-from parley.operators.vectors import TOP_K, hash_embed, hits_with_text, knn_join, search_report
+from parley.operators.access import chunk_owner, denial, user_permissions, with_permission
+from parley.operators.vectors import (
+    NOTHING_FOUND,
+    TOP_K,
+    hash_embed,
+    hits_with_text,
+    knn_join,
+    report_texts,
+)
 
 # How a tool's answer is scheduled, and the arguments each tool needs.
 TOOL_PRIORITY = {"rag_knowledge_search": "INTERRUPT", "query_user_analytics": "WHEN_IDLE"}
 DEFAULT_PRIORITY = "WHEN_IDLE"
+NO_USER = "Error: User context is missing."
 TOOL_ARGS = {"query_user_analytics": (), "rag_knowledge_search": ("query",)}
 
 
@@ -60,38 +68,38 @@ def dispatch(calls: DataFrame, registry: Mapping[str, Callable[[DataFrame], Data
     return out
 
 
+def _first_case(cases: Sequence[tuple[Column, str, Column]], status: str, result: Column) -> list[Column]:
+    """(status, result) of the first case that holds, else the given ones."""
+    state, text = F.lit(status), result
+    for condition, name, message in reversed(cases):
+        state = F.when(condition, F.lit(name)).otherwise(state)
+        text = F.when(condition, message).otherwise(text)
+    return [state.alias("status"), text.alias("result")]
+
+
 def analytics_for(
     calls: DataFrame, perms: DataFrame, analytics: DataFrame, permission: str = "can_query_analytics"
 ) -> DataFrame:
     """Answer each call with its user's analytics: DENIED, NO_CONTEXT, NOT_FOUND or OK."""
 
-    @secured(permission)
-    def answer(allowed: DataFrame) -> DataFrame:
-        table = analytics.select(
-            F.col("user_id").alias("_uid"), "total_interactions", "top_topics", "last_updated_at"
-        )
-        zoned = table.schema["last_updated_at"].dataType.typeName() != "timestamp_ntz"
-        found = allowed.join(table, F.col("user_id") == F.col("_uid"), "left")
-        user = F.col("user_id").cast("string")
-        status = (
-            F.when(F.col("user_id").isNull(), "NO_CONTEXT")
-            .when(F.col("_uid").isNull(), "NOT_FOUND")
-            .otherwise("OK")
-        )
-        text = analytics_text(
-            F.col("total_interactions"), F.col("top_topics"), F.col("last_updated_at"), zoned
-        )
-        result = (
-            F.when(F.col("user_id").isNull(), "Error: User context is missing.")
-            .when(
-                F.col("_uid").isNull(),
-                F.concat(F.lit("No user analytics data found for user ID: "), user, F.lit(".")),
-            )
-            .otherwise(text)
-        )
-        return found.select(*allowed.columns, status.alias("status"), result.alias("result"))
-
-    return answer(calls, perms)
+    table = analytics.select(
+        F.col("user_id").alias("_uid"), "total_interactions", "top_topics", "last_updated_at"
+    )
+    zoned = table.schema["last_updated_at"].dataType.typeName() != "timestamp_ntz"
+    gated = with_permission(calls, perms, permission)
+    found = gated.join(table, F.col("user_id") == F.col("_uid"), "left")
+    absent = F.concat(
+        F.lit("No user analytics data found for user ID: "), F.col("user_id").cast("string"), F.lit(".")
+    )
+    summary = analytics_text(
+        F.col("total_interactions"), F.col("top_topics"), F.col("last_updated_at"), zoned
+    )
+    cases = [
+        (~F.col("allowed"), "DENIED", F.lit(denial(permission))),
+        (F.col("user_id").isNull(), "NO_CONTEXT", F.lit(NO_USER)),
+        (F.col("_uid").isNull(), "NOT_FOUND", absent),
+    ]
+    return found.select(*calls.columns, *_first_case(cases, "OK", summary))
 
 
 def search_for(
@@ -106,33 +114,28 @@ def search_for(
 ) -> DataFrame:
     """Answer each search call with a report on the caller's own chunks.
 
-    Equal searches of one user are run once: calls are reduced to distinct (user, query) before the search
-    and distinct texts before the embedding. ``embedder`` maps ``(query)`` to ``(query, embedding)``.
+    Equal searches of one user are run once. ``embedder`` maps ``(query)`` to ``(query, embedding)`` and gets
+    each text once; without one, hashed word counts are used.
     """
 
-    @secured(permission)
-    def answer(allowed: DataFrame) -> DataFrame:
-        asked = allowed.withColumn("query", query_argument())
-        searches = asked.filter(F.col("user_id").isNotNull()).select("user_id", "query").distinct()
-        searches = searches.withColumn("query_id", F.sha2(F.concat_ws("\0", "user_id", "query"), 256))
-        texts = searches.select("query").distinct()
-        vectors = embedder(texts) if embedder else hash_embed(texts, ["query"], "query", dims)
-        queries = searches.join(vectors, "query").withColumnRenamed("user_id", "owner")
-        owned = chunk_owner(chunks, docs)
-        hits = hits_with_text(knn_join(queries, owned, dims, k), chunks)
-        reports = search_report(hits, searches).select(
-            F.col("user_id").alias("_uid"), F.col("query").alias("_q"), "report"
-        )
-        same = (F.col("user_id") == F.col("_uid")) & (F.col("query") == F.col("_q"))
-        joined = asked.join(reports, same, "left")
-        no_user = F.col("user_id").isNull()
-        return joined.select(
-            *allowed.columns,
-            F.when(no_user, "NO_CONTEXT").otherwise("OK").alias("status"),
-            F.when(no_user, "Error: User context is missing.").otherwise(F.col("report")).alias("result"),
-        )
-
-    return answer(calls, perms)
+    query_id = F.sha2(F.concat_ws("\0", "user_id", "query"), 256)
+    asked = with_permission(calls, perms, permission).withColumn("query", query_argument())
+    asked = asked.withColumn("query_id", query_id)
+    wanted = asked.filter(F.col("allowed") & F.col("user_id").isNotNull())
+    searches = wanted.select("query_id", F.col("user_id").alias("owner"), "query").distinct()
+    if embedder is None:
+        asking = hash_embed(searches, "query", dims)
+    else:
+        asking = searches.join(embedder(searches.select("query").distinct()), "query")
+    hits = knn_join(asking, chunk_owner(chunks, docs), dims, k)
+    reports = report_texts(hits_with_text(hits, chunks))
+    joined = asked.join(reports, "query_id", "left")
+    cases = [
+        (~F.col("allowed"), "DENIED", F.lit(denial(permission))),
+        (F.col("user_id").isNull(), "NO_CONTEXT", F.lit(NO_USER)),
+    ]
+    found = F.coalesce("report", F.lit(NOTHING_FOUND))
+    return joined.select(*calls.columns, *_first_case(cases, "OK", found))
 
 
 def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:

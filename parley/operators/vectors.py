@@ -12,7 +12,8 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,32 +44,20 @@ def embed(
 
 
 def hash_bucket(word: Column, dims: int) -> Column:
-    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % dims).cast("int")
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % dims
 
 
-def hash_embed(
-    df: DataFrame, keys: Sequence[str], text: str = "chunk_text", dims: int = 64, out: str = "embedding"
-) -> DataFrame:
-    """Hashed word counts scaled to length one, per key; a text without words gives a zero vector.
+def hash_embed(df: DataFrame, text: str = "chunk_text", dims: int = 64, out: str = "embedding") -> DataFrame:
+    """Hashed word counts scaled to length one; a text without words gives a zero vector.
 
-    Words are counted per task before the shuffle, so at most ``dims`` rows per text are moved.
+    Works inside each row: words become bucket names, which are the whole vocabulary to count.
     """
-    exploded = df.select(*keys, F.explode_outer(words(F.col(text))).alias("_w"))
-    counts = exploded.groupBy(*keys, hash_bucket(F.col("_w"), dims).alias("_b")).agg(
-        F.count("_w").alias("_n")
-    )
-    filled = counts.groupBy(*keys).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.coalesce("_b", F.lit(-1)).alias("b"), F.col("_n").cast("double").alias("n")))
-        ).alias("_m"),
-        F.sqrt(F.sum((F.col("_n") * F.col("_n")).cast("double"))).alias("_len"),
-    )
-    value = lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))
-    scaled = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.coalesce(F.try_divide(value(i), F.col("_len")), F.lit(0.0)).cast("float"),
-    )
-    return filled.select(*keys, scaled.alias(out))
+    names = [str(i) for i in range(dims)]
+    counter = CountVectorizerModel.from_vocabulary(names, inputCol="_buckets", outputCol="_counts")
+    buckets = F.transform(words(F.col(text)), lambda w: hash_bucket(w, dims).cast("string"))
+    counted = counter.setMinTF(0.0).transform(df.withColumn("_buckets", buckets))
+    scaled = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
+    return scaled.withColumn(out, vector_to_array("_unit", "float32")).drop("_buckets", "_counts", "_unit")
 
 
 # ---- one query ----------------------------------------------------------------------------------
@@ -92,65 +81,113 @@ def knn_exact(chunks: DataFrame, docs: DataFrame, query: Sequence[float], owner,
 # ---- many queries -------------------------------------------------------------------------------
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _units(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
-    data = flat.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    m = data.reshape(len(flat), -1)
+    m = flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(flat), -1)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def _nearest(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and similarities of the best k rows of ``c`` for each row of ``q``.
+
+    Similarities are compared at 9 decimals; among equal ones the first row of ``c`` is better.
+    """
+    sims = q @ c.T
+    rounded = sims.round(9)
+    if len(c) <= 512:
+        best = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
+    else:
+        floor = np.partition(rounded, -k, axis=1)[:, -k]
+        best = np.empty((len(q), k), dtype="int64")
+        for i, limit in enumerate(floor):
+            near = np.flatnonzero(rounded[i] >= limit)
+            best[i] = near[np.argsort(-rounded[i, near], kind="stable")][:k]
+    return best, np.take_along_axis(sims, best, axis=1)
+
+
 def _cell_topk(k: int, schema: pa.Schema, at_once: int = 256):
-    """Best k chunks for each query of one cell, ranked by similarity at 9 decimals, then id."""
+    """Best k chunks per query for one cell, which may hold several blocks."""
 
     def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
-        rows = ([], [], [])
+        found_q, found_c, found_s = [], [], []
         if queries.num_rows and chunks.num_rows:
-            q, c = _matrix(queries["_v"]), _matrix(chunks["_v"])
-            q_ids, c_ids = queries["query_id"].to_pylist(), chunks["id"].to_pylist()
-            take = min(k, len(c_ids))
-            for lo in range(0, len(q_ids), at_once):
-                sims = q[lo : lo + at_once] @ c.T
-                rounded = sims.round(9)
-                floor = np.partition(rounded, -take, axis=1)[:, -take]
-                for i, limit in enumerate(floor):
-                    near = np.flatnonzero(rounded[i] >= limit)
-                    best = sorted(near, key=lambda j: (-rounded[i, j], c_ids[j]))[:take]
-                    rows[0].extend([q_ids[lo + i]] * take)
-                    rows[1].extend(c_ids[j] for j in best)
-                    rows[2].extend(float(sims[i, j]) for j in best)
-        return pa.table([pa.array(r, type=f.type) for r, f in zip(rows, schema)], schema=schema)
+            chunks = chunks.sort_by("id")
+            names = pa.chunked_array([*queries["_b"].chunks, *chunks["_b"].chunks])
+            codes = names.combine_chunks().dictionary_encode().indices.to_numpy()
+            q_codes, c_codes = codes[: queries.num_rows], codes[queries.num_rows :]
+            q_order, c_order = (np.argsort(x, kind="stable") for x in (q_codes, c_codes))
+            q_sorted, c_sorted = q_codes[q_order], c_codes[c_order]
+            q, c = _units(queries["_v"]), _units(chunks["_v"])
+            for code in np.intersect1d(q_sorted, c_sorted):
+                mine = q_order[slice(*np.searchsorted(q_sorted, [code, code + 1]))]
+                theirs = c_order[slice(*np.searchsorted(c_sorted, [code, code + 1]))]
+                block, take = c[theirs], min(k, len(theirs))
+                for lo in range(0, len(mine), at_once):
+                    part = mine[lo : lo + at_once]
+                    best, sims = _nearest(q[part], block, take)
+                    found_q.append(np.repeat(part, take))
+                    found_c.append(theirs[best].ravel())
+                    found_s.append(sims.ravel())
+        if not found_q:
+            return schema.empty_table()
+        columns = [
+            queries["query_id"].take(pa.array(np.concatenate(found_q))),
+            chunks["id"].take(pa.array(np.concatenate(found_c))),
+            pa.array(np.concatenate(found_s)),
+        ]
+        return pa.table(columns, schema=schema)
 
     return run
 
 
-def _parts(df: DataFrame, block: Sequence[str], rows: int, out: str) -> DataFrame:
-    """Blocks with more than ``rows`` rows and the number of parts they need: at most count(df) / rows."""
-    return (
-        df.groupBy(*block)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows)
-        .select(*block, F.ceil(F.col("_n") / rows).cast("int").alias(out))
-    )
+def _sizes(df: DataFrame, block: Sequence[str]) -> DataFrame:
+    return df.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _parts(sizes: DataFrame, block: Sequence[str], rows: int, out: str) -> DataFrame:
+    """Blocks with more than ``rows`` rows and the number of parts they need: at most (all rows) / rows."""
+    large = sizes.filter(F.col("_n") > rows)
+    return large.select(*block, F.ceil(F.col("_n") / rows).cast("int").alias(out))
 
 
 def _block_topk(
-    queries: DataFrame, chunks: DataFrame, block: Sequence[str], k: int, q_rows: int, c_rows: int
+    queries: DataFrame,
+    chunks: DataFrame,
+    q_sizes: DataFrame,
+    c_sizes: DataFrame,
+    block: Sequence[str],
+    k: int,
+    q_rows: int,
+    c_rows: int,
 ) -> DataFrame:
-    """(query_id, id, similarity): top k per query and cell. Inputs hold ``block`` columns and ``_v``."""
-    q_parts = F.broadcast(_parts(queries, block, q_rows, "_qn"))
-    c_parts = F.broadcast(_parts(chunks, block, c_rows, "_cn"))
+    """(query_id, id, similarity): top k per query and cell. Inputs hold ``block`` columns and ``_v``.
+
+    Small blocks share a group, so that many small owners do not mean as many calls into Python; a large
+    block is cut into a grid of cells, each query part meeting each chunk part once. The sizes only shape
+    the groups. The broadcast sides are bounded, see ``_parts``.
+    """
+    q_parts = F.broadcast(_parts(q_sizes, block, q_rows, "_qn"))
+    c_parts = F.broadcast(_parts(c_sizes, block, c_rows, "_cn"))
+    q_groups, c_groups = (
+        sizes.agg(F.coalesce(F.ceil(F.sum("_n") / rows), F.lit(0)).cast("int")).scalar()
+        for sizes, rows in ((q_sizes, q_rows), (c_sizes, c_rows))
+    )
+    slots = F.greatest(F.lit(1), q_groups + c_groups)
 
     def cells(df: DataFrame, own: str, other: str, n_own: str, n_other: str, row_id: str) -> DataFrame:
         sized = df.join(q_parts, list(block), "left").join(c_parts, list(block), "left")
         parts = F.coalesce(F.col(n_own), F.lit(1))
         copies = F.sequence(F.lit(0), F.coalesce(F.col(n_other), F.lit(1)) - 1)
-        return (
-            sized.withColumn(own, F.pmod(F.xxhash64(row_id), parts).cast("int"))
-            .withColumn(other, F.explode(copies))
-            .drop("_qn", "_cn")
+        return sized.select(
+            row_id,
+            "_v",
+            F.concat_ws("|", *[F.col(b).cast("string") for b in block]).alias("_b"),
+            F.pmod(F.xxhash64(*block), slots).alias("_slot"),
+            F.pmod(F.xxhash64(row_id), parts).cast("int").alias(own),
+            F.explode(copies).alias(other),
         )
 
-    grid = [*block, "_q", "_c"]
+    grid = ["_slot", "_q", "_c"]
     left = cells(queries, "_q", "_c", "_qn", "_cn", "query_id").groupBy(*grid)
     right = cells(chunks, "_c", "_q", "_cn", "_qn", "id").groupBy(*grid)
     out = T.StructType(
@@ -183,7 +220,10 @@ def knn_join(
     """
     q = _usable(queries, dims, "query_id", "owner")
     c = _usable(chunks, dims, "id", "owner")
-    return _final_rank(_block_topk(q, c, ["owner"], k, q_rows, c_rows), k)
+    by = ["owner"]
+    # Counted before unusable vectors are left out, so that the count need not read the vectors.
+    sizes = [_sizes(df.select(F.col("owner").alias("owner")), by) for df in (queries, chunks)]
+    return _final_rank(_block_topk(q, c, *sizes, by, k, q_rows, c_rows), k)
 
 
 def signatures(df: DataFrame, dims: int, tables: int, bits: int, seed: int) -> DataFrame:
@@ -217,7 +257,8 @@ def knn_approx(
     """
     q = signatures(_usable(queries, dims, "query_id", "owner"), dims, tables, bits, seed)
     c = signatures(_usable(chunks, dims, "id", "owner"), dims, tables, bits, seed)
-    hits = _block_topk(q, c, ["owner", "_table", "_bucket"], k, q_rows, c_rows)
+    by = ["owner", "_table", "_bucket"]
+    hits = _block_topk(q, c, _sizes(q, by), _sizes(c, by), by, k, q_rows, c_rows)
     # The same pair may be found in several tables.
     return _final_rank(hits.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity")), k)
 
@@ -233,8 +274,8 @@ def ann_recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
 # ---- reports ------------------------------------------------------------------------------------
 
 
-def search_report(hits: DataFrame, queries: DataFrame, by: str = "query_id") -> DataFrame:
-    """One text per query with its ranked hits ``(by, rank, similarity, chunk_text)``."""
+def report_texts(hits: DataFrame, by: str = "query_id") -> DataFrame:
+    """(by, report) for each query with hits ``(by, rank, similarity, chunk_text)``, in rank order."""
     line = F.concat(
         F.lit("Result "),
         F.col("rank").cast("string"),
@@ -244,9 +285,13 @@ def search_report(hits: DataFrame, queries: DataFrame, by: str = "query_id") ->
         F.col("chunk_text"),
     )
     ranked = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
-    texts = hits.groupBy(by).agg(F.array_join(ranked["line"], "\n\n").alias("_report"))
-    return queries.join(texts, by, "left").select(
-        *queries.columns, F.coalesce("_report", F.lit(NOTHING_FOUND)).alias("report")
+    return hits.groupBy(by).agg(F.array_join(ranked["line"], "\n\n").alias("report"))
+
+
+def search_report(hits: DataFrame, queries: DataFrame, by: str = "query_id") -> DataFrame:
+    """Every query with its report; a fixed text where nothing was found."""
+    return queries.join(report_texts(hits, by), by, "left").select(
+        *queries.columns, F.coalesce("report", F.lit(NOTHING_FOUND)).alias("report")
     )
 
 
@@ -257,7 +302,7 @@ def hits_with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 def ingest_batch(docs: DataFrame, dims: int = 64) -> DataFrame:
     """Documents to stored chunks: split by headers, key, embed."""
     chunks = split_markdown(docs).withColumn("id", chunk_key(F.col("doc_id"), F.col("chunk_idx")))
-    return chunks.join(hash_embed(chunks, ["id"], dims=dims), "id")
+    return hash_embed(chunks, dims=dims)
 
 
 def cosine_pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

@@ -427,7 +427,8 @@ def vector_text_roundtrip(i: Inputs) -> DataFrame:
 
 @_register
 def hash_embed(i: Inputs) -> DataFrame:
-    return vectors.hash_embed(i.table("documents"), ["doc_id"], "text", DIMS).select(
+    texts = i.table("documents").select("doc_id", "text")
+    return vectors.hash_embed(texts, "text", DIMS).select(
         "doc_id", _numbers(F.col("embedding")).alias("embedding")
     )
 

@@ -31,11 +31,7 @@ def _status(docs: DataFrame, status: Column, step: int, batch_id: int) -> DataFr
 def hashed(dims: int = 64) -> Callable[[DataFrame], DataFrame]:
     """An embedder without a model: hashed word counts."""
 
-    def run(chunks: DataFrame) -> DataFrame:
-        keys = ["doc_id", "chunk_idx"]
-        return chunks.join(hash_embed(chunks, keys, "chunk_text", dims), keys)
-
-    return run
+    return lambda chunks: hash_embed(chunks, "chunk_text", dims)
 
 
 def process_batch(

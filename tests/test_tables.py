@@ -286,7 +286,7 @@ def _world(spark):
     from parley.operators.vectors import hash_embed
 
     texts = spark.createDataFrame([(100, 10, "alpha beta"), (101, 10, "gamma"), (200, 20, "alpha")], "id int, doc_id int, chunk_text string")
-    chunks = texts.join(hash_embed(texts, ["id"], dims=64), "id")
+    chunks = hash_embed(texts, dims=64)
     return calls, perms, table, docs, chunks
 
 

@@ -112,7 +112,7 @@ def test_vector_text_round_trip(spark, vs):
 def test_hash_embed(spark):
     docs = ["a b a", "", "x\ny  z x", "ärger ärger"]
     df = spark.createDataFrame(list(enumerate(docs)), "id int, chunk_text string")
-    got = {r["id"]: r["embedding"] for r in vectors.hash_embed(df, ["id"], dims=16).collect()}
+    got = {r["id"]: r["embedding"] for r in vectors.hash_embed(df, dims=16).collect()}
     for i, d in enumerate(docs):
         v = np.zeros(16)
         for w in d.split():
