@@ -77,14 +77,19 @@ def owned_by_callers(chunks: DataFrame, docs: DataFrame, callers: DataFrame, key
     return chunk_owner(chunks, mine)
 
 
-def with_permission(calls: DataFrame, perms: DataFrame, permission: str | Column, out: str = "allowed") -> DataFrame:
-    """Calls with a flag telling whether their user holds a permission; unknown users hold none."""
+def permission_flags(perms: DataFrame, permission: str | Column) -> DataFrame:
+    """``(_uid, _held)`` per user: the flag of a fixed permission, or the parsed map where it varies.
+
+    Parsing happens here, once per user, and not after the join with the calls.
+    """
     parsed = permission_map(F.col("permissions"), perms.schema["permissions"].dataType)
-    # Parse once per user, before the join; a fixed permission is even looked up there.
     held = parsed if isinstance(permission, Column) else has_permission(parsed, permission)
-    joined = calls.join(
-        perms.select(F.col("user_id").alias("_uid"), held.alias("_held")), F.col("user_id") == F.col("_uid"), "left"
-    )
+    return perms.select(F.col("user_id").alias("_uid"), held.alias("_held"))
+
+
+def with_permission(calls: DataFrame, perms: DataFrame, permission: str | Column, out: str = "allowed") -> DataFrame:
+    """Calls with a flag telling whether their user holds a permission; unknown users hold none."""
+    joined = calls.join(permission_flags(perms, permission), F.col("user_id") == F.col("_uid"), "left")
     if isinstance(permission, Column):
         flag = has_permission(F.col("_held"), permission)
     else:

@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.values import analytics_text, first_non_empty, map_with_default
-from parley.operators.access import chunk_owner, denial, user_permissions, with_permission
+from parley.operators.access import (
+    chunk_owner,
+    denial,
+    permission_flags,
+    user_permissions,
+    with_permission,
+)
 from parley.operators.vectors import (
     NOTHING_FOUND,
     TOP_K,
@@ -82,12 +88,18 @@ def analytics_for(
 ) -> DataFrame:
     """Answer each call with its user's analytics: DENIED, NO_CONTEXT, NOT_FOUND or OK."""
 
+    zoned = analytics.schema["last_updated_at"].dataType.typeName() != "timestamp_ntz"
     table = analytics.select(
-        F.col("user_id").alias("_uid"), "total_interactions", "top_topics", "last_updated_at"
+        F.col("user_id").alias("_aid"), "total_interactions", "top_topics", "last_updated_at"
+    )
+    held = permission_flags(perms, permission)
+    # The two tables with one row per user are joined first, so that the calls, in which one user may hold
+    # a large share, are joined only once and a hot user can be split there.
+    known = held.join(table, F.col("_uid") == F.col("_aid"), "full").withColumn(
+        "_any", F.coalesce("_uid", "_aid")
     )
-    zoned = table.schema["last_updated_at"].dataType.typeName() != "timestamp_ntz"
-    gated = with_permission(calls, perms, permission)
-    found = gated.join(table, F.col("user_id") == F.col("_uid"), "left")
+    found = calls.join(known, F.col("user_id") == F.col("_any"), "left")
+    found = found.withColumn("allowed", F.coalesce("_held", F.lit(False)))
     absent = F.concat(
         F.lit("No user analytics data found for user ID: "), F.col("user_id").cast("string"), F.lit(".")
     )
@@ -97,7 +109,7 @@ def analytics_for(
     cases = [
         (~F.col("allowed"), "DENIED", F.lit(denial(permission))),
         (F.col("user_id").isNull(), "NO_CONTEXT", F.lit(NO_USER)),
-        (F.col("_uid").isNull(), "NOT_FOUND", absent),
+        (F.col("_aid").isNull(), "NOT_FOUND", absent),
     ]
     return found.select(*calls.columns, *_first_case(cases, "OK", summary))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parley.functions.values import chunk_key, fixed4
+from parley.functions.values import chunk_key, fixed4, let
 from parley.functions.vectors import cosine_distance, cosine_similarity, has_dim, norm
 from parley.operators.access import chunk_owner, owned_chunks
 from parley.operators.ordered import top_per_key
@@ -66,8 +66,9 @@ def hash_embed(df: DataFrame, text: str = "chunk_text", dims: int = 64, out: str
 def nearest(chunks: DataFrame, query: Sequence[float], k: int = TOP_K) -> DataFrame:
     """The k chunks closest to one vector with similarity and rank; ties by id. Zero vectors are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = chunks.withColumn("_d", cosine_distance(F.col("embedding"), q)).filter(F.col("_d").isNotNull())
-    best = scored.orderBy("_d", "id").limit(k)
+    scored = chunks.withColumn("_d", cosine_distance(F.col("embedding"), q))
+    # Undefined distances go last and are dropped from the k rows: a filter before would compute them twice.
+    best = scored.orderBy(F.asc_nulls_last("_d"), "id").limit(k).filter(F.col("_d").isNotNull())
     # Only the k rows left after the limit meet in this window.
     rank = F.row_number().over(Window.orderBy("_d", "id"))
     return best.select("id", "doc_id", "chunk_text", (1 - F.col("_d")).alias("similarity"), rank.alias("rank"))
@@ -197,9 +198,18 @@ def _block_topk(
 
 
 def _usable(df: DataFrame, dims: int, *cols: str) -> DataFrame:
-    good = has_dim(F.col("embedding"), dims) & (norm(F.col("embedding")) > 0) & F.col("owner").isNotNull()
+    """Rows with an owner and a vector of the right length that is not zero, the vector as ``_v``.
+
+    The choice is made by an explode of zero or one vector: a filter would be pushed below the embedding
+    and compute it once more for each use.
+    """
+    one = let(
+        F.col("embedding"),
+        lambda v: F.when(has_dim(v, dims) & (norm(v) > 0), F.array(v)),
+    )
     # New column identities, so that queries and chunks may come from the same table.
-    return df.filter(good).select(*[F.col(c).alias(c) for c in cols], F.col("embedding").alias("_v"))
+    named = [F.col(c).alias(c) for c in cols]
+    return df.filter(F.col("owner").isNotNull()).select(*named, F.explode(one).alias("_v"))
 
 
 def _final_rank(hits: DataFrame, k: int) -> DataFrame:

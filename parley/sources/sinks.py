@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.values import chunk_key, encode_json
-from parley.operators.ordered import top_per_key
 from parley.sources.readers import TOPIC
 
 INT_MAX = 2_147_483_647
@@ -93,12 +92,18 @@ def write_chunks(chunks: DataFrame, target: str, batch_id: int) -> None:
 def read_chunks(spark: SparkSession, target: str) -> DataFrame:
     """Stored chunks, one row per key: a document delivered again replaces its earlier chunks.
 
-    The newest batch of a document counts as a whole, since it may have fewer chunks than before.
+    The newest batch of a document counts as a whole, since it may have fewer chunks than before. Only
+    documents stored by several batches are looked up, so the chunks themselves are not shuffled as long as
+    that list is small enough to be broadcast.
     """
     rows = spark.read.parquet(target)
-    newest = rows.groupBy("doc_id").agg(F.max("batch_id").alias("batch_id"))
-    current = rows.join(newest, ["doc_id", "batch_id"], "left_semi")
-    return top_per_key(current, ["id"], [F.col("chunk_idx")], 1, "_k").drop("_k", "batch_id")
+    seen = rows.groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.min("batch_id").alias("_oldest"), F.max("batch_id").alias("_newest")
+    )
+    again = seen.filter(F.col("_oldest") < F.col("_newest")).drop("_oldest")
+    joined = rows.join(again, F.col("doc_id") == F.col("_doc"), "left")
+    current = F.col("_newest").isNull() | (F.col("batch_id") == F.col("_newest"))
+    return joined.filter(current).drop("_doc", "_newest", "batch_id")
 
 
 def read_batches(spark: SparkSession, target: str) -> DataFrame:
