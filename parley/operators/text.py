@@ -6,8 +6,12 @@ never shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions.values import let
 from parley.operators.ordered import HOT_ROWS, block_window, split_hot, with_borders, without_borders
@@ -89,6 +93,30 @@ def html_to_markdown(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", html_text(F.col("html")).alias("markdown"))
 
 
+def convert_files(
+    files: DataFrame, converter_factory: Callable, content: str = "content", out: str = "text"
+) -> DataFrame:
+    """Text of files by an external converter, loaded once per Python worker.
+
+    ``converter_factory()`` returns a function from bytes to Markdown. A file it cannot convert gets NULL.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        convert = converter_factory()
+
+        def text(data):
+            try:
+                return None if data is None else convert(bytes(data))
+            except Exception:  # noqa: BLE001  one broken file must not end the job
+                return None
+
+        for batch in batches:
+            yield batch.map(text)
+
+    return files.withColumn(out, run(F.col(content)))
+
+
 # ---- chunks by header ---------------------------------------------------------------------------
 
 _MARK = "\u0001"

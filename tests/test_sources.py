@@ -2,7 +2,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from parley.operators import analytics
+from parley.operators import analytics, text
+from parley.plans import etl
 from parley.session import shared_dir
 from parley.sources import readers, sinks
 
@@ -86,3 +87,28 @@ def test_the_shared_folder_comes_from_the_session(spark):
 def test_jdbc_needs_its_driver(spark):
     with pytest.raises(Exception, match="(?i)driver|class|connect"):
         readers.read_jdbc(spark, readers.postgres_url("nowhere.invalid", 1, "x"), "t", "id", (0, 1), driver="org.postgresql.Driver")
+
+
+def test_etl_job(spark, tmp_path):
+    target = str(tmp_path / "user_analytics")
+    logs = spark.createDataFrame(
+        [(1, "a", "x"), (2, "a", "y"), (3, "a", "y"), (4, None, "x")], "id int, user_id string, topic string"
+    ).withColumn("created_at", F.timestamp_micros(F.col("id").cast("long")))
+    assert etl.run_etl(lambda: logs, target, "parquet") == 1
+    assert rows(spark.read.parquet(target).select("user_id", "total_interactions", "top_topics")) == [
+        ("a", 3, '["general", "ai_architecture"]')
+    ]
+    assert etl.run_etl(lambda: logs, target, "parquet", topics=1) == 1
+    assert rows(spark.read.parquet(target).select("user_id", "top_topics")) == [("a", '["y"]')]
+
+
+def test_external_converter(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"# Title\nbody")
+    (tmp_path / "b.pdf").write_bytes(b"\xff\xfe")
+
+    def factory():
+        return lambda data: data.decode("utf-8")
+
+    files = readers.read_files(spark, str(tmp_path))
+    got = text.convert_files(files, factory).select(F.element_at(F.split("path", "/"), -1), "text")
+    assert rows(got) == [("a.pdf", "# Title\nbody"), ("b.pdf", None)]
