@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.ordered import (
-    BLOCK_MICROS,
     HOT_ROWS,
     block_window,
     micros,
@@ -76,13 +75,11 @@ def user_analytics(logs: DataFrame, k: int = 2) -> DataFrame:
     )
 
 
-def interaction_gaps(
-    logs: DataFrame, cap_s: int, block: int = BLOCK_MICROS, min_rows: int = HOT_ROWS
-) -> DataFrame:
+def interaction_gaps(logs: DataFrame, cap_s: int, min_rows: int = HOT_ROWS) -> DataFrame:
     """Seconds to the user's next message, at most ``cap_s``; NULL after the last message."""
     keys, order = ["user_id"], ["created_at", "id"]
     rows = logs.select("id", "user_id", "created_at", micros(logs, "created_at").alias("_us"))
-    rows = with_borders(split_hot(rows, keys, F.col("_us"), block, min_rows), keys, order, after=1)
+    rows = with_borders(split_hot(rows, keys, F.col("_us"), min_rows), keys, order, after=1)
     following = F.lead("_us").over(block_window(keys, order))
     gap = F.least((following - F.col("_us")) / F.lit(1e6), F.lit(float(cap_s)))
     # least() skips NULL, so the last message must be kept apart.
@@ -97,7 +94,6 @@ def response_latency(
     seq: str,
     request: Column,
     response: Column,
-    block: int = BLOCK_MICROS,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Each response that ends a wait, with the time since the earliest unanswered request.
@@ -113,7 +109,7 @@ def response_latency(
         F.coalesce(request, F.lit(False)).alias("req"),
         F.coalesce(response, F.lit(False)).alias("resp"),
     ).filter(F.col("req") | F.col("resp"))
-    rows = split_hot(rows, ["key"], F.col("us"), block, min_rows)
+    rows = split_hot(rows, ["key"], F.col("us"), min_rows)
     rows = running_sum(rows, ["key"], ["ts", "seq"], F.col("resp").cast("long"), "closed")
     group = F.col("closed") - F.col("resp").cast("long")
     waits = rows.groupBy("key", group.alias("grp")).agg(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parley.operators.ordered import BLOCK_MICROS, HOT_ROWS, floor_div, micros, running_sum, split_hot
+from parley.operators.ordered import HOT_ROWS, floor_div, micros, running_sum, split_hot
 
 TIER_LIMITS = {"standard": 10, "premium": 50}
 
@@ -37,7 +37,7 @@ def _from_micros(us: Column, kind: T.DataType) -> Column:
 
 
 def _fold_in_order(
-    rows: DataFrame, carry: DataFrame, keys: Sequence[str], order: Sequence[str], make_step, added: str
+    rows: DataFrame, carry: DataFrame, keys: Sequence[str], order: Sequence[str], make_fold, added: str
 ) -> DataFrame:
     """Run a fold over the rows of each (keys, _blk) in order and append its results to the rows.
 
@@ -55,16 +55,16 @@ def _fold_in_order(
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make_step()
+        fold = make_fold()
         for batch in batches:
-            blk = batch.column("_blk").fill_null(0).to_pylist()
-            inputs = (batch.column(c).to_pylist() for c in ("first", "carry", "us"))
-            results = [step(*row) for row in zip(*inputs, blk)]
-            columns = [pa.array(c, type=arrow.field(f.name).type) for c, f in zip(zip(*results), extra)]
+            starts = batch.column("_start").fill_null(0)
+            flags = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("first", "carry"))
+            results = fold(*flags, batch.column("us").to_numpy().tolist(), starts.to_numpy().tolist())
+            columns = [pa.array(c, type=arrow.field(f.name).type) for c, f in zip(results, extra)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=arrow)
 
     done = ordered.mapInArrow(run, out)
-    return done.filter(~F.col("carry")).drop("carry", "first", "_blk")
+    return done.filter(~F.col("carry")).drop("carry", "first", "_blk", "_start")
 
 
 # ---- windows with a fixed life time, anchored at a miss -----------------------------------------
@@ -86,21 +86,24 @@ def ttl_walk(us: np.ndarray, ttl: int, expiry: int | None = None) -> tuple[np.nd
     return np.array(anchors, dtype="int64"), np.array(counts, dtype="int64")
 
 
-def _ttl_step(ttl: int):
+def _ttl_fold(ttl: int):
     """Fold that gives each access the anchor of its window."""
 
     def start():
-        expiry = None
+        expiry = 0
 
-        def step(first, carry, us, _):
+        def fold(first, carry, times, _):
             nonlocal expiry
-            if carry:
-                expiry = us
-            elif first or us >= expiry:
-                expiry = us + ttl
-            return (expiry - ttl,)
+            anchors = []
+            for is_first, is_carry, us in zip(first, carry, times):
+                if is_carry:
+                    expiry = us
+                elif is_first or us >= expiry:
+                    expiry = us + ttl
+                anchors.append(expiry - ttl)
+            return (anchors,)
 
-        return step
+        return fold
 
     return start
 
@@ -130,14 +133,17 @@ def ttl_exits(us: np.ndarray, start: int, ttl: int) -> tuple[np.ndarray, np.ndar
 def ttl_windows(
     log: DataFrame, key: str, ts: str, ttl_s: int, min_rows: int = HOT_ROWS, segment_ttls: int = 8
 ) -> DataFrame:
-    """Windows of ``ttl_s`` seconds anchored at the first access after expiry, with hits and misses."""
+    """Windows of ``ttl_s`` seconds anchored at the first access after expiry, with hits and misses.
+
+    Segments of a hot key are at least ``segment_ttls`` life times long: over that time most of the windows
+    that might have begun run into each other, which keeps the transfer functions short.
+    """
     ttl = ttl_s * 1_000_000
-    segment = ttl * segment_ttls
     rows = log.select(F.col(key), micros(log, ts).alias("us"))
-    rows = split_hot(rows, [key], F.col("us"), segment, min_rows)
+    rows = split_hot(rows, [key], F.col("us"), min_rows, ttl * segment_ttls)
 
     def exits(group, pdf):
-        last, out = ttl_exits(pdf["us"].to_numpy(), int(group[1]) * segment, ttl)
+        last, out = ttl_exits(pdf["us"].to_numpy(), int(pdf["_start"].iloc[0]), ttl)
         return pd.DataFrame({key: [group[0]] * len(last), "_blk": int(group[1]), "last": last, "leaves": out})
 
     def chain(group, pdf):
@@ -161,7 +167,7 @@ def ttl_windows(
         .groupBy(key)
         .applyInPandas(chain, _schema(log, key, "_blk bigint, us bigint"))
     )
-    walked = _fold_in_order(rows, carry, [key], ["us"], _ttl_step(ttl), "anchor bigint")
+    walked = _fold_in_order(rows, carry, [key], ["us"], _ttl_fold(ttl), "anchor bigint")
     # A window of a hot key may reach over segments; its accesses share the anchor.
     whole = walked.groupBy(key, "anchor").agg(F.count(F.lit(1)).alias("accesses"))
     return whole.select(
@@ -180,7 +186,6 @@ def rate_limit(
     tiers: DataFrame,
     width_s: int = 60,
     limits: Mapping[str, int] = TIER_LIMITS,
-    block: int = 1_000_000,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Requests ``(id, user_id, ts)`` marked ``admitted`` while the user's window is within the limit.
@@ -194,7 +199,7 @@ def rate_limit(
     rows = requests.select("id", "user_id", "ts", micros(requests, "ts").alias("us"))
     rows = rows.withColumn("win", floor_div(F.col("us"), width_s * 1_000_000))
     keys = ["user_id", "win"]
-    rows = split_hot(rows, keys, F.col("us"), block, min_rows)
+    rows = split_hot(rows, keys, F.col("us"), min_rows)
     rows = running_sum(rows, keys, ["ts", "id"], F.lit(1), "nth")
     rows = rows.join(t, F.col("user_id") == F.col("_uid"), "left")
     return rows.select("id", "user_id", "ts", "nth", (F.col("nth") <= limit).alias("admitted"))
@@ -228,25 +233,29 @@ def bucket_walk(us: np.ndarray, level: int, last: int, cap: int, cost: int) -> t
     return admitted, left, level, last
 
 
-def _bucket_step(cap: int, cost: int, block: int):
+def _bucket_fold(cap: int, cost: int):
     """Fold that decides each request; a segment's carried level is that at the start of the segment."""
 
     def start():
         level = last = 0
 
-        def step(first, carry, us, blk):
+        def fold(first, carry, times, starts):
             nonlocal level, last
-            if carry:
-                level, last = us, blk * block
-                return False, level
-            level = cap if first else min(cap, level + us - last)
-            last = us
-            admitted = level >= cost
-            if admitted:
-                level -= cost
-            return admitted, level
-
-        return step
+            admitted, left = [], []
+            for is_first, is_carry, us, start_us in zip(first, carry, times, starts):
+                if is_carry:
+                    level, last, ok = us, start_us, False
+                else:
+                    level = cap if is_first else min(cap, level + us - last)
+                    last = us
+                    ok = level >= cost
+                    if ok:
+                        level -= cost
+                admitted.append(ok)
+                left.append(level)
+            return admitted, left
+
+        return fold
 
     return start
 
@@ -309,9 +318,7 @@ def apply_transfer(pieces: list[tuple[int, bool, int]], level: int) -> int:
     return level + value if shift else value
 
 
-def token_bucket(
-    requests: DataFrame, capacity: int, refill_s: int, block: int = BLOCK_MICROS, min_rows: int = HOT_ROWS
-) -> DataFrame:
+def token_bucket(requests: DataFrame, capacity: int, refill_s: int, min_rows: int = HOT_ROWS) -> DataFrame:
     """Requests ``(id, user_id, ts)`` marked ``admitted`` by a bucket per user that starts full.
 
     ``refill_s`` is the time in which one token comes back; ``credit_us`` is what is left after the request.
@@ -320,34 +327,33 @@ def token_bucket(
     cap = capacity * cost
     key = "user_id"
     rows = requests.select("id", key, "ts", micros(requests, "ts").alias("us"))
-    rows = split_hot(rows, [key], F.col("us"), block, min_rows)
+    rows = split_hot(rows, [key], F.col("us"), min_rows)
 
     def transfer(group, pdf):
-        start = int(group[1]) * block
-        pieces = bucket_transfer(np.sort(pdf["us"].to_numpy()), start, start + block, cap, cost)
-        lo, shift, value = zip(*pieces)
-        return pd.DataFrame(
-            {key: [group[0]] * len(pieces), "_blk": int(group[1]), "lo": lo, "shift": shift, "value": value}
-        )
+        us = np.sort(pdf["us"].to_numpy())
+        start, end = int(pdf["_start"].iloc[0]), int(us[-1])
+        lo, shift, value = zip(*bucket_transfer(us, start, end, cap, cost))
+        fixed = {key: [group[0]] * len(lo), "_blk": int(group[1]), "_start": start, "end": end}
+        return pd.DataFrame({**fixed, "lo": lo, "shift": shift, "value": value})
 
     def chain(group, pdf):
-        blocks, levels, level, at = [], [], cap, None
+        found, level, at = [], cap, None
         for blk, part in pdf.groupby("_blk", sort=True):
-            if at is not None:
-                level = min(cap, level + (int(blk) * block - at))
-            blocks.append(blk)
-            levels.append(level)
+            start = int(part["_start"].iloc[0])
+            level = cap if at is None else min(cap, level + start - at)
+            found.append((group[0], blk, start, level))
             level = apply_transfer(list(zip(part["lo"], part["shift"], part["value"])), level)
-            at = (int(blk) + 1) * block
-        return pd.DataFrame({key: [group[0]] * len(blocks), "_blk": blocks, "us": levels})
+            at = int(part["end"].iloc[0])
+        return pd.DataFrame(found, columns=[key, "_blk", "_start", "us"])
 
+    pieces = "_blk bigint, _start bigint, end bigint, lo bigint, shift boolean, value bigint"
     carry = (
         rows.filter(F.col("_blk").isNotNull())
         .groupBy(key, "_blk")
-        .applyInPandas(transfer, _schema(requests, key, "_blk bigint, lo bigint, shift boolean, value bigint"))
+        .applyInPandas(transfer, _schema(requests, key, pieces))
         .groupBy(key)
-        .applyInPandas(chain, _schema(requests, key, "_blk bigint, us bigint"))
+        .applyInPandas(chain, _schema(requests, key, "_blk bigint, _start bigint, us bigint"))
     )
-    step = _bucket_step(cap, cost, block)
-    folded = _fold_in_order(rows, carry, [key], ["us", "id"], step, "admitted boolean, credit_us bigint")
+    added = "admitted boolean, credit_us bigint"
+    folded = _fold_in_order(rows, carry, [key], ["us", "id"], _bucket_fold(cap, cost), added)
     return folded.select("id", key, "ts", "admitted", "credit_us")

@@ -5,7 +5,7 @@ least ``min_rows`` rows) is cut into blocks along its ordering axis and the wind
 ``(key, block)``. What a block must know about its neighbours is small (a few border rows, or a
 total) and is computed from per-block summaries, then placed into the block as extra rows. Keys that
 are not hot keep ``_blk`` NULL and form a single block, so they pay nothing but the count of rows
-per key, which combines map-side.
+per key, which reads the key and ordering columns only and combines map-side.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 4_000_000
-BLOCK_MICROS = 60_000_000  # blocks of a hot key are one minute wide unless told otherwise
+BLOCKS_PER_LIMIT = 8
 
 _DAY, _HOUR, _MINUTE, _SECOND = 86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000
 
@@ -48,23 +48,28 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in cols])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``min_rows`` rows: at most count(df) / min_rows of them."""
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= min_rows)
-    )
-
-
 def split_hot(
-    df: DataFrame, keys: Sequence[str], position: Column, width: int, min_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], position: Column, min_rows: int = HOT_ROWS, min_width: int = 1
 ) -> DataFrame:
-    """Add ``_blk``: ``floor(position / width)`` for rows of hot keys, NULL for all others.
+    """Add ``_blk`` and ``_start``: number and first position of a row's block; NULL unless the key is hot.
 
-    The broadcast side is bounded by count(df) / min_rows rows, see ``hot_keys``.
+    A hot key's range of positions is cut into equal widths, so many that a block holds an eighth of
+    ``min_rows`` on average, but none narrower than ``min_width``. The broadcast side has one row per hot
+    key: at most count(df) / min_rows rows.
     """
-    hot = hot_keys(df, keys, min_rows).select(*keys, F.lit(True).alias("_hot"))
+    at = df.select(*keys, position.cast("long").alias("_at"))
+    hot = (
+        at.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+        .filter(F.col("_n") >= min_rows)
+    )
+    blocks = F.ceil(F.col("_n") * BLOCKS_PER_LIMIT / F.lit(min_rows))
+    width = F.greatest(F.lit(min_width).cast("long"), F.ceil((F.col("_hi") - F.col("_lo") + 1) / blocks))
+    hot = hot.select(*keys, "_lo", width.alias("_width"))
     marked = null_safe_join(df, F.broadcast(hot), keys, "left")
-    return marked.withColumn("_blk", F.when(F.col("_hot"), floor_div(position, width))).drop("_hot")
+    offset = position.cast("long") - F.col("_lo")
+    marked = marked.withColumn("_blk", ((offset - offset % F.col("_width")) / F.col("_width")).cast("long"))
+    return marked.withColumn("_start", F.col("_lo") + F.col("_blk") * F.col("_width")).drop("_lo", "_width")
 
 
 def _border(df: DataFrame, keys: Sequence[str], order: Sequence[Column], back: Sequence[Column], n: int):
@@ -107,7 +112,7 @@ def block_window(keys: Sequence[str], order: Sequence[str]):
 
 
 def without_borders(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col("_border")).drop("_border", "_blk")
+    return df.filter(~F.col("_border")).drop("_border", "_blk", "_start")
 
 
 def running_sum(
@@ -135,7 +140,7 @@ def running_sum(
         rows.unionByName(carry, allowMissingColumns=True)
         .withColumn(out, F.sum("_v").over(upto))
         .filter(~F.col("_border"))
-        .drop("_v", "_border", "_blk")
+        .drop("_v", "_border", "_blk", "_start")
     )
 
 

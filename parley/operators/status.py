@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from parley.functions.values import lower_status
 from parley.operators.ordered import (
-    BLOCK_MICROS,
     HOT_ROWS,
     block_window,
     micros,
@@ -32,11 +31,11 @@ def with_current_status(docs: DataFrame, log: DataFrame, key: str = "id") -> Dat
     )
 
 
-def status_transitions(log: DataFrame, block: int = BLOCK_MICROS, min_rows: int = HOT_ROWS) -> DataFrame:
+def status_transitions(log: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
     """Events whose status is unknown or may not follow the one before it."""
     keys, order = ["doc_id"], ["ts", "seq"]
     rows = log.select("seq", "doc_id", "status", "ts", micros(log, "ts").alias("_us"))
-    rows = with_borders(split_hot(rows, keys, F.col("_us"), block, min_rows), keys, order, before=1)
+    rows = with_borders(split_hot(rows, keys, F.col("_us"), min_rows), keys, order, before=1)
     rows = rows.withColumn("previous", F.lag("status").over(block_window(keys, order)))
     edge = F.concat_ws(">", F.coalesce("previous", F.lit("")), "status")
     allowed = edge.isin([f"{a or ''}>{b}" for a, b in STATUS_EDGES])

@@ -260,13 +260,11 @@ def chunk_tokens(
 # ---- conversation buffer ------------------------------------------------------------------------
 
 
-def rolling_history(
-    turns: DataFrame, n: int, block: int = 100_000, min_rows: int = HOT_ROWS
-) -> DataFrame:
+def rolling_history(turns: DataFrame, n: int, min_rows: int = HOT_ROWS) -> DataFrame:
     """Each turn with the text of the last ``n`` turns up to it, one ``role: text`` line per turn."""
     keys, order = ["conv_id"], ["turn"]
     rows = turns.select("conv_id", "turn", F.concat_ws(": ", "role", "text").alias("_line"))
-    rows = with_borders(split_hot(rows, keys, F.col("turn"), block, min_rows), keys, order, before=n - 1)
+    rows = with_borders(split_hot(rows, keys, F.col("turn"), min_rows), keys, order, before=n - 1)
     frame = block_window(keys, order).rowsBetween(-(n - 1), 0)
     rows = rows.withColumn("history", F.concat_ws("\n", F.collect_list("_line").over(frame)))
     return without_borders(rows).select("conv_id", "turn", "history")

@@ -43,7 +43,7 @@ def _bucket_loop(times, cap, cost):
     return out
 
 
-@pytest.mark.parametrize("cut", [{}, {"min_rows": 1, "segment_ttls": 1}, {"min_rows": 100, "segment_ttls": 3}])
+@pytest.mark.parametrize("cut", [{}, {"min_rows": 1, "segment_ttls": 1}, {"min_rows": 100, "segment_ttls": 3}, {"min_rows": 20, "segment_ttls": 2}])
 def test_ttl_windows(spark, cut):
     data, df = _requests(spark)
     got = limits.ttl_windows(df, "user_id", "ts", 60, **cut)
@@ -75,7 +75,7 @@ def test_ttl_transfer_agrees_with_the_walk(times, ttl, segments, entering):
     assert got == (int(fresh[-1]) + ttl if len(fresh) else expiry)
 
 
-@pytest.mark.parametrize("cut", [{}, {"min_rows": 1, "block": 30_000_000}, {"min_rows": 100, "block": 700_000_000}])
+@pytest.mark.parametrize("cut", [{}, {"min_rows": 1}, {"min_rows": 100}, {"min_rows": 8}])
 def test_token_bucket(spark, cut):
     data, df = _requests(spark, seed=2)
     got = {r["id"]: r["admitted"] for r in limits.token_bucket(df, 3, 45, **cut).collect()}

@@ -22,7 +22,7 @@ def _log(spark, n=600, users=6, seed=1, step=7_000_000, hot_share=3):
     return df.withColumn("created_at", F.timestamp_micros("us")).drop("us")
 
 
-HOT = [dict(min_rows=1, block=60_000_000), dict(min_rows=100, block=600_000_000), dict(min_rows=150, block=1_000_000)]
+HOT = [dict(min_rows=1), dict(min_rows=100), dict(min_rows=150), dict(min_rows=8)]
 
 
 @pytest.mark.parametrize("cut", HOT)
@@ -50,12 +50,12 @@ def test_status_transitions(spark, cut):
 
 
 @pytest.mark.parametrize("n", [1, 2, 5])
-@pytest.mark.parametrize("block", [1, 3, 50])
-def test_rolling_history(spark, n, block):
+@pytest.mark.parametrize("min_rows", [1, 8, 20])
+def test_rolling_history(spark, n, min_rows):
     data = [(c, t, "user", f"{c}.{t}") for c in (0, 1, None) for t in range(40) if (t * 7 + (c or 0)) % 3]
     turns = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     whole = rows(text.rolling_history(turns, n))
-    assert rows(text.rolling_history(turns, n, block=block, min_rows=1)) == whole
+    assert rows(text.rolling_history(turns, n, min_rows=min_rows)) == whole
     history = {(r[0], r[1]): r[2] for r in whole}
     for c in (0, 1, None):
         numbers = sorted(t for cc, t, *_ in data if cc == c)
@@ -76,7 +76,7 @@ def test_rate_limit(spark, cut):
 
 def test_running_sum_starts_blocks_from_the_total_before(spark):
     log = _log(spark, seed=5).withColumn("us", F.unix_micros("created_at"))
-    cut = ordered.split_hot(log, ["user_id"], F.col("us"), 30_000_000, 1)
+    cut = ordered.split_hot(log, ["user_id"], F.col("us"), 1)
     assert cut.filter("_blk IS NULL").count() == 0
     got = rows(ordered.running_sum(cut, ["user_id"], ["created_at", "id"], F.col("id"), "s").select("id", "s"))
     totals, want = {}, []
@@ -88,8 +88,14 @@ def test_running_sum_starts_blocks_from_the_total_before(spark):
 
 def test_only_hot_keys_are_cut(spark):
     log = _log(spark).withColumn("us", F.unix_micros("created_at"))
-    cut = ordered.split_hot(log, ["user_id"], F.col("us"), 1_000_000, 150)
+    cut = ordered.split_hot(log, ["user_id"], F.col("us"), 150)
     assert {r[0] for r in cut.filter("_blk IS NOT NULL").select("user_id").distinct().collect()} == {0}
+    hot = cut.filter("user_id = 0")
+    assert hot.filter("us < _start").count() == 0
+    sizes = [r["n"] for r in hot.groupBy("_blk").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert 8 <= len(sizes) <= 11 and max(sizes) < hot.count() / 4
+    wide = ordered.split_hot(log, ["user_id"], F.col("us"), 150, min_width=10**12)
+    assert wide.filter("user_id = 0").select("_blk").distinct().count() == 1
 
 
 def test_unzoned_times_do_not_pass_through_the_session_zone(spark):
