@@ -257,14 +257,24 @@ def knn_approx(
     tables: int = 12,
     bits: int = 3,
     seed: int = 7,
+    exact_rows: int = 10_000,
     q_rows: int = 20_000,
     c_rows: int = 50_000,
 ) -> DataFrame:
     """As ``knn_join``, comparing only vectors that share a hash bucket in one of the tables.
 
     More tables raise recall, more bits cut the work. Candidates are ranked by their exact similarity, and
-    every candidate of a bucket is compared.
+    every candidate of a bucket is compared. Owners with at most ``exact_rows`` chunks are searched exactly,
+    since hashing saves nothing there; with 0, all are hashed.
     """
+    if exact_rows > 0:
+        # At most count(chunks) / exact_rows owners.
+        large = F.broadcast(_sizes(chunks, ["owner"]).filter(F.col("_n") > exact_rows).select("owner"))
+        shape = {"q_rows": q_rows, "c_rows": c_rows}
+        hashed = [df.join(large, "owner", "left_semi") for df in (queries, chunks)]
+        rest = [df.join(large, "owner", "left_anti") for df in (queries, chunks)]
+        found = knn_approx(*hashed, dims, k, tables, bits, seed, 0, **shape)
+        return found.unionByName(knn_join(*rest, dims, k, **shape))
     q = signatures(_usable(queries, dims, "query_id", "owner"), dims, tables, bits, seed)
     c = signatures(_usable(chunks, dims, "id", "owner"), dims, tables, bits, seed)
     by = ["owner", "_table", "_bucket"]

@@ -454,7 +454,7 @@ def knn_join(i: Inputs) -> DataFrame:
 @_register
 def knn_approx(i: Inputs) -> DataFrame:
     asked, owned = _searches(i)
-    return vectors.knn_approx(asked, owned, DIMS).withColumn("similarity", F.round("similarity", 6))
+    return vectors.knn_approx(asked, owned, DIMS, exact_rows=0).withColumn("similarity", F.round("similarity", 6))
 
 
 @_register

@@ -80,15 +80,27 @@ def test_recall_of_the_approximate_search(spark):
     _, df = _table(spark, 400, 16)
     queries = df.withColumnRenamed("id", "query_id")
     exact = vectors.knn_join(queries, df, 16)
-    approx = vectors.knn_approx(queries, df, 16)
+    approx = vectors.knn_approx(queries, df, 16, exact_rows=0)
     assert rows(approx.groupBy("query_id", "id").count().filter("count > 1")) == []
     recall = vectors.ann_recall(approx, exact).first()
     assert recall["recall"] > 0.9 and recall["neighbours"] == exact.count()
     one_cell = rows(approx.select("query_id", "id", "rank"))
-    cut = vectors.knn_approx(queries, df, 16, q_rows=5, c_rows=5)
+    cut = vectors.knn_approx(queries, df, 16, exact_rows=0, q_rows=5, c_rows=5)
     assert rows(cut.select("query_id", "id", "rank")) == one_cell
 
 
+def test_small_owners_are_searched_exactly(spark):
+    _, df = _table(spark, 300, 8)
+    queries = df.withColumnRenamed("id", "query_id")
+    cols = ["query_id", "id", "rank"]
+    exact = rows(vectors.knn_join(queries, df, 8).select(cols))
+    assert rows(vectors.knn_approx(queries, df, 8, bits=12, tables=1).select(cols)) == exact
+    part = vectors.knn_approx(queries, df, 8, bits=12, tables=1, exact_rows=100)
+    small = {r["query_id"] for r in queries.filter("owner > 0").collect()}
+    assert [r for r in rows(part.select(cols)) if r[0] in small] == [r for r in exact if r[0] in small]
+    assert part.count() < len(exact)
+
+
 def test_distance_edges(spark):
     df = spark.createDataFrame(
         [(1, [1.0, 0.0], [0.0, 2.0]), (2, [1.0, 1.0], [2.0, 2.0]), (3, [0.0, 0.0], [1.0, 0.0]), (4, [1.0], [1.0, 2.0]), (5, None, [1.0])],
