@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.constants import ANALYTICS_LINES
+
 
 def first_non_empty(*cols: Column) -> Column:
     """The first argument that is neither NULL nor empty, else the empty string."""
@@ -100,13 +102,15 @@ def fixed4(x: Column) -> Column:
 
 def analytics_text(total: Column, topics: Column, updated: Column, zoned: bool = True) -> Column:
     """Summary handed back to the caller of the analytics tool."""
-    return F.concat_ws(
-        "\n",
-        F.lit("User Analytics Insights:"),
-        F.concat(F.lit("- Total Interactions: "), total.cast("string")),
-        F.concat(F.lit("- Top Topics: "), topics),
-        F.concat(F.lit("- Last Updated: "), F.coalesce(iso_ts(updated, zoned, " "), F.lit("None"))),
-    )
+    when = F.coalesce(iso_ts(updated, zoned, " "), F.lit("None"))
+    return filled("\n".join(ANALYTICS_LINES), total.cast("string"), topics, when)
+
+
+def filled(template: str, *values: Column) -> Column:
+    """The template with each ``{}`` replaced by a value."""
+    first, *rest = template.split("{}")
+    pairs = [part for value, text in zip(values, rest) for part in (value, F.lit(text))]
+    return F.concat(F.lit(first), *pairs)
 
 
 def let(value: Column, body) -> Column:

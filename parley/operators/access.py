@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.constants import DENIED
 from parley.functions.values import has_permission, permission_map
 from parley.operators.ordered import micros, top_per_key
 
@@ -99,7 +100,7 @@ def with_permission(calls: DataFrame, perms: DataFrame, permission: str | Column
 
 def denial(permission: str) -> str:
     """The answer to a call without the permission it needs."""
-    return f"Authorization Failure: User lacks required permission '{permission}'."
+    return DENIED.format(permission)
 
 
 def secured(permission: str):

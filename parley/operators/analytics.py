@@ -8,6 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.constants import LITERAL_TOPICS
 from parley.operators.ordered import (
     HOT_ROWS,
     block_window,
@@ -20,9 +21,6 @@ from parley.operators.ordered import (
     without_borders,
 )
 
-LITERAL_TOPICS = '["general", "ai_architecture"]'
-
-
 def interaction_counts(logs: DataFrame, loaded_at: Column | None = None) -> DataFrame:
     """Rows per user, with the fixed topic list and the load time."""
     return logs.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_interactions")).select(

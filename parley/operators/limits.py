@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from parley.constants import CACHE_TTL_S, TIER_LIMITS
 from parley.operators.ordered import HOT_ROWS, floor_div, micros, running_sum, split_hot
 
-TIER_LIMITS = {"standard": 10, "premium": 50}
-
-
 def _schema(df: DataFrame, key: str, text: str) -> T.StructType:
     """``key`` with its type in ``df``, then the fields of a DDL text."""
     return T.StructType([df.schema[key], *T.StructType.fromDDL(text).fields])
@@ -131,7 +129,7 @@ def ttl_exits(us: np.ndarray, start: int, ttl: int) -> tuple[np.ndarray, np.ndar
 
 
 def ttl_windows(
-    log: DataFrame, key: str, ts: str, ttl_s: int, min_rows: int = HOT_ROWS, segment_ttls: int = 8
+    log: DataFrame, key: str, ts: str, ttl_s: int = CACHE_TTL_S, min_rows: int = HOT_ROWS, segment_ttls: int = 8
 ) -> DataFrame:
     """Windows of ``ttl_s`` seconds anchored at the first access after expiry, with hits and misses.
 

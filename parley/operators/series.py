@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FRAME = 480
-
+from parley.constants import FRAME
 
 def _div(a: Column, b: int) -> Column:
     """Integer quotient of a non-negative number."""

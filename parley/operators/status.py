@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.constants import STATUS_EDGES, STATUSES
 from parley.functions.values import lower_status
 from parley.operators.ordered import (
     HOT_ROWS,
@@ -14,7 +15,6 @@ from parley.operators.ordered import (
     with_borders,
     without_borders,
 )
-from parley.schemas import STATUS_EDGES, STATUSES
 
 
 def latest_status(log: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.constants import CHUNK_TOKENS
 from parley.functions.values import let
 from parley.operators.ordered import HOT_ROWS, block_window, split_hot, with_borders, without_borders
 
@@ -199,7 +200,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def token_windows(docs: DataFrame, n: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_windows(docs: DataFrame, n: int = CHUNK_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Consecutive windows of ``n`` tokens."""
 
     def windows(ws: Column) -> Column:
@@ -213,7 +214,7 @@ def token_windows(docs: DataFrame, n: int = 512, key: str = "doc_id", text: str
 
 
 def chunk_tokens(
-    docs: DataFrame, n: int = 512, delimiter: str = "\n", key: str = "doc_id", text: str = "text"
+    docs: DataFrame, n: int = CHUNK_TOKENS, delimiter: str = "\n", key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Whole lines packed greedily into chunks of at most ``n`` tokens; a longer line stands alone.
 

@@ -7,7 +7,17 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions.values import analytics_text, first_non_empty, map_with_default
+from parley.constants import (
+    DEFAULT_PRIORITY,
+    NO_ANALYTICS,
+    NO_USER,
+    NOTHING_FOUND,
+    TOOL_ARGS,
+    TOOL_PRIORITY,
+    TOP_K,
+    UNSUPPORTED,
+)
+from parley.functions.values import analytics_text, filled, first_non_empty, map_with_default
 from parley.operators.access import (
     chunk_owner,
     denial,
@@ -15,20 +25,7 @@ from parley.operators.access import (
     user_permissions,
     with_permission,
 )
-from parley.operators.vectors import (
-    NOTHING_FOUND,
-    TOP_K,
-    hash_embed,
-    hits_with_text,
-    knn_join,
-    report_texts,
-)
-
-# How a tool's answer is scheduled, and the arguments each tool needs.
-TOOL_PRIORITY = {"rag_knowledge_search": "INTERRUPT", "query_user_analytics": "WHEN_IDLE"}
-DEFAULT_PRIORITY = "WHEN_IDLE"
-NO_USER = "Error: User context is missing."
-TOOL_ARGS = {"query_user_analytics": (), "rag_knowledge_search": ("query",)}
+from parley.operators.vectors import hash_embed, hits_with_text, knn_join, report_texts
 
 
 def tool_priority(calls: DataFrame) -> DataFrame:
@@ -60,11 +57,10 @@ def dispatch(calls: DataFrame, registry: Mapping[str, Callable[[DataFrame], Data
     """
     cols = ["call_id", "tool", "mode", "status", "result"]
     known = F.coalesce(F.col("tool").isin(list(registry)), F.lit(False))
-    name = F.coalesce("tool", F.lit(""))
     unknown = (
         tool_priority(calls.filter(~known))
         .withColumn("status", F.lit("UNSUPPORTED"))
-        .withColumn("result", F.concat(F.lit("Error: Tool '"), name, F.lit("' is not supported.")))
+        .withColumn("result", filled(UNSUPPORTED, F.coalesce("tool", F.lit(""))))
         .select(*cols)
     )
     out = unknown
@@ -100,9 +96,7 @@ def analytics_for(
     )
     found = calls.join(known, F.col("user_id") == F.col("_any"), "left")
     found = found.withColumn("allowed", F.coalesce("_held", F.lit(False)))
-    absent = F.concat(
-        F.lit("No user analytics data found for user ID: "), F.col("user_id").cast("string"), F.lit(".")
-    )
+    absent = filled(NO_ANALYTICS, F.col("user_id").cast("string"))
     summary = analytics_text(
         F.col("total_interactions"), F.col("top_topics"), F.col("last_updated_at"), zoned
     )

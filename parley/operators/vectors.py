@@ -19,16 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parley.functions.values import chunk_key, fixed4, let
+from parley.constants import NOTHING_FOUND, RESULT, TOP_K
+from parley.functions.values import chunk_key, filled, fixed4, let
 from parley.functions.vectors import cosine_distance, cosine_similarity, has_dim, norm
 from parley.operators.access import chunk_owner, owned_chunks
 from parley.operators.ordered import top_per_key
 from parley.operators.text import split_markdown, words
 
-TOP_K = 5
-NOTHING_FOUND = "No matching knowledge base documents found."
-
-
 # ---- embedding ----------------------------------------------------------------------------------
 
 
@@ -44,7 +41,10 @@ def embed(
 
 
 def hash_bucket(word: Column, dims: int) -> Column:
-    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % dims
+    """The first 8 hexadecimal digits of the word's MD5, as a number modulo ``dims``."""
+    # Where dims divides a power of 16, the digits above it make no difference.
+    digits = next((n for n in range(1, 8) if 16**n % dims == 0), 8)
+    return F.conv(F.substring(F.md5(word), 9 - digits, digits), 16, 10).cast("long") % dims
 
 
 def hash_embed(df: DataFrame, text: str = "chunk_text", dims: int = 64, out: str = "embedding") -> DataFrame:
@@ -296,14 +296,7 @@ def ann_recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
 
 def report_texts(hits: DataFrame, by: str = "query_id") -> DataFrame:
     """(by, report) for each query with hits ``(by, rank, similarity, chunk_text)``, in rank order."""
-    line = F.concat(
-        F.lit("Result "),
-        F.col("rank").cast("string"),
-        F.lit(" (Similarity: "),
-        fixed4(F.col("similarity")),
-        F.lit("):\n"),
-        F.col("chunk_text"),
-    )
+    line = filled(RESULT, F.col("rank").cast("string"), fixed4(F.col("similarity")), F.col("chunk_text"))
     ranked = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
     return hits.groupBy(by).agg(F.array_join(ranked["line"], "\n\n").alias("report"))
 

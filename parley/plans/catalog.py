@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.constants import ROLE_ROWS, SYSTEM_USER
 from parley.functions import values as V
 from parley.functions import vectors as VF
 from parley.operators import (
@@ -22,7 +23,6 @@ from parley.operators import (
     vectors,
 )
 from parley.plans.views import Inputs
-from parley.schemas import ROLE_ROWS
 
 DIMS = 64
 QUERY_VECTOR = tuple(((37 * i) % DIMS - 31.5) / 32 for i in range(DIMS))
@@ -286,7 +286,7 @@ def uuid_canonical(i: Inputs) -> DataFrame:
 @_register
 def apply_defaults(i: Inputs) -> DataFrame:
     parsed = validate.parse_events(i.raw_events).select("offset_id", "user_id", "file_name")
-    spec = {"user_id": "00000000-0000-0000-0000-000000000000", "status": "PENDING"}
+    spec = {"user_id": SYSTEM_USER, "status": "PENDING"}
     return validate.apply_defaults(parsed, spec, replace_null=True)
 
 

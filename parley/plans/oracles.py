@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from parley.constants import NOTHING_FOUND
 from parley.plans.catalog import AS_OF, DIMS, LOADED_AT, OWNER, QUERY_VECTOR, ROLE_SQL
 from parley.operators.text import BLOCK_ELEMENTS, DROPPED_ELEMENTS, ENTITIES
-from parley.operators.vectors import NOTHING_FOUND
 
 _D = "CAST(doc_id AS VARCHAR)"
 _US = "epoch_us(ts)"

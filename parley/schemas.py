@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from parley.constants import ROLE_ROWS
+
 
 def _table(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, nullable) for name, kind, nullable in fields])
@@ -66,46 +68,6 @@ INGESTION_EVENT_FULL = T.StructType(
     ]
 )
 
-STATUSES = ("PENDING", "PROCESSING", "COMPLETE", "FAILED")
-# Allowed status edges; None is the state before the first event.
-STATUS_EDGES = (
-    (None, "PENDING"),
-    ("PENDING", "PROCESSING"),
-    ("PENDING", "FAILED"),
-    ("PROCESSING", "COMPLETE"),
-    ("PROCESSING", "FAILED"),
-)
-
-# Column defaults by table, applied where a column or value is missing.
-DEFAULTS = {
-    "roles": {"permissions": "{}"},
-    "user_profiles": {"preferences": "{}", "usage_tier": "standard"},
-    "user_analytics": {"total_interactions": 0, "top_topics": "[]"},
-    "documents": {"status": "PENDING", "user_id": "00000000-0000-0000-0000-000000000000"},
-}
-
-# The three seeded roles.
-ROLE_ROWS = (
-    (
-        1,
-        "admin",
-        '{"can_access_admin_tools": true, "can_query_analytics": true,'
-        ' "can_write_knowledge": true, "can_chat_live": true}',
-    ),
-    (
-        2,
-        "premium",
-        '{"can_access_admin_tools": false, "can_query_analytics": true,'
-        ' "can_write_knowledge": true, "can_chat_live": true}',
-    ),
-    (
-        3,
-        "standard",
-        '{"can_access_admin_tools": false, "can_query_analytics": false,'
-        ' "can_write_knowledge": false, "can_chat_live": true}',
-    ),
-)
-
 
 def role_seeds(spark: SparkSession) -> DataFrame:
     """The seeded roles as an inline table, whose size the planner knows."""

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.constants import TOPIC
 from parley.operators.validate import parse_events
 from parley.schemas import INGESTION_EVENT
 
-TOPIC = "document.ingestion.events"
-
 
 def jdbc_options(
     url: str,

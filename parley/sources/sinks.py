@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from parley.constants import TOPIC
 from parley.functions.values import chunk_key, encode_json
-from parley.sources.readers import TOPIC
 
 INT_MAX = 2_147_483_647
 

@@ -13,6 +13,7 @@ from parley.operators.ordered import top_per_key
 from parley.operators.text import split_markdown
 from parley.operators.validate import split_valid
 from parley.operators.vectors import hash_embed
+from parley.session import shared_dir
 from parley.sources.sinks import write_batch, write_chunks
 
 # Order of the status events that one batch writes for one document.
@@ -67,11 +68,16 @@ def start_ingestion(
     events: DataFrame,
     load_text: Callable[[DataFrame], DataFrame],
     out: str,
-    checkpoint: str,
+    checkpoint: str | None = None,
     embedder: Callable[[DataFrame], DataFrame] | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the stream over parsed events. Offsets are kept in ``checkpoint``, a folder all nodes share."""
+    """Start the stream over parsed events.
+
+    Offsets are kept in ``checkpoint``, a folder all nodes share; by default one below the cluster's
+    checkpoint folder.
+    """
+    checkpoint = checkpoint or f"{shared_dir(events.sparkSession)}/ingestion"
     run_embed = embedder or hashed()
 
     def each(batch: DataFrame, batch_id: int) -> None:
