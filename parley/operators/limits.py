@@ -1,14 +1,16 @@
 """Expiring windows and request limits per key.
 
-The two sequential rules (windows anchored at a miss, token bucket) fold over a key's rows in time
-order. Keys with few rows are folded whole, one group each. A hot key is cut into time segments that
-run in parallel, in three steps: each segment yields its *transfer function* (what state leaves it for
-each state that may enter), one small fold per key turns these into the state entering each segment, and
-the segments are then folded for real. All arithmetic is on integer microseconds, so the cut is exact.
+The two sequential rules (windows anchored at a miss, token bucket) fold over a key's rows in time order.
+The fold streams over whole partitions. A hot key is cut into blocks that are folded in parallel, once the
+state that enters each block is known. For the token bucket each block yields its *transfer function* (what
+level leaves it for each level that may enter), which has few pieces, and one small fold per key chains them.
+For the windows the anchors are found by doubling steps between accesses. All arithmetic is on integer
+microseconds, so the cut is exact.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -20,7 +22,18 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from parley.constants import CACHE_TTL_S, TIER_LIMITS
-from parley.operators.ordered import HOT_ROWS, floor_div, micros, running_sum, split_hot
+from parley.operators.ordered import (
+    HOT_ROWS,
+    block_of,
+    cut_blocks,
+    floor_div,
+    hot_keys,
+    micros,
+    null_safe_join,
+    running_sum,
+    split_hot,
+)
+from parley.session import shared_dir
 
 def _schema(df: DataFrame, key: str, text: str) -> T.StructType:
     """``key`` with its type in ``df``, then the fields of a DDL text."""
@@ -35,7 +48,7 @@ def _from_micros(us: Column, kind: T.DataType) -> Column:
 
 
 def _fold_in_order(
-    rows: DataFrame, carry: DataFrame, keys: Sequence[str], order: Sequence[str], make_fold, added: str
+    rows: DataFrame, carry: DataFrame | None, keys: Sequence[str], order: Sequence[str], make_fold, added: str
 ) -> DataFrame:
     """Run a fold over the rows of each (keys, _blk) in order and append its results to the rows.
 
@@ -43,9 +56,9 @@ def _fold_in_order(
     anew where a group starts, so no group is ever held in memory and small groups cost no call of their
     own. A ``carry`` row, if a group has one, comes first and sets its state from ``us``.
     """
-    all_rows = rows.withColumn("carry", F.lit(False)).unionByName(
-        carry.withColumn("carry", F.lit(True)), allowMissingColumns=True
-    )
+    all_rows = rows.withColumn("carry", F.lit(False))
+    if carry is not None:
+        all_rows = all_rows.unionByName(carry.withColumn("carry", F.lit(True)), allowMissingColumns=True)
     in_group = Window.partitionBy(*keys, "_blk").orderBy(F.desc("carry"), *order)
     ordered = all_rows.withColumn("first", F.row_number().over(in_group) == 1)
     extra = T.StructType.fromDDL(added).fields
@@ -106,67 +119,130 @@ def _ttl_fold(ttl: int):
     return start
 
 
-def ttl_exits(us: np.ndarray, start: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
-    """Transfer function of a segment that begins at ``start``.
+def _blocks(hot: DataFrame, key: str) -> DataFrame:
+    """(key, _blk, _start) of every block of the hot keys, also of those without a row."""
+    last = block_of(F.col("_hi"))
+    numbered = hot.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return numbered.select(key, "_blk", (F.col("_lo") + F.col("_blk") * F.col("_width")).alias("_start"))
+
+
+def _successors(times: DataFrame, hot: DataFrame, key: str, ttl: int) -> DataFrame:
+    """(key, us, cell, next): the first access at or after the end of a window opened at ``us``.
 
-    Entry ``i`` of the result says: an expiry at or before ``last[i]`` (and after ``last[i-1]``) leaves
-    the segment as ``exits[i]``; one after all of ``last`` leaves unchanged.
+    ``cell`` numbers the life times since the key's first access. A window's end is looked up in its own
+    block, where an extra row stands for the first access of the blocks behind.
     """
-    us = np.unique(us)
-    # An expiry that enters lies less than ttl after the start, so its next access is one of these.
-    entries = min(len(us), int(np.searchsorted(us, start + ttl)) + 1)
-    exits = us + ttl
-    after = np.searchsorted(us, exits)
-    while True:  # jump twice as far each round
-        live = after < len(us)
-        if not live.any():
-            break
-        to = after[live]
-        exits[live], after[live] = exits[to], after[to]
-    exits = exits[:entries]
-    ends = np.append(exits[1:] != exits[:-1], True)
-    return us[:entries][ends], exits[ends]
+    t = null_safe_join(times, F.broadcast(hot), [key], "inner")
+    cell = floor_div(F.col("us") - F.col("_lo"), ttl)
+    end = F.col("us") + ttl
+    none = F.lit(None).cast("long")
+    accesses = t.select(key, block_of(F.col("us")).alias("_blk"), F.col("us").alias("at"), F.col("us").alias("access"))
+    ends = t.filter(end <= F.col("_hi")).select(
+        key, block_of(end).alias("_blk"), end.alias("at"), none.alias("access"), "us", cell.alias("cell")
+    )
+    firsts = accesses.groupBy(key, "_blk").agg(F.min("at").alias("first"))
+    behind = Window.partitionBy(key).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    later = null_safe_join(_blocks(hot, key), firsts, [key, "_blk"], "left")
+    later = later.withColumn("at", F.last("first", ignorenulls=True).over(behind)).filter(F.col("at").isNotNull())
+    rows = accesses.unionByName(later.select(key, "_blk", "at", F.col("at").alias("access")))
+    rows = rows.unionByName(ends, allowMissingColumns=True)
+    downward = (
+        Window.partitionBy(key, "_blk")
+        .orderBy(F.desc("at"), F.col("us").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    found = rows.withColumn("next", F.last("access", ignorenulls=True).over(downward))
+    rest = t.filter(end > F.col("_hi")).select(key, "us", cell.alias("cell"), none.alias("next"))
+    return found.filter(F.col("us").isNotNull()).select(key, "us", "cell", "next").unionByName(rest)
+
+
+def _hot_anchors(times: DataFrame, hot: DataFrame, key: str, ttl: int, folder: str) -> DataFrame:
+    """(key, us) of the window anchors of hot keys, by following ``next`` from the first access.
+
+    The steps are doubled: level i keeps the accesses in every 2^i-th cell and the first access of each
+    cell, with the next one on their way that is kept too. A step that passes over a cell ends at the first
+    access of a later one, so two steps of one level always reach an access of the level above. Levels
+    halve in size; each is one join on (key, time), which no key can skew, and is written to ``folder``
+    to cut its lineage. The anchors are then collected from the top level down.
+    """
+    spark = times.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    hot = stored(hot, "hot")
+    cells = hot.agg(F.max(floor_div(F.col("_hi") - F.col("_lo"), ttl))).first()[0]
+    table = stored(_successors(times, hot, key, ttl), "successors")
+    heads = table.groupBy(key, "cell").agg(F.min("us").alias("us")).select(key, "us", F.lit(True).alias("head"))
+    table = null_safe_join(table, heads, [key, "us"], "left")
+    levels = [stored(table.withColumn("head", F.coalesce("head", F.lit(False))), "level0")]
+    for i in range(1, int(cells).bit_length() + 1):
+        table = levels[-1]
+        kept = (F.col("cell") % 2**i == 0) | F.col("head")
+        onward = table.select(key, F.col("us").alias("next"), kept.alias("_kept"), F.col("next").alias("_on"))
+        joined = null_safe_join(table.filter(kept), onward, [key, "next"], "left")
+        step = F.when(F.col("_kept"), F.col("next")).otherwise(F.col("_on"))
+        levels.append(stored(joined.select(key, "us", "cell", "head", step.alias("next")), f"level{i}"))
+
+    def follow(group, pdf):
+        onward = {int(us): n for us, n in zip(pdf["us"], pdf["next"])}
+        at, path = int(pdf["us"].min()), []
+        while at is not None:
+            path.append(at)
+            at = onward[at]
+            at = None if pd.isna(at) else int(at)
+        return pd.DataFrame({key: [group[0]] * len(path), "us": path})
+
+    # On the top level only first accesses of cells are left behind the start: one row per cell.
+    top = levels.pop().filter("head").select(key, "us", "next")
+    anchors = stored(top.groupBy(key).applyInPandas(follow, _schema(times, key, "us bigint")), "anchors")
+    for i, table in reversed(list(enumerate(levels))):
+        passed = null_safe_join(table.select(key, "us", "next"), anchors, [key, "us"], "left_semi")
+        passed = passed.filter(F.col("next").isNotNull()).select(key, F.col("next").alias("us"))
+        anchors = stored(anchors.unionByName(passed).distinct(), f"anchors{i}")
+    return anchors
+
+
+def _open_windows(anchors: DataFrame, hot: DataFrame, key: str, ttl: int) -> DataFrame:
+    """(key, _blk, us): when the window that is open at the start of a block expires."""
+    marks = anchors.select(key, F.col("us").alias("at"), F.col("us").alias("anchor"))
+    blocks = _blocks(hot, key).select(key, "_blk", F.col("_start").alias("at"))
+    before = (
+        Window.partitionBy(key)
+        .orderBy("at", F.col("anchor").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    open_at = blocks.unionByName(marks, allowMissingColumns=True).withColumn(
+        "us", F.last("anchor", ignorenulls=True).over(before) + ttl
+    )
+    return open_at.filter(F.col("_blk").isNotNull() & F.col("us").isNotNull()).select(key, "_blk", "us")
 
 
 def ttl_windows(
-    log: DataFrame, key: str, ts: str, ttl_s: int = CACHE_TTL_S, min_rows: int = HOT_ROWS, segment_ttls: int = 8
+    log: DataFrame, key: str, ts: str, ttl_s: int = CACHE_TTL_S, min_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Windows of ``ttl_s`` seconds anchored at the first access after expiry, with hits and misses.
 
-    Segments of a hot key are at least ``segment_ttls`` life times long: over that time most of the windows
-    that might have begun run into each other, which keeps the transfer functions short.
+    Whether there are hot keys is asked when the operator is called, since their anchors take several
+    jobs and a folder that all executors share.
     """
     ttl = ttl_s * 1_000_000
     rows = log.select(F.col(key), micros(log, ts).alias("us"))
-    rows = split_hot(rows, [key], F.col("us"), min_rows, ttl * segment_ttls)
-
-    def exits(group, pdf):
-        last, out = ttl_exits(pdf["us"].to_numpy(), int(pdf["_start"].iloc[0]), ttl)
-        return pd.DataFrame({key: [group[0]] * len(last), "_blk": int(group[1]), "last": last, "leaves": out})
-
-    def chain(group, pdf):
-        pdf = pdf.sort_values(["_blk", "last"])
-        blocks, expiries, expiry = [], [], None
-        for blk, part in pdf.groupby("_blk", sort=True):
-            if expiry is not None:
-                blocks.append(blk)
-                expiries.append(expiry)
-            last, leaves = part["last"].to_numpy(), part["leaves"].to_numpy()
-            at = 0 if expiry is None else int(np.searchsorted(last, expiry))
-            if at < len(last):
-                expiry = int(leaves[at])
-        return pd.DataFrame({key: [group[0]] * len(blocks), "_blk": blocks, "us": expiries})
-
-    carry = (
-        rows.filter(F.col("_blk").isNotNull())
-        .distinct()
-        .groupBy(key, "_blk")
-        .applyInPandas(exits, _schema(log, key, "_blk bigint, last bigint, leaves bigint"))
-        .groupBy(key)
-        .applyInPandas(chain, _schema(log, key, "_blk bigint, us bigint"))
-    )
-    walked = _fold_in_order(rows, carry, [key], ["us"], _ttl_fold(ttl), "anchor bigint")
-    # A window of a hot key may reach over segments; its accesses share the anchor.
+    hot = hot_keys(rows, [key], F.col("us"), min_rows)
+    if hot.isEmpty():
+        none = F.lit(None).cast("long")
+        cut = rows.withColumns({"_blk": none, "_start": none})
+        carry = None
+    else:
+        folder = f"{shared_dir(log.sparkSession)}/windows-{uuid.uuid4()}"
+        times = null_safe_join(rows, F.broadcast(hot.select(key)), [key], "left_semi").distinct()
+        anchors = _hot_anchors(times, hot, key, ttl, folder)
+        hot = log.sparkSession.read.parquet(f"{folder}/hot")
+        cut = cut_blocks(rows, hot, [key], F.col("us"))
+        carry = _open_windows(anchors, hot, key, ttl)
+    walked = _fold_in_order(cut, carry, [key], ["us"], _ttl_fold(ttl), "anchor bigint")
+    # A window of a hot key may reach over blocks; its accesses share the anchor.
     whole = walked.groupBy(key, "anchor").agg(F.count(F.lit(1)).alias("accesses"))
     return whole.select(
         key,

@@ -48,30 +48,40 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in cols])
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], position: Column, min_rows: int = HOT_ROWS, min_width: int = 1
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], position: Column, min_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add ``_blk`` and ``_start``: number and first position of a row's block; NULL unless the key is hot.
+    """(keys, _lo, _hi, _width) of keys with at least ``min_rows`` rows: at most count(df) / min_rows keys.
 
-    A hot key's range of positions is cut into equal widths, so many that a block holds an eighth of
-    ``min_rows`` on average, but none narrower than ``min_width``. The broadcast side has one row per hot
-    key: at most count(df) / min_rows rows.
+    ``_width`` cuts a key's range of positions into blocks that hold an eighth of ``min_rows`` on average.
     """
     at = df.select(*keys, position.cast("long").alias("_at"))
-    hot = (
-        at.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-        .filter(F.col("_n") >= min_rows)
+    counts = at.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")
     )
     blocks = F.ceil(F.col("_n") * BLOCKS_PER_LIMIT / F.lit(min_rows))
-    width = F.greatest(F.lit(min_width).cast("long"), F.ceil((F.col("_hi") - F.col("_lo") + 1) / blocks))
-    hot = hot.select(*keys, "_lo", width.alias("_width"))
-    marked = null_safe_join(df, F.broadcast(hot), keys, "left")
+    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / blocks)
+    return counts.filter(F.col("_n") >= min_rows).select(*keys, "_lo", "_hi", width.alias("_width"))
+
+
+def block_of(position: Column) -> Column:
+    """Number of the block a position falls in, next to the columns of ``hot_keys``."""
     offset = position.cast("long") - F.col("_lo")
-    marked = marked.withColumn("_blk", ((offset - offset % F.col("_width")) / F.col("_width")).cast("long"))
+    return ((offset - offset % F.col("_width")) / F.col("_width")).cast("long")
+
+
+def cut_blocks(df: DataFrame, hot: DataFrame, keys: Sequence[str], position: Column) -> DataFrame:
+    """Add ``_blk`` and ``_start``: number and first position of a row's block; NULL unless the key is hot."""
+    hot = hot.select(*keys, "_lo", "_width")
+    marked = null_safe_join(df, F.broadcast(hot), keys, "left").withColumn("_blk", block_of(position))
     return marked.withColumn("_start", F.col("_lo") + F.col("_blk") * F.col("_width")).drop("_lo", "_width")
 
 
+def split_hot(df: DataFrame, keys: Sequence[str], position: Column, min_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows with the blocks of their hot keys; the broadcast side is bounded, see ``hot_keys``."""
+    return cut_blocks(df, hot_keys(df, keys, position, min_rows), keys, position)
+
+
 def _border(df: DataFrame, keys: Sequence[str], order: Sequence[Column], back: Sequence[Column], n: int):
     """For each block of a hot key, copies of the ``n`` rows that stand before it under ``order``."""
     tail = (

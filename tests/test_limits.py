@@ -43,7 +43,7 @@ def _bucket_loop(times, cap, cost):
     return out
 
 
-@pytest.mark.parametrize("cut", [{}, {"min_rows": 1, "segment_ttls": 1}, {"min_rows": 100, "segment_ttls": 3}, {"min_rows": 20, "segment_ttls": 2}])
+@pytest.mark.parametrize("cut", [{}, {"min_rows": 1}, {"min_rows": 100}])
 def test_ttl_windows(spark, cut):
     data, df = _requests(spark)
     got = limits.ttl_windows(df, "user_id", "ts", 60, **cut)
@@ -61,18 +61,34 @@ def test_access_exactly_at_expiry_is_a_miss(spark):
     assert got == [(1, 1), (1, 0)]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 400), min_size=1, max_size=60), st.integers(1, 50), st.integers(1, 5), st.integers(0, 49))
-def test_ttl_transfer_agrees_with_the_walk(times, ttl, segments, entering):
-    width = ttl * segments
-    us = np.sort(np.array([t for t in times if t < width] or [0]))
-    expiry = min(entering, ttl - 1)  # what may enter lies less than ttl after the start
-    last, exits = limits.ttl_exits(us, 0, ttl)
-    at = int(np.searchsorted(last, expiry))
-    got = int(exits[at]) if at < len(last) else expiry
-    anchors, _ = limits.ttl_walk(us, ttl, expiry)
-    fresh = [a for a in anchors if a >= expiry]
-    assert got == (int(fresh[-1]) + ttl if len(fresh) else expiry)
+@pytest.mark.parametrize("span, ttl, min_rows", [(900, 7, 10), (400, 60, 50), (5000, 3, 200), (100_000, 50, 30), (60, 100, 5)])
+def test_windows_of_hot_keys(spark, span, ttl, min_rows):
+    """Dense and sparse keys, life times shorter and longer than blocks, long gaps."""
+    rnd = random.Random(span)
+    data = []
+    for user, n in ((0, 400), (1, 60), (None, 300), (2, 3)):
+        times = [rnd.randrange(span) for _ in range(n)]
+        if user is None:
+            times = [t for t in times if not span // 4 < t < span // 2]
+        data += [(user, BASE + t * 1_000_000) for t in times]
+    df = spark.createDataFrame(data, "user_id long, us long").select("user_id", F.timestamp_micros("us").alias("ts"))
+    got = limits.ttl_windows(df, "user_id", "ts", ttl, min_rows=min_rows)
+    got = rows(got.select("user_id", F.unix_micros("window_start"), "misses", "hits"))
+    want = []
+    for user in {u for u, _ in data}:
+        want += [(user, *w) for w in _ttl_loop([t for u, t in data if u == user], ttl * 1_000_000)]
+    assert got == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=60), st.integers(1, 50), st.integers(0, 400))
+def test_walk_agrees_with_the_fold(times, ttl, entering):
+    us = np.sort(np.array(times))
+    expiry = min(entering, int(us[0]) + ttl - 1)
+    anchors, counts = limits.ttl_walk(us, ttl, expiry)
+    n = len(us)
+    (folded,) = limits._ttl_fold(ttl)()([True] + [False] * n, [True] + [False] * n, [expiry, *us.tolist()], [0] * (n + 1))
+    assert folded[1:] == [int(a) for a, c in zip(anchors, counts) for _ in range(c)]
 
 
 @pytest.mark.parametrize("cut", [{}, {"min_rows": 1}, {"min_rows": 100}, {"min_rows": 8}])

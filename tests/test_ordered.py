@@ -94,8 +94,6 @@ def test_only_hot_keys_are_cut(spark):
     assert hot.filter("us < _start").count() == 0
     sizes = [r["n"] for r in hot.groupBy("_blk").agg(F.count(F.lit(1)).alias("n")).collect()]
     assert 8 <= len(sizes) <= 11 and max(sizes) < hot.count() / 4
-    wide = ordered.split_hot(log, ["user_id"], F.col("us"), 150, min_width=10**12)
-    assert wide.filter("user_id = 0").select("_blk").distinct().count() == 1
 
 
 def test_unzoned_times_do_not_pass_through_the_session_zone(spark):
