@@ -46,10 +46,14 @@ def topic_counts(logs: DataFrame) -> DataFrame:
 
 
 def _ranked_topics(counts: DataFrame, k: int) -> DataFrame:
-    best = top_per_key(
-        counts.filter(F.col("topic").isNotNull()), ["user_id"], [F.desc("n"), F.asc("topic")], k
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "topic")))
+    """(user_id, top_topics). A missing topic ranks last and is then left out.
+
+    Leaving it out before, or dropping ``last_at``, would give this branch an aggregate of its own; as it
+    is, the counts are shuffled once for the totals and the ranking.
+    """
+    order = [F.col("topic").isNull(), F.desc("n"), F.asc("topic")]
+    best = top_per_key(counts, ["user_id"], order, k).filter(F.col("topic").isNotNull())
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "topic", "last_at")))
     return best.groupBy("user_id").agg(F.to_json(ordered["topic"]).alias("top_topics"))
 
 

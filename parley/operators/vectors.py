@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from parley.constants import NOTHING_FOUND, RESULT, TOP_K
 from parley.functions.values import chunk_key, filled, fixed4, let
 from parley.functions.vectors import cosine_distance, cosine_similarity, has_dim, norm
-from parley.operators.access import chunk_owner, owned_chunks
+from parley.operators.access import owned_chunks
 from parley.operators.ordered import top_per_key
 from parley.operators.text import split_markdown, words
 
@@ -324,7 +324,3 @@ def cosine_pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     b = right.select(on, F.col("embedding").alias("_b"))
     sim = cosine_similarity(F.col("_a"), F.col("_b"))
     return a.join(b, on).select(on, sim.alias("similarity"), (1 - sim).alias("distance"))
-
-
-def with_owner(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    return chunk_owner(chunks, docs)

@@ -8,7 +8,6 @@ import pytest
 from conftest import plan
 
 import __spark_entry__ as entry_points
-from parley.functions import vectors as VF
 from parley.operators import analytics
 from parley.plans.views import Inputs
 
@@ -69,8 +68,14 @@ def test_counts_combine_before_the_shuffle(plans):
         assert "partial_" in plans[name], name
 
 
-def test_the_session_default_reads_no_inferred_schema(spark):
-    assert VF.has_dim is not None
+def test_user_analytics_reads_the_logs_once(spark):
+    df = QUERIES["user_analytics"](spark, FOLDER)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan") == 1
+
+
+def test_the_session_splits_skewed_joins(spark):
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
 
 
