@@ -24,7 +24,7 @@ from parley.llm.words import encoder
 
 CAPACITY = 2048
 #: Chunks per length, over which the numbering of its pieces is spread.
-CHUNKS = 256
+CHUNKS = 64
 
 
 def _cut(path: str, capacity: int):
