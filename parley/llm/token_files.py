@@ -28,33 +28,42 @@ from parley.llm.words import encoder
 MAGIC = b"PTK1"
 #: Numbers after which a shard is closed; only a single longer document makes a larger one.
 SHARD_TOKENS = 1 << 20
+#: Rows that a task works on at a time.
+STEP = 256
 END = np.zeros(1, dtype="<u4").tobytes()
 
 _TABLE = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u4"), ("data", "<u4")])
 #: Lengths of the four numbers of each control byte.
-LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.int64)
+LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
 
-def encode_numbers(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of unsigned 32-bit numbers."""
-    if not len(values):
-        return b"", b""
+def encode_numbers(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray, bytes, np.ndarray]:
+    """(control, control sizes, data, data sizes) of documents of ``counts`` unsigned 32-bit numbers each."""
     values = np.ascontiguousarray(values, dtype="<u4")
     size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
-    codes[: len(values)] = size - 1
+    controls = -(-counts // 4)
+    codes = np.zeros(int(controls.sum()) * 4, dtype=np.uint8)
+    codes[_places(counts, controls)] = size - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4, dtype=np.uint8)[None, :] < size[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8)[None, :] < size[:, None]]
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    last = np.cumsum(counts)
+    return control.tobytes(), controls, data.tobytes(), ends[last] - ends[last - counts]
 
 
-def decode_numbers(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` numbers of a document; lengths come from a table lookup per control byte."""
-    size = LENGTHS[control].reshape(-1)[:n]
-    at = np.cumsum(size) - size
-    out = np.zeros(n, dtype=np.uint32)
+def _places(counts: np.ndarray, controls: np.ndarray) -> np.ndarray:
+    """Where the numbers of each document stand if each document begins at a multiple of four."""
+    skipped = np.cumsum(controls * 4) - controls * 4 - (np.cumsum(counts) - counts)
+    return np.arange(int(counts.sum())) + np.repeat(skipped, counts)
+
+
+def decode_numbers(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of documents of ``counts`` numbers each; lengths come from a table lookup per control byte."""
+    size = LENGTHS[control].reshape(-1)[_places(counts, -(-counts // 4))]
+    at = np.cumsum(size, dtype=np.int64) - size
+    out = np.zeros(len(size), dtype=np.uint32)
     for byte in range(int(size.max(initial=0))):
-        has = size > byte
+        has = np.flatnonzero(size > byte)
         out[has] |= data[at[has] + byte].astype(np.uint32) << np.uint32(8 * byte)
     return out
 
@@ -66,28 +75,43 @@ def shard_bytes(rows: list[tuple[int | None, int, bytes, bytes]]) -> bytes:
     return b"".join([head, table.tobytes(), *[r[2] for r in rows], *[r[3] for r in rows]])
 
 
-def read_shard(payload: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(id, numbers) of each document of a shard, in order."""
+def read_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(table, numbers) of a shard: the rows of its documents and all their numbers, in order."""
     if payload[:4] != MAGIC:
         raise ValueError("not a token shard")
     n_docs = int(np.frombuffer(payload, "<u4", 1, 4)[0])
     table = np.frombuffer(payload, _TABLE, n_docs, 8)
     raw = np.frombuffer(payload, np.uint8, offset=8 + table.nbytes)
-    controls = -(-table["n"].astype(np.int64) // 4)
-    control_ends = np.cumsum(controls)
-    data_ends = np.cumsum(table["data"].astype(np.int64)) + (control_ends[-1] if n_docs else 0)
-    for k in range(n_docs):
-        control = raw[control_ends[k] - controls[k] : control_ends[k]]
-        data = raw[data_ends[k] - int(table["data"][k]) : data_ends[k]]
-        yield int(table["id"][k]) if table["known"][k] else None, decode_numbers(control, data, int(table["n"][k]))
+    counts = table["n"].astype(np.int64)
+    controls = int((-(-counts // 4)).sum())
+    return table, decode_numbers(raw[:controls], raw[controls:], counts)
+
+
+def _flat(ids: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of a column of little-endian unsigned 32-bit integers, without copying."""
+    offsets = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+    if len(ids) == 0:
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+    flat = np.frombuffer(ids.buffers()[2], "<u4", (offsets[-1] - offsets[0]) // 4, int(offsets[0]))
+    return flat, np.diff(offsets) // 4
+
+
+def _binary(data: bytes, sizes: np.ndarray) -> pa.BinaryArray:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``STEP`` rows, so that work arrays stay small."""
+    for at in range(0, batch.num_rows, STEP):
+        yield batch.slice(at, STEP)
 
 
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in _slices(batch):
                 ids = [words.encode(t) + END for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -109,8 +133,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for ids in batch.column(0):
-            found = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+        for part in _slices(batch):
+            found = np.bincount(_flat(part.column(0))[0])
             if len(found) > len(total):
                 total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
             total[: len(found)] += found
@@ -131,18 +155,14 @@ def _code(order: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(2)]
-            coded = [encode_numbers(rank[x]) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([c for c, _ in coded], pa.binary()),
-                    pa.array([d for _, d in coded], pa.binary()),
-                ],
-                names=["doc_id", "crc", "n", "control", "data"],
-            )
+            for part in _slices(batch):
+                flat, counts = _flat(part.column(2))
+                control, controls, data, sizes = encode_numbers(rank[flat], counts)
+                columns = [part.column(0), part.column(1), pa.array(counts)]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, _binary(control, controls), _binary(data, sizes)],
+                    names=["doc_id", "crc", "n", "control", "data"],
+                )
 
     return run
 
@@ -160,7 +180,7 @@ def _gather(shard_tokens: int):
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for row in (r for part in _slices(batch) for r in zip(*[c.to_pylist() for c in part.columns], strict=True)):
                 if rows and held + row[1] > shard_tokens:
                     yield close()
                     shard, rows, held = shard + 1, [], 0
@@ -207,19 +227,22 @@ def _open(order: np.ndarray, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, shard, payload in zip(*[batch.column(i) for i in range(3)], strict=True):
-                docs = [(i, order[x].astype("<u4")) for i, x in read_shard(payload.as_buffer().to_pybytes())]
-                n = np.array([len(x) for _, x in docs], dtype=np.int64)
+                table, numbers = read_shard(payload.as_buffer().to_pybytes())
+                ids, n = order[numbers].astype("<u4"), table["n"].astype(np.int64)
+                ends = np.cumsum(n)
+                raw = ids.tobytes()
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                 columns = [
-                    pa.array([part.as_py()] * len(docs), pa.int32()),
-                    pa.array([shard.as_py()] * len(docs), pa.int32()),
-                    pa.array([i for i, _ in docs], pa.int64()),
-                    pa.array(np.cumsum(n) - n),
+                    pa.array([part.as_py()] * len(n), pa.int32()),
+                    pa.array([shard.as_py()] * len(n), pa.int32()),
+                    pa.array(table["id"], pa.int64(), mask=table["known"] == 0),
+                    pa.array(ends - n),
                     pa.array(n),
-                    pa.array([zlib.crc32(x.tobytes()) for _, x in docs], pa.int64()),
+                    pa.array(crc, pa.int64()),
                 ]
                 names = ["part", "shard", "doc_id", "before", "n_tokens", "ids_crc32"]
                 if keep_ids:
-                    columns.append(pa.array([x.tobytes() for _, x in docs], pa.binary()))
+                    columns.append(_binary(raw, 4 * n))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
