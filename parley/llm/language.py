@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.store import own_columns
+from parley.llm.store import free_name, own_columns
 
 BUCKETS_LOG2 = 14
 ORDERS = (1, 2, 3)
@@ -245,3 +245,23 @@ def identify(
     model = train(docs.filter(~held_out), per_class)
     found = docs.select("doc_id", held_out.alias("held_out"), predictions(model, F.col("text")).alias("p"))
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def keep_identified(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    least_score: float = 0.5,
+    per_class: int = PER_CLASS,
+) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose language is told with at least ``least_score``.
+
+    Texts without a letter and NULL texts are rejected. The model learns from the same rows as in ``identify``.
+    """
+    docs = own_columns(df, doc_id=id_col, text=text_col, lang=lang_col)
+    model = train(docs.filter(~held_out_of(F.col("doc_id"), 4, 2)), per_class)
+    name = free_name(df, "language")
+    found = df.withColumn(name, predictions(model, F.col(f"`{text_col}`").cast("string")))
+    told = (F.col(name)["lang_pred"] != UNKNOWN) & (F.col(name)["score"] >= least_score)
+    return found.filter(told).drop(name)

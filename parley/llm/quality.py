@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.language import held_out_of
-from parley.llm.store import own_columns, written
+from parley.llm.store import free_name, own_columns, written
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -270,3 +270,14 @@ def rate(
     model = train(docs.filter(~held_out), labelled(labels, label))
     found = docs.select("doc_id", held_out.alias("held_out"), scores(model, F.col("text")).alias("score"))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality"
+) -> DataFrame:
+    """The rows of ``df``, with all their columns, that ``rate`` predicts to be of label 1."""
+    docs = own_columns(df, doc_id=id_col, text=text_col)
+    model = train(docs.filter(~held_out_of(F.col("doc_id"), 4, 2)), labelled(labels, label))
+    name = free_name(df, "quality_score")
+    rated = df.withColumn(name, scores(model, F.col(f"`{text_col}`").cast("string")))
+    return rated.filter(F.col(name) >= THRESHOLD).drop(name)
