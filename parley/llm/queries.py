@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact, language, licenses, packing, quality, simhash, sketches, token_files, toxicity
+from parley.llm import (
+    exact,
+    language,
+    licenses,
+    packing,
+    pieces,
+    quality,
+    simhash,
+    sketches,
+    token_files,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -37,6 +48,11 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@_register
+def op2_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @_register
 def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.edited_fingerprints(table(spark, folder, "documents"))

@@ -74,7 +74,7 @@ class Memo:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
-    def get(self, key: str) -> bytes | None:
+    def get(self, key):
         found = self.young.get(key)
         if found is None:
             found = self.old.get(key)
@@ -82,8 +82,8 @@ class Memo:
                 self.put(key, found)
         return found
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(key) <= KEPT_CHARS:
+    def put(self, key, value) -> None:
+        if not isinstance(key, str) or len(key) <= KEPT_CHARS:
             if len(self.young) >= self.size:
                 self.old, self.young = self.young, {}
             self.young[key] = value
