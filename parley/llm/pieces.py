@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.store import own_columns
-from parley.llm.words import Memo
+from parley.llm.words import KEPT_CHARS, Memo
 
 MARK = "▁"
 #: Words and pairs of pieces that a worker remembers, per generation; texts that are matched together.
@@ -210,7 +210,8 @@ class PieceModel:
             for words, ids in zip(split, found, strict=True)
         ]
         for word, ids in made.items():
-            self.words.put(word, ids)
+            if len(word) <= KEPT_CHARS:
+                self.words.put(word, ids)
         return out
 
     def decode(self, ids: np.ndarray) -> str:

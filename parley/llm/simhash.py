@@ -118,7 +118,7 @@ def near_links(prints: DataFrame, max_distance: int = 3, segments: int = 2) -> D
         *[
             F.struct(
                 F.lit(k).alias("segment"),
-                F.shiftrightunsigned("print", first).bitwiseAND(F.lit((1 << width) - 1)).alias("value"),
+                F.shiftrightunsigned("print", first).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1)).alias("value"),
             )
             for k, (first, width) in enumerate(bounds)
         ]

@@ -14,13 +14,13 @@ import json
 import os
 import re
 import sys
-from struct import pack
+from struct import Struct, pack
 from types import ModuleType
 
 import numpy as np
 
 #: Entries of one generation of a memo; a memo holds two, which bounds a worker's memory.
-WORDS, CHUNKS = 200_000, 300_000
+WORDS, CHUNKS = 300_000, 500_000
 #: Longer words are not kept in the memo.
 KEPT_CHARS = 64
 
@@ -30,6 +30,7 @@ LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 DIGIT = "0-9²³¹¼½¾"
 SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
 
+_PACKS = [Struct(f"<{n}I").pack for n in range(17)]
 _SPACES = "\t\n\v\f\r\x85\xa0"
 _CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _BYTE_WORDS = re.compile(
@@ -83,10 +84,9 @@ class Memo:
         return found
 
     def put(self, key, value) -> None:
-        if not isinstance(key, str) or len(key) <= KEPT_CHARS:
-            if len(self.young) >= self.size:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class WordEncoder:
@@ -113,12 +113,19 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self._words.get(word)
-        if found is None:
+        """Ids of a word of the layout's pattern."""
+        words = self._words
+        found = words.young.get(word) or words.old.get(word)
+        if found:
+            return found
+        if word.isascii() and word[word[0] == " " :].isalnum():
+            mapped = word.replace(" ", "Ġ")
+        else:
             mapped = word.encode("utf-8").decode("latin-1").translate(self._bytes)
-            ids = [t.id for t in self._model.tokenize(mapped)]
-            found = pack(f"<{len(ids)}I", *ids)
-            self._words.put(word, found)
+        ids = [t.id for t in self._model.tokenize(mapped)]
+        found = _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else pack(f"<{len(ids)}I", *ids)
+        if len(word) <= KEPT_CHARS:
+            words.put(word, found)
         return found
 
     def _chunk(self, memo: Memo, key: str, before: str) -> bytes:
@@ -134,7 +141,8 @@ class WordEncoder:
             else:
                 pattern = _BYTE_WORDS if self.layout == "byte" else _LOWER_WORDS
                 found = b"".join(map(self._word, pattern.findall(before + key)))
-            memo.put(key, found)
+            if len(key) <= KEPT_CHARS:
+                memo.put(key, found)
         return found
 
     def encode(self, text: str | None) -> bytes:
