@@ -15,14 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.llm.blocks import block_bounds, block_of, id_key
 from parley.llm.store import own_columns
 
 K = 128
 SHINGLE = 5
-#: Blocks per shuffle partition, so that blocks of unequal texts even out.
-BLOCKS = 4
 _SPACE = " \t\n\x0b\x0c\r"
-_NONE = -(1 << 63)
 
 
 def with_sketch(df: DataFrame, text: Column, name: str, k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -59,7 +57,7 @@ def merged_by(df: DataFrame, keys: list[str], sketch: str, k: int = K) -> DataFr
 
 def distinct_shingles(sketch: Column, k: int = K) -> Column:
     """The number of distinct shingles: counted below k, else estimated from the k-th smallest hash."""
-    share = (F.element_at(sketch, -1).cast("double") - F.lit(float(_NONE))) / F.lit(2.0**64)
+    share = (F.element_at(sketch, -1).cast("double") - F.lit(-(2.0**63))) / F.lit(2.0**64)
     return F.when(F.size(sketch) < k, F.size(sketch).cast("double")).otherwise((k - 1) / share)
 
 
@@ -84,19 +82,6 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _block_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most ``key``, by halving steps."""
-    if not bounds:
-        return F.lit(0)
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    edges = F.lit(bounds)
-
-    def step(at: Column, n: Column) -> Column:
-        return F.when(F.coalesce(F.get(edges, at + n - 1) <= key, F.lit(False)), at + n).otherwise(at)
-
-    return F.aggregate(F.lit(steps), F.lit(0), step)
-
-
 def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text) in blocks with ``block``, ``border`` and ``key``; border rows end each block.
 
@@ -104,11 +89,8 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     NULL ids come first; rows of equal ids follow their texts.
     """
     spark = docs.sparkSession
-    blocks = blocks or BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_NONE)).alias("key"))
-    cuts = [i / blocks for i in range(1, blocks)]
-    found = keyed.agg(F.percentile_approx("key", cuts, 100 * blocks)).first()[0] if cuts else None
-    block = _block_of(F.col("key"), sorted(set(found or [])))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), id_key().alias("key"))
+    block = block_of(F.col("key"), block_bounds(keyed, "key", blocks))
     placed = keyed.withColumn("block", block).withColumn("border", F.lit(False))
     # One row per block: as many as the parameters say, whatever the corpus.
     firsts = sorted(tuple(r) for r in placed.groupBy("block").agg(F.min("key")).collect())

@@ -2,7 +2,8 @@
 
 Writing: texts are tokenised once, row by row, into a table of the shared folder; token counts over all of it rank
 the vocabulary, so that the frequent tokens get the small numbers; each document's ranks are coded; the coded
-documents are dealt by ranges of their ids and gathered into shards. The only shuffle moves coded bytes.
+documents are dealt into blocks between quantiles of their ids and gathered into shards. The only shuffle moves
+coded bytes.
 
 The code of a document with n numbers is ceil(n / 4) control bytes, two bits per number (its length in bytes less
 one, first number lowest), then the numbers' bytes, lowest first. A shard is a header (magic, number of
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parley.llm.blocks import block_bounds, block_of, id_key
 from parley.llm.store import folder, own_columns, written
 from parley.llm.words import encoder
 
@@ -172,7 +173,7 @@ def _gather(shard_tokens: int):
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, rows, held = TaskContext.get().partitionId(), 0, [], 0
+        part, shard, rows, held = None, 0, [], 0
 
         def close():
             values = [part, shard, len(rows), held, shard_bytes(rows)]
@@ -180,12 +181,14 @@ def _gather(shard_tokens: int):
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for row in (r for part in _slices(batch) for r in zip(*[c.to_pylist() for c in part.columns], strict=True)):
-                if rows and held + row[1] > shard_tokens:
-                    yield close()
-                    shard, rows, held = shard + 1, [], 0
-                rows.append(row)
-                held += row[1]
+            for piece in _slices(batch):
+                for block, *row in zip(*[c.to_pylist() for c in piece.columns], strict=True):
+                    if rows and (block != part or held + row[1] > shard_tokens):
+                        yield close()
+                        shard, rows, held = (shard + 1 if block == part else 0), [], 0
+                    part = block
+                    rows.append(row)
+                    held += row[1]
         if rows:
             yield close()
 
@@ -211,12 +214,13 @@ def write_token_files(
     order = token_ranks(tokens)
     ranks = spark.createDataFrame([(i, int(t)) for i, t in enumerate(order)], "rank long, token long")
     ranks.write.parquet(f"{path}/ranks")
-    by = [F.col("doc_id").asc_nulls_first(), F.col("crc").asc()]
+    block = block_of(id_key(), block_bounds(tokens.select(id_key().alias("key")), "key"))
     (
         tokens.mapInArrow(_code(order), "doc_id long, crc long, n long, control binary, data binary")
-        .repartitionByRange(*by)
-        .sortWithinPartitions(*by)
-        .select("doc_id", "n", "control", "data")
+        .withColumn("block", block)
+        .repartition("block")
+        .sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "crc")
+        .select("block", "doc_id", "n", "control", "data")
         .mapInArrow(_gather(shard_tokens), "part int, shard int, n_docs long, n_tokens long, payload binary")
         .write.option("compression", "uncompressed")
         .parquet(f"{path}/shards")

@@ -30,7 +30,6 @@ LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 DIGIT = "0-9²³¹¼½¾"
 SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
 
-_PACKS = [Struct(f"<{n}I").pack for n in range(17)]
 _SPACES = "\t\n\v\f\r\x85\xa0"
 _CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _BYTE_WORDS = re.compile(
@@ -104,6 +103,7 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._model = self.tokenizer.model
         self._bytes = byte_alphabet()
+        self._packs = [Struct(f"<{n}I").pack for n in range(17)]
         self._words = Memo(WORDS)
         self._spaced = Memo(CHUNKS)
         self._chunks = Memo(CHUNKS)
@@ -123,7 +123,7 @@ class WordEncoder:
         else:
             mapped = word.encode("utf-8").decode("latin-1").translate(self._bytes)
         ids = [t.id for t in self._model.tokenize(mapped)]
-        found = _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else pack(f"<{len(ids)}I", *ids)
+        found = self._packs[len(ids)](*ids) if len(ids) < len(self._packs) else pack(f"<{len(ids)}I", *ids)
         if len(word) <= KEPT_CHARS:
             words.put(word, found)
         return found
