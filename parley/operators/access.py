@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.constants import DENIED
 from parley.functions.values import has_permission, permission_map
-from parley.operators.ordered import micros, top_per_key
+from parley.operators.ordered import micros
 
 
 def user_permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
@@ -41,13 +41,12 @@ def overlay(
 ) -> DataFrame:
     """``base`` with ``value`` taken from the cache where an entry is live at ``as_of``.
 
-    Of several entries under one key the latest loaded one counts, as in a key-value store. ``from_cache``
-    tells which source was used.
+    Of several entries under one key the latest loaded one counts, as in a key-value store, and of those loaded
+    at the same time the one with the greatest value. ``from_cache`` tells which source was used.
     """
-    entry = top_per_key(cache.filter(F.col(loaded) <= as_of), [key], [F.desc(loaded)], 1, "_k")
-    live = entry.filter(as_of < F.col(loaded) + F.make_dt_interval(secs=F.lit(ttl_s))).select(
-        F.col(key).alias("_ck"), F.col(value).alias("_cv")
-    )
+    at = F.struct(F.col(loaded).alias("_at"), F.col(value).alias("_cv"))
+    entry = cache.filter(F.col(loaded) <= as_of).groupBy(F.col(key).alias("_ck")).agg(F.max(at).alias("_e"))
+    live = entry.filter(as_of < F.col("_e._at") + F.make_dt_interval(secs=F.lit(ttl_s))).select("_ck", "_e._cv")
     joined = base.join(live, F.col(key) == F.col("_ck"), "left")
     others = [c for c in base.columns if c != value]
     return joined.select(

@@ -78,14 +78,14 @@ def user_analytics(logs: DataFrame, k: int = 2) -> DataFrame:
 
 
 def interaction_gaps(logs: DataFrame, cap_s: int, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Seconds to the user's next message, at most ``cap_s``; NULL after the last message."""
+    """Seconds to the user's next message, at most ``cap_s``; NULL after the last message and without a time."""
     keys, order = ["user_id"], ["created_at", "id"]
     rows = logs.select("id", "user_id", "created_at", micros(logs, "created_at").alias("_us"))
     rows = with_borders(split_hot(rows, keys, F.col("_us"), min_rows), keys, order, after=1)
     following = F.lead("_us").over(block_window(keys, order))
     gap = F.least((following - F.col("_us")) / F.lit(1e6), F.lit(float(cap_s)))
-    # least() skips NULL, so the last message must be kept apart.
-    rows = rows.withColumn("duration_s", F.when(following.isNotNull(), gap))
+    # least() skips NULL, so the last message and messages without a time must be kept apart.
+    rows = rows.withColumn("duration_s", F.when(following.isNotNull() & F.col("_us").isNotNull(), gap))
     return without_borders(rows).select("id", "user_id", "created_at", "duration_s")
 
 

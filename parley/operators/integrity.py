@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,23 +84,36 @@ def restrict_delete(parent: DataFrame, key: str, child: DataFrame, child_key: st
     )
 
 
+def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:
+    """One row per key: by ``order``, then by all columns, so that the choice never depends on the run."""
+    every = [*order, *[c for c in df.columns if c not in order]]
+    by = [F.col(c).desc() if last else F.col(c).asc() for c in every]
+    return top_per_key(df, keys, by, 1, "_k").drop("_k")
+
+
 def insert_ignore(
     target: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
 ) -> DataFrame:
-    """``target`` plus the rows of ``new`` whose key it lacks; among equal new keys the first stays."""
-    if order:
-        new = top_per_key(new, keys, [F.col(c) for c in order], 1, "_k").drop("_k")
-    else:
-        new = new.dropDuplicates(list(keys))
-    fresh = new.join(target.select(*keys), list(keys), "left_anti")
-    return target.unionByName(fresh.select(*target.columns))
+    """``target`` plus the rows of ``new`` whose key it lacks; among equal new keys the first stays.
+
+    A key with a NULL part conflicts with no other, so all such rows are inserted.
+    """
+    whole = new.dropna("any", subset=list(keys))
+    fresh = _one_per_key(whole, keys, order, last=False).join(target.select(*keys), list(keys), "left_anti")
+    partial = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    rows = fresh.select(*target.columns).unionByName(new.filter(partial).select(*target.columns))
+    return target.unionByName(rows)
 
 
 def upsert(
     target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows of ``updates`` replace rows of equal key; with ``order``, the last update of a key wins."""
-    if order:
-        updates = top_per_key(updates, keys, [F.col(c).desc() for c in order], 1, "_k").drop("_k")
-    kept = target.join(updates.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(updates.select(*target.columns))
+    """Rows of ``updates`` replace rows of equal key; of several updates of a key the last one counts.
+
+    Last is by ``order`` and then by all columns. An update with a NULL key part equals no row and is added.
+    """
+    whole = _one_per_key(updates.dropna("any", subset=list(keys)), keys, order, last=True)
+    kept = target.join(whole.select(*keys), list(keys), "left_anti")
+    partial = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    rows = whole.select(*target.columns).unionByName(updates.filter(partial).select(*target.columns))
+    return kept.unionByName(rows)

@@ -25,6 +25,7 @@ from parley.constants import CACHE_TTL_S, TIER_LIMITS
 from parley.operators.ordered import (
     HOT_ROWS,
     block_of,
+    block_starts,
     cut_blocks,
     floor_div,
     hot_keys,
@@ -121,9 +122,9 @@ def _ttl_fold(ttl: int):
 
 def _blocks(hot: DataFrame, key: str) -> DataFrame:
     """(key, _blk, _start) of every block of the hot keys, also of those without a row."""
-    last = block_of(F.col("_hi"))
-    numbered = hot.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return numbered.select(key, "_blk", (F.col("_lo") + F.col("_blk") * F.col("_width")).alias("_start"))
+    return hot.select(key, F.posexplode(block_starts()).alias("_blk", "_start")).withColumn(
+        "_blk", F.col("_blk").cast("long")
+    )
 
 
 def _successors(times: DataFrame, hot: DataFrame, key: str, ttl: int) -> DataFrame:
@@ -132,7 +133,7 @@ def _successors(times: DataFrame, hot: DataFrame, key: str, ttl: int) -> DataFra
     ``cell`` numbers the life times since the key's first access. A window's end is looked up in its own
     block, where an extra row stands for the first access of the blocks behind.
     """
-    t = null_safe_join(times, F.broadcast(hot), [key], "inner")
+    t = null_safe_join(times, hot, [key], "inner")
     cell = floor_div(F.col("us") - F.col("_lo"), ttl)
     end = F.col("us") + ttl
     none = F.lit(None).cast("long")
@@ -224,11 +225,11 @@ def ttl_windows(
 ) -> DataFrame:
     """Windows of ``ttl_s`` seconds anchored at the first access after expiry, with hits and misses.
 
-    Whether there are hot keys is asked when the operator is called, since their anchors take several
-    jobs and a folder that all executors share.
+    An access without a time belongs to no window and is left out. Whether there are hot keys is asked when the
+    operator is called, since their anchors take several jobs and a folder that all executors share.
     """
     ttl = ttl_s * 1_000_000
-    rows = log.select(F.col(key), micros(log, ts).alias("us"))
+    rows = log.select(F.col(key), micros(log, ts).alias("us")).filter(F.col("us").isNotNull())
     hot = hot_keys(rows, [key], F.col("us"), min_rows)
     if hot.isEmpty():
         none = F.lit(None).cast("long")
@@ -236,7 +237,7 @@ def ttl_windows(
         carry = None
     else:
         folder = f"{shared_dir(log.sparkSession)}/windows-{uuid.uuid4()}"
-        times = null_safe_join(rows, F.broadcast(hot.select(key)), [key], "left_semi").distinct()
+        times = null_safe_join(rows, hot.select(key), [key], "left_semi").distinct()
         anchors = _hot_anchors(times, hot, key, ttl, folder)
         hot = log.sparkSession.read.parquet(f"{folder}/hot")
         cut = cut_blocks(rows, hot, [key], F.col("us"))
@@ -395,13 +396,14 @@ def apply_transfer(pieces: list[tuple[int, bool, int]], level: int) -> int:
 def token_bucket(requests: DataFrame, capacity: int, refill_s: int, min_rows: int = HOT_ROWS) -> DataFrame:
     """Requests ``(id, user_id, ts)`` marked ``admitted`` by a bucket per user that starts full.
 
-    ``refill_s`` is the time in which one token comes back; ``credit_us`` is what is left after the request.
+    ``refill_s`` is the time in which one token comes back; ``credit_us`` is what is left after the request. A
+    request without a time is never admitted, has no credit and does not count for the others.
     """
     cost = refill_s * 1_000_000
     cap = capacity * cost
     key = "user_id"
-    rows = requests.select("id", key, "ts", micros(requests, "ts").alias("us"))
-    rows = split_hot(rows, [key], F.col("us"), min_rows)
+    given = requests.select("id", key, "ts", micros(requests, "ts").alias("us"))
+    rows = split_hot(given.filter(F.col("us").isNotNull()), [key], F.col("us"), min_rows)
 
     def transfer(group, pdf):
         us = np.sort(pdf["us"].to_numpy())
@@ -430,4 +432,7 @@ def token_bucket(requests: DataFrame, capacity: int, refill_s: int, min_rows: in
     )
     added = "admitted boolean, credit_us bigint"
     folded = _fold_in_order(rows, carry, [key], ["us", "id"], _bucket_fold(cap, cost), added)
-    return folded.select("id", key, "ts", "admitted", "credit_us")
+    timeless = given.filter(F.col("us").isNull()).select(
+        "id", key, "ts", F.lit(False).alias("admitted"), F.lit(None).cast("long").alias("credit_us")
+    )
+    return folded.select("id", key, "ts", "admitted", "credit_us").unionByName(timeless)

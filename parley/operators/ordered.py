@@ -1,11 +1,13 @@
 """Ordered operations per key that survive a key holding a large share of all rows.
 
 A plain ``Window.partitionBy(key)`` sorts a key's rows in one task. Here a *hot* key (one with at
-least ``min_rows`` rows) is cut into blocks along its ordering axis and the windows run per
-``(key, block)``. What a block must know about its neighbours is small (a few border rows, or a
-total) and is computed from per-block summaries, then placed into the block as extra rows. Keys that
-are not hot keep ``_blk`` NULL and form a single block, so they pay nothing but the count of rows
-per key, which reads the key and ordering columns only and combines map-side.
+least ``min_rows`` rows) is cut into blocks between quantiles of its own positions, so that blocks hold
+about equally many rows whatever a burst or a wrong clock does to the range, and the windows run per
+``(key, block)``. Rows without a position come first, as they do under the windows' order; rows of one position
+share a block. What a block must know about its neighbours is small (a few border rows, or a total) and is
+computed from per-block summaries, then placed into the block as extra rows. Keys that are not hot keep
+``_blk`` NULL and form a single block, so they pay nothing but the count of rows per key, which reads the key
+and ordering columns only and combines map-side.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 4_000_000
 BLOCKS_PER_LIMIT = 8
+#: Quantiles taken of a hot key's positions: as many blocks as one key can have.
+QUANTILES = 1024
+NO_POSITION = -(1 << 63)
 
 _DAY, _HOUR, _MINUTE, _SECOND = 86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000
 
@@ -48,37 +53,64 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in cols])
 
 
+def _placed(position: Column) -> Column:
+    return F.coalesce(position.cast("long"), F.lit(NO_POSITION))
+
+
 def hot_keys(
     df: DataFrame, keys: Sequence[str], position: Column, min_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """(keys, _lo, _hi, _width) of keys with at least ``min_rows`` rows: at most count(df) / min_rows keys.
+    """(keys, _lo, _hi, _bounds) of keys with at least ``min_rows`` rows: at most count(df) / min_rows keys.
 
-    ``_width`` cuts a key's range of positions into blocks that hold an eighth of ``min_rows`` on average.
+    ``_bounds`` holds the first positions of all blocks but the first. Blocks hold an eighth of ``min_rows`` rows on
+    average, so all bounds together are at most 8 * count(df) / min_rows numbers.
     """
-    at = df.select(*keys, position.cast("long").alias("_at"))
+    at = df.select(*keys, _placed(position).alias("_at"))
     counts = at.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")
     )
-    blocks = F.ceil(F.col("_n") * BLOCKS_PER_LIMIT / F.lit(min_rows))
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / blocks)
-    return counts.filter(F.col("_n") >= min_rows).select(*keys, "_lo", "_hi", width.alias("_width"))
+    hot = counts.filter(F.col("_n") >= min_rows)
+    cuts = [i / QUANTILES for i in range(1, QUANTILES)]
+    found = (
+        null_safe_join(at, hot, keys, "inner")
+        .groupBy(*keys, "_n", "_lo", "_hi")
+        .agg(F.percentile_approx("_at", cuts, 10 * QUANTILES).alias("_q"))
+    )
+    blocks = F.least(F.ceil(F.col("_n") * BLOCKS_PER_LIMIT / F.lit(min_rows)), F.lit(QUANTILES)).cast("int")
+    picked = F.transform(
+        F.sequence(F.lit(1), F.col("_blocks") - 1),
+        lambda i: F.element_at("_q", F.floor(i * QUANTILES / F.col("_blocks")).cast("int")),
+    )
+    none = F.array().cast("array<bigint>")
+    bounds = F.when(F.col("_blocks") > 1, F.array_distinct(picked)).otherwise(none)
+    return found.withColumn("_blocks", blocks).select(*keys, "_lo", "_hi", bounds.alias("_bounds"))
 
 
 def block_of(position: Column) -> Column:
-    """Number of the block a position falls in, next to the columns of ``hot_keys``."""
-    offset = position.cast("long") - F.col("_lo")
-    return ((offset - offset % F.col("_width")) / F.col("_width")).cast("long")
+    """Number of the block a position falls in, next to the columns of ``hot_keys``: its bounds up to it, by halving."""
+    steps = [1 << i for i in reversed(range((QUANTILES - 1).bit_length()))]
+    at = _placed(position)
+
+    def step(n: Column, more: Column) -> Column:
+        return F.when(F.coalesce(F.get("_bounds", n + more - 1) <= at, F.lit(False)), n + more).otherwise(n)
+
+    return F.when(F.col("_bounds").isNotNull(), F.aggregate(F.lit(steps), F.lit(0), step).cast("long"))
+
+
+def block_starts() -> Column:
+    """First positions of all blocks, next to the columns of ``hot_keys``."""
+    return F.concat(F.array("_lo"), "_bounds")
 
 
 def cut_blocks(df: DataFrame, hot: DataFrame, keys: Sequence[str], position: Column) -> DataFrame:
     """Add ``_blk`` and ``_start``: number and first position of a row's block; NULL unless the key is hot."""
-    hot = hot.select(*keys, "_lo", "_width")
-    marked = null_safe_join(df, F.broadcast(hot), keys, "left").withColumn("_blk", block_of(position))
-    return marked.withColumn("_start", F.col("_lo") + F.col("_blk") * F.col("_width")).drop("_lo", "_width")
+    marked = null_safe_join(df, hot.select(*keys, "_lo", "_bounds"), keys, "left").withColumn("_blk", block_of(position))
+    start = F.when(F.col("_blk").isNotNull(), F.get(block_starts(), F.col("_blk").cast("int")))
+    return marked.withColumn("_start", start).drop("_lo", "_bounds")
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], position: Column, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows with the blocks of their hot keys; the broadcast side is bounded, see ``hot_keys``."""
+    """Rows with the blocks of their hot keys; the planner sees the size of that list, see ``hot_keys``."""
     return cut_blocks(df, hot_keys(df, keys, position, min_rows), keys, position)
 
 

@@ -1,17 +1,20 @@
-"""Jobs over many sample series, one row per sample: (signal_id, n, sample) with n dense from 1.
+"""Jobs over many sample series, one row per sample: (signal_id, n, sample) with n from 1.
 
-Every rule is stated on the sample number, so no operator needs to see a series as a whole.
+Rates and block means are stated on the sample number, frames on the position among the samples that arrived. No
+operator needs to see a series as a whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.constants import FRAME
+from parley.operators.ordered import HOT_ROWS, running_sum, split_hot
+
 
 def _div(a: Column, b: int) -> Column:
     """Integer quotient of a non-negative number."""
@@ -51,11 +54,12 @@ def quantise(sample: Column, mode: str = "floor") -> Column:
     """Sample in [-1, 1] to a 16-bit integer; values outside are clamped.
 
     ``floor`` scales by 32768, rounds down and clips at 32767. ``split`` scales negative samples by 32768
-    and others by 32767 and drops the fraction.
+    and others by 32767 and drops the fraction. NULL stays NULL, and what is not a number becomes silence.
     """
-    x = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sample.cast("double")))
+    sample = F.when(F.isnan(sample.cast("double")), F.lit(0.0)).otherwise(sample.cast("double"))
+    x = F.when(sample.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sample)))
     if mode == "floor":
-        return F.least(F.floor(x * 32768), F.lit(32767)).cast("smallint")
+        return F.when(x.isNotNull(), F.least(F.floor(x * 32768), F.lit(32767))).cast("smallint")
     if mode == "split":
         return F.when(x < 0, x * 32768).otherwise(x * 32767).cast("smallint")
     raise ValueError(f"unknown mode {mode!r}")
@@ -65,30 +69,49 @@ def dequantise(value: Column) -> Column:
     return value.cast("double") / F.lit(32768.0)
 
 
-def frames(s: DataFrame, size: int = FRAME, number: str = "n", value: str = "sample") -> DataFrame:
-    """Full frames of ``size`` consecutive samples; an incomplete tail is held back."""
-    frame = _div(F.col(number) - 1, size)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(number).alias("i"), F.col(value).alias("v"))))
+def frames(
+    s: DataFrame, size: int = FRAME, number: str = "n", value: str = "sample", min_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Full frames of ``size`` consecutive samples in the order of their numbers; an incomplete tail is held back.
+
+    Samples are framed as they arrive: a lost number leaves no hole, and of a doubled number one sample counts
+    (the least). The running position of a signal with very many samples is taken in blocks.
+    """
+    once = s.groupBy("signal_id", F.col(number).alias("_i")).agg(F.min(value).alias("_sample"))
+    placed = running_sum(split_hot(once, ["signal_id"], F.col("_i"), min_rows), ["signal_id"], ["_i"], F.lit(1), "_p")
+    frame = _div(F.col("_p") - 1, size)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_p").alias("i"), F.col("_sample").alias("v"))))
     return (
-        s.groupBy("signal_id", frame.alias("frame"))
+        placed.groupBy("signal_id", frame.alias("frame"))
         .agg(ordered["v"].alias("samples"))
         .filter(F.size("samples") == size)
     )
 
 
-@F.pandas_udf(T.StringType())
-def encode_pcm(samples: pd.Series) -> pd.Series:
-    """Base64 of the samples as little-endian 16-bit integers."""
-    import base64
-
-    return samples.map(
-        lambda v: None if v is None else base64.b64encode(np.asarray(v, dtype="<i2").tobytes()).decode()
-    )
+@F.arrow_udf(T.BinaryType())
+def _pcm_bytes(samples: pa.Array) -> pa.Array:
+    """The values' own buffer, cut at the lists' offsets: little-endian 16-bit integers, without a loop."""
+    lists = pa.concat_arrays([samples]) if samples.offset else samples
+    offsets = lists.offsets.to_numpy().astype("<i4")
+    values = np.ascontiguousarray(lists.values.fill_null(0).to_numpy(zero_copy_only=False), dtype="<i2")
+    mask = None if not lists.null_count else pa.array(lists.is_valid()).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(lists), [mask, pa.py_buffer(2 * offsets), pa.py_buffer(values)])
 
 
-@F.pandas_udf(T.ArrayType(T.ShortType()))
-def _pcm_samples(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else np.frombuffer(b, dtype="<i2"))
+def encode_pcm(samples: Column | str) -> Column:
+    """Base64 of the samples as little-endian 16-bit integers."""
+    samples = F.col(samples) if isinstance(samples, str) else samples
+    return F.base64(_pcm_bytes(samples.cast("array<smallint>")))
+
+
+@F.arrow_udf(T.ArrayType(T.ShortType()))
+def _pcm_samples(data: pa.Array) -> pa.Array:
+    """The reverse: the bytes' buffer as the values of lists."""
+    held = data.fill_null(b"")
+    offsets = np.frombuffer(held.buffers()[1], "<i4")[held.offset : held.offset + len(held) + 1]
+    values = np.frombuffer(held.buffers()[2] or b"", "<i2", (offsets[-1] - offsets[0]) // 2, int(offsets[0]))
+    mask = None if not data.null_count else pa.array(data.is_null())
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]) // 2, pa.int32()), pa.array(values, pa.int16()), mask=mask)
 
 
 def decode_pcm(text: Column) -> Column:

@@ -7,6 +7,7 @@ never shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,42 +24,38 @@ SPACE = r"[ \t\r\n\f]+"
 # Elements dropped with their content, and named entities with their characters.
 DROPPED_ELEMENTS = ("script", "style", "nav", "footer")
 BLOCK_ELEMENTS = ("div", "article", "section", "ul", "ol", "table", "tr", "body", "head", "html")
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": " ",
-    "&copy;": "©",
-    "&middot;": "·",
-    "&hellip;": "…",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&euro;": "€",
-}
+#: Named entities: those of the HTML 4 list and ``&apos;``; a hard space becomes a plain one.
+ENTITIES = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
 def _code_point(digits: Column, base: int) -> Column:
     """The character of a numeric reference, the replacement character where there is none."""
-    number = F.conv(digits, base, 10).try_cast("long")
+    bare = F.regexp_replace(digits, "^0+", "")
+    number = F.when(F.length(bare) <= 7, F.conv(F.concat(F.lit("0"), bare), base, 10).try_cast("long"))
     known = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     return F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
 
 
-def _numeric_entities(c: Column) -> Column:
-    """Decode ``&#10;`` and ``&#xA;`` forms; the text is cut before each reference."""
-    pattern = r"^&#(?:[xX]([0-9a-fA-F]{1,8})|([0-9]{1,9}));"
+def _entities(c: Column) -> Column:
+    """Decode named and numeric references in one pass: the text is cut before each ``&``, and what a reference
+    stands for is not looked at again. Unknown names stay as they are."""
+    pattern = r"^&(?:#[xX]([0-9a-fA-F]+)|#([0-9]+)|([A-Za-z][A-Za-z0-9]*));"
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def decoded(part: Column) -> Column:
-        hexed, plain = F.regexp_extract(part, pattern, 1), F.regexp_extract(part, pattern, 2)
-        char = F.when(hexed != "", _code_point(hexed, 16)).otherwise(_code_point(plain, 10))
+        hexed, plain, name = (F.regexp_extract(part, pattern, i) for i in (1, 2, 3))
+        char = (
+            F.when(hexed != "", _code_point(hexed, 16))
+            .when(plain != "", _code_point(plain, 10))
+            .otherwise(F.try_element_at(names, name))
+        )
         rest = F.regexp_replace(part, pattern, "")
-        return F.when(part.rlike(pattern), F.concat(char, rest)).otherwise(part)
+        return F.when(part.rlike(pattern), F.coalesce(F.concat(char, rest), part)).otherwise(part)
 
     def parts(text: Column) -> Column:
-        return F.array_join(F.transform(F.split(text, r"(?=&#[0-9xX])"), decoded), "")
+        return F.array_join(F.transform(F.split(text, "(?=&)"), decoded), "")
 
-    return let(c, lambda text: F.when(F.contains(text, F.lit("&#")), parts(text)).otherwise(text))
+    return let(c, lambda text: F.when(F.contains(text, F.lit("&")), parts(text)).otherwise(text))
 
 
 def _deep_headings(c: Column) -> Column:
@@ -82,9 +79,7 @@ def html_text(html: Column) -> Column:
     blocks = "|".join(("title", "h[1-6]", "p", *BLOCK_ELEMENTS))
     c = F.regexp_replace(c, rf"</?(?i:{blocks})\b[^>]*>", "\n\n")
     c = F.regexp_replace(c, r"<[^>]*>", "")
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    c = F.replace(_numeric_entities(c), F.lit("&amp;"), F.lit("&"))
+    c = _entities(c)
     c = F.regexp_replace(c, r" +\n *|\n +", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return F.trim(c, F.lit(BLANKS))
@@ -128,18 +123,35 @@ _TITLE = r"^[ \t\r]*#{1,4}([^\n]*)"
 def _marked(text: Column) -> Column:
     """The text with a mark before each header line that is not inside a fence.
 
-    Cutting before every fence line leaves the fenced parts at odd positions. The mark character itself is
-    escaped first, so any text is handled.
+    The text is cut before every line that can open or close a fence. A block is opened by either kind of fence
+    (with back quotes, no further ones may follow on the line) and closed by a bare line of its own kind only, so
+    one fold over the parts tells which of them are inside. The mark character itself is escaped first, so any
+    text is handled.
     """
     escaped = F.concat(F.lit("\n"), F.replace(text, F.lit(_MARK), F.lit(_MARK + "a")))
     parts = F.split(escaped, r"(?dm)(?=^[ \t\r]*(?:```|~~~))")
     mark = rf"(?dm)^(?={_HEADER})"
-    return F.array_join(
-        F.transform(
-            parts, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, mark, _MARK + "h")).otherwise(p)
-        ),
-        "",
-    )
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(state: Column, part: Column) -> Column:
+        line = F.regexp_extract(part, r"^[ \t\r]*((?:```+|~~~+)[^\n]*)", 1)
+        kind = F.substring(line, 1, 3)
+        opens = (kind == "~~~") | line.rlike(r"^`+[^`]*$")
+        closes = line.rlike(r"^(?:`+|~+)[ \t\r]*$")
+        now = (
+            F.when((state["open"] == "") & (line != "") & opens, kind)
+            .when((state["open"] == kind) & (line != "") & closes, F.lit(""))
+            .otherwise(state["open"])
+        )
+        # A part begins at its fence line; after a closing one its rest is outside again.
+        plain = F.regexp_replace(part, mark, _MARK + "h")
+        return F.struct(now.alias("open"), F.concat(state["done"], F.array(F.when(now == "", plain).otherwise(part))).alias("done"))
+
+    def marked(all_parts: Column) -> Column:
+        whole = F.aggregate(all_parts, start, step, lambda state: F.array_join(state["done"], ""))
+        return F.when(F.size(all_parts) > 1, whole).otherwise(F.regexp_replace(all_parts[0], mark, _MARK + "h"))
+
+    return let(parts, marked)
 
 
 def _clean(c: Column) -> Column:

