@@ -10,6 +10,9 @@ STATUS_EDGES = (
     ("PENDING", "FAILED"),
     ("PROCESSING", "COMPLETE"),
     ("PROCESSING", "FAILED"),
+    # A document that is delivered again starts anew.
+    ("COMPLETE", "PENDING"),
+    ("FAILED", "PENDING"),
 )
 
 SYSTEM_USER = "00000000-0000-0000-0000-000000000000"
@@ -57,6 +60,20 @@ TOP_K = 5
 CHUNK_TOKENS = 512
 FRAME = 480
 
+# Words that tell the topic of a message; others may be given as a table.
+TOPIC_WORDS = (
+    ("agent", "ai_architecture"),
+    ("embedding", "ai_architecture"),
+    ("model", "ai_architecture"),
+    ("prompt", "ai_architecture"),
+    ("token", "ai_architecture"),
+    ("vector", "ai_architecture"),
+    ("hello", "general"),
+    ("help", "general"),
+    ("question", "general"),
+    ("thanks", "general"),
+)
+
 LITERAL_TOPICS = '["general", "ai_architecture"]'
 
 # How a tool's answer is scheduled, and the arguments each tool needs.

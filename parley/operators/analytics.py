@@ -31,13 +31,31 @@ def interaction_counts(logs: DataFrame, loaded_at: Column | None = None) -> Data
     )
 
 
-def engagement(logs: DataFrame) -> DataFrame:
-    """Mean interaction duration and message count per user."""
+def engagement(logs: DataFrame, cap_s: int = 300) -> DataFrame:
+    """Mean interaction duration and message count per user.
+
+    Logs without a duration column use the time to the user's next message, at most ``cap_s``.
+    """
+    if "interaction_duration" not in logs.columns:
+        logs = interaction_gaps(logs, cap_s).withColumnRenamed("duration_s", "interaction_duration")
     return logs.groupBy("user_id").agg(
         F.avg("interaction_duration").alias("avg_duration"), F.count("id").alias("total_interactions")
     )
 
 
+def with_topics(logs: DataFrame, words: DataFrame, message: str = "message_text") -> DataFrame:
+    """``logs`` with the ``topic`` of each message by a table of ``(word, topic)``; NULL where no word is known.
+
+    The topic with the most of the message's words counts, then the first by name. ``id`` identifies a message.
+    """
+    spoken = F.explode(F.split(F.lower(F.col(message)), r"[^\p{L}\p{N}]+")).alias("word")
+    known = words.select(F.lower("word").alias("word"), F.col("topic").alias("_topic")).distinct()
+    counts = logs.select(F.col("id").alias("_id"), spoken).join(known, "word").groupBy("_id", "_topic").count()
+    best = counts.groupBy("_id").agg(F.min(F.struct((-F.col("count")).alias("n"), "_topic")).alias("_best"))
+    joined = logs.join(best, F.col("id") == F.col("_id"), "left")
+    return joined.select(*logs.columns, F.col("_best._topic").alias("topic"))
+
+
 def topic_counts(logs: DataFrame) -> DataFrame:
     """Rows and last time per (user, topic); combines map-side, so a hot user costs its topics only."""
     return logs.groupBy("user_id", "topic").agg(

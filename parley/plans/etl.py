@@ -11,15 +11,23 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.operators.analytics import interaction_counts, user_analytics
+from parley.constants import TOPIC_WORDS
+from parley.operators.analytics import interaction_counts, user_analytics, with_topics
 from parley.session import build_session
 from parley.sources.readers import read_jdbc
 from parley.sources.sinks import write_overwrite
 
 
 def aggregate_logs(logs: DataFrame, topics: int | None = None) -> DataFrame:
-    """The target rows: with the fixed topic list, or with each user's ``topics`` most frequent ones."""
-    return interaction_counts(logs) if topics is None else user_analytics(logs, topics)
+    """The target rows: with the fixed topic list, or with each user's ``topics`` most frequent ones.
+
+    Logs without a topic column get one from the words of their messages.
+    """
+    if topics is None:
+        return interaction_counts(logs)
+    if "topic" not in logs.columns:
+        logs = with_topics(logs, logs.sparkSession.createDataFrame(TOPIC_WORDS, "word string, topic string"))
+    return user_analytics(logs, topics)
 
 
 def run_etl(

@@ -287,7 +287,8 @@ _SQL: dict[str, str] = {
     "status_transitions": "SELECT seq, doc_id, previous, status, ts FROM (SELECT *, lag(status) OVER"
     " (PARTITION BY doc_id ORDER BY ts, seq) AS previous FROM v_status_log) WHERE"
     " (coalesce(previous, ''), status) NOT IN (('', 'PENDING'), ('PENDING', 'PROCESSING'),"
-    " ('PENDING', 'FAILED'), ('PROCESSING', 'COMPLETE'), ('PROCESSING', 'FAILED'))",
+    " ('PENDING', 'FAILED'), ('PROCESSING', 'COMPLETE'), ('PROCESSING', 'FAILED'),"
+    " ('COMPLETE', 'PENDING'), ('FAILED', 'PENDING'))",
     "stuck_documents": "SELECT * FROM (SELECT doc_id, arg_max(status, (ts, seq)) AS status, max(ts) AS since"
     f" FROM v_status_log GROUP BY doc_id) WHERE status IN ('PENDING', 'PROCESSING')"
     f" AND since + INTERVAL 6 HOUR < TIMESTAMP '{AS_OF}'",

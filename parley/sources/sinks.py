@@ -35,15 +35,18 @@ def write_overwrite(
     int_columns: Sequence[str] = (),
     fmt: str = "parquet",
     options: dict[str, str] | None = None,
+    rejected: str | None = None,
 ) -> int:
     """Replace the content of ``target`` and return how many rows were rejected.
 
-    Over JDBC the table is truncated, not dropped, so its constraints and references stay. The rows are
+    Rejected rows are kept as a Parquet table where ``rejected`` names its folder. Over JDBC the table is truncated, not dropped, so its constraints and references stay. The rows are
     counted by an observation during the write, not by a second pass.
     """
     seen, kept = Observation(), Observation()
     source = df.observe(seen, F.count(F.lit(1)).alias("n"))
     good, _ = prepare_overwrite(source, pk, int_columns)
+    if rejected is not None:
+        prepare_overwrite(df, pk, int_columns)[1].write.mode("overwrite").parquet(rejected)
     writer = good.observe(kept, F.count(F.lit(1)).alias("n")).write.mode("overwrite").format(fmt)
     if fmt == "jdbc":
         writer.options(dbtable=target, truncate="true", **(options or {})).save()
@@ -71,39 +74,35 @@ def write_events(df: DataFrame, fmt: str, options: dict[str, str]) -> None:
     to_event_value(df).write.mode("append").format(fmt).options(**options).save()
 
 
-def _batch_path(target: str, batch_id: int) -> str:
-    return f"{target}/batch_id={batch_id}"
+def write_batch(df: DataFrame, target: str, batch_id: int, stream: str = "batch") -> None:
+    """Write the rows of one micro-batch into the folder of its stream and number.
 
-
-def write_batch(df: DataFrame, target: str, batch_id: int) -> None:
-    """Write the rows of one micro-batch into its own folder.
-
-    A batch that is run again after a failure replaces its own folder, so rows never double.
+    A batch that is run again after a failure replaces its own folder, so rows never double. Other streams, and
+    the same one after its offsets were reset, have other names and folders of their own.
     """
-    df.write.mode("overwrite").parquet(_batch_path(target, batch_id))
+    df.write.mode("overwrite").parquet(f"{target}/stream={stream}/batch_id={batch_id}")
 
 
-def write_chunks(chunks: DataFrame, target: str, batch_id: int) -> None:
+def write_chunks(chunks: DataFrame, target: str, batch_id: int, stream: str = "batch") -> None:
     """Store ``(doc_id, chunk_idx, chunk_text, embedding)`` under a key derived from the first two."""
     keyed = chunks.withColumn("id", chunk_key(F.col("doc_id"), F.col("chunk_idx")))
-    write_batch(keyed, target, batch_id)
+    write_batch(keyed.withColumn("written_at", F.current_timestamp()), target, batch_id, stream)
 
 
 def read_chunks(spark: SparkSession, target: str) -> DataFrame:
     """Stored chunks, one row per key: a document delivered again replaces its earlier chunks.
 
-    The newest batch of a document counts as a whole, since it may have fewer chunks than before. Only
+    The batch written last of a document counts as a whole, since it may have fewer chunks than before. Only
     documents stored by several batches are looked up, so the chunks themselves are not shuffled as long as
     that list is small enough to be broadcast.
     """
     rows = spark.read.parquet(target)
-    seen = rows.groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.min("batch_id").alias("_oldest"), F.max("batch_id").alias("_newest")
-    )
+    write = F.struct("written_at", F.col("batch_id").cast("long").alias("n"), F.col("stream").cast("string").alias("s"))
+    seen = rows.groupBy(F.col("doc_id").alias("_doc")).agg(F.min(write).alias("_oldest"), F.max(write).alias("_newest"))
     again = seen.filter(F.col("_oldest") < F.col("_newest")).drop("_oldest")
     joined = rows.join(again, F.col("doc_id") == F.col("_doc"), "left")
-    current = F.col("_newest").isNull() | (F.col("batch_id") == F.col("_newest"))
-    return joined.filter(current).drop("_doc", "_newest", "batch_id")
+    current = F.col("_newest").isNull() | (write == F.col("_newest"))
+    return joined.filter(current).drop("_doc", "_newest", "batch_id", "stream", "written_at")
 
 
 def read_batches(spark: SparkSession, target: str) -> DataFrame:

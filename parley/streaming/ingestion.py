@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from parley.session import shared_dir
 from parley.sources.sinks import write_batch, write_chunks
 
 # Order of the status events that one batch writes for one document.
-_FIRST, _LAST = 0, 1
+_ASKED, _FIRST, _LAST = 0, 1, 2
 
 
 def _status(docs: DataFrame, status: Column, step: int, batch_id: int) -> DataFrame:
@@ -25,7 +26,7 @@ def _status(docs: DataFrame, status: Column, step: int, batch_id: int) -> DataFr
         "doc_id",
         status.alias("status"),
         F.current_timestamp().alias("ts"),
-        F.lit(batch_id * 2 + step).cast("long").alias("seq"),
+        F.lit(batch_id * 3 + step).cast("long").alias("seq"),
     )
 
 
@@ -35,18 +36,40 @@ def hashed(dims: int = 64) -> Callable[[DataFrame], DataFrame]:
     return lambda chunks: hash_embed(chunks, "chunk_text", dims)
 
 
+def _store(embedder, docs: DataFrame, target: str, batch_id: int, stream: str) -> list[str]:
+    """Chunk, embed and write the documents of a batch; returns the ids of those that could not be.
+
+    When the batch fails as a whole, its documents are tried one by one, so that a single bad one is told apart
+    and cannot stop the stream. A batch is as large as the trigger lets it be.
+    """
+    try:
+        write_chunks(embedder(split_markdown(docs)), target, batch_id, stream)
+        return []
+    except Exception:  # noqa: BLE001  any error of a converter or model
+        failed = []
+        for (doc,) in docs.select("doc_id").collect():
+            one = docs.filter(F.col("doc_id") == F.lit(doc))
+            try:
+                write_chunks(embedder(split_markdown(one)), target, batch_id, f"{stream}-{md5(doc.encode()).hexdigest()}")
+            except Exception:  # noqa: BLE001
+                failed.append(doc)
+        return failed
+
+
 def process_batch(
     events: DataFrame,
     batch_id: int,
     load_text: Callable[[DataFrame], DataFrame],
     embedder: Callable[[DataFrame], DataFrame],
     out: str,
+    stream: str = "batch",
 ) -> None:
     """One micro-batch of parsed events.
 
     ``load_text`` maps good events to ``(doc_id, text)`` with NULL text where the file cannot be read;
-    such documents become FAILED and do not stop the rest. Chunks are written before the status that
-    announces them, and every write replaces what the same batch wrote before, so a batch may run again.
+    such documents, and those that cannot be chunked or embedded, become FAILED and do not stop the rest. Chunks
+    are written before the status that announces them, and every write replaces what the same batch of the
+    same stream wrote before, so a batch may run again.
     """
     good, bad = split_valid(events)
     # A document delivered twice in one batch is processed once.
@@ -54,12 +77,14 @@ def process_batch(
     loaded = load_text(good).select("doc_id", "text")
     docs = good.select("doc_id").join(loaded, "doc_id", "left").persist()
     try:
-        write_batch(bad, f"{out}/quarantine", batch_id)
-        write_batch(_status(docs, F.lit("PROCESSING"), _FIRST, batch_id), f"{out}/status_started", batch_id)
-        readable = docs.filter(F.col("text").isNotNull())
-        write_chunks(embedder(split_markdown(readable)), f"{out}/chunks", batch_id)
-        end = F.when(F.col("text").isNotNull(), "COMPLETE").otherwise("FAILED")
-        write_batch(_status(docs, end, _LAST, batch_id), f"{out}/status_ended", batch_id)
+        write_batch(bad, f"{out}/quarantine", batch_id, stream)
+        begun = _status(docs, F.lit("PENDING"), _ASKED, batch_id)
+        begun = begun.unionByName(_status(docs, F.lit("PROCESSING"), _FIRST, batch_id))
+        write_batch(begun, f"{out}/status_started", batch_id, stream)
+        failed = _store(embedder, docs.filter(F.col("text").isNotNull()), f"{out}/chunks", batch_id, stream)
+        done = F.col("text").isNotNull() & ~F.col("doc_id").isin(failed)
+        end = F.when(done, "COMPLETE").otherwise("FAILED")
+        write_batch(_status(docs, end, _LAST, batch_id), f"{out}/status_ended", batch_id, stream)
     finally:
         docs.unpersist()
 
@@ -71,17 +96,24 @@ def start_ingestion(
     checkpoint: str | None = None,
     embedder: Callable[[DataFrame], DataFrame] | None = None,
     trigger: dict | None = None,
+    event_id: str | None = None,
+    ts: str | None = None,
 ) -> StreamingQuery:
     """Start the stream over parsed events.
 
     Offsets are kept in ``checkpoint``, a folder all nodes share; by default one below the cluster's
-    checkpoint folder.
+    checkpoint folder that belongs to ``out``. With ``event_id`` and ``ts``, events delivered again are dropped first.
+    Each run of offsets writes under its own name, so streams with one ``out`` add up.
     """
-    checkpoint = checkpoint or f"{shared_dir(events.sparkSession)}/ingestion"
+    checkpoint = checkpoint or f"{shared_dir(events.sparkSession)}/ingestion-{md5(out.encode()).hexdigest()}"
     run_embed = embedder or hashed()
+    if event_id and ts:
+        events = dedupe_stream(events, event_id, ts)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, batch_id, load_text, run_embed, out)
+        # The query's id lives in its checkpoint: it survives restarts and ends with the offsets.
+        own = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        process_batch(batch, batch_id, load_text, run_embed, out, own or md5(checkpoint.encode()).hexdigest())
 
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

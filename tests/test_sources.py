@@ -102,6 +102,19 @@ def test_etl_job(spark, tmp_path):
     assert rows(spark.read.parquet(target).select("user_id", "top_topics")) == [("a", '["y"]')]
 
 
+def test_etl_job_on_the_source_table(spark, tmp_path):
+    data = [(1, "a", "A question: which model, which vector?"), (2, "a", "thanks"), (3, "b", None), (4, None, "x")]
+    logs = spark.createDataFrame(data, "id int, user_id string, message_text string")
+    logs = logs.withColumn("created_at", F.timestamp_micros(F.col("id").cast("long")))
+    target, rejected = str(tmp_path / "t"), str(tmp_path / "r")
+    assert etl.run_etl(lambda: logs, target, "parquet", topics=2) == 1
+    out = dict(rows(spark.read.parquet(target).select("user_id", "top_topics")))
+    assert out == {"a": '["ai_architecture","general"]', "b": "[]"}
+    table = etl.aggregate_logs(logs)
+    assert sinks.write_overwrite(table, target, "user_id", ["total_interactions"], rejected=rejected) == 1
+    assert rows(spark.read.parquet(rejected).select("user_id", "total_interactions")) == [(None, 1)]
+
+
 def test_external_converter(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"# Title\nbody")
     (tmp_path / "b.pdf").write_bytes(b"\xff\xfe")

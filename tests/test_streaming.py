@@ -79,10 +79,40 @@ def test_a_batch_may_run_again(spark, tmp_path):
     for _ in range(2):
         ingestion.process_batch(events, 0, _loader(spark), ingestion.hashed(), out)
     assert sinks.read_batches(spark, f"{out}/chunks").count() == 2
-    assert ingestion.status_log(spark, out).count() == 2
+    assert ingestion.status_log(spark, out).count() == 3
     assert sinks.read_batches(spark, f"{out}/quarantine").count() == 1
 
 
+def test_streams_with_one_target_add_up(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for n, mark in ((1, "m1"), (2, "m2"), (3, "m1-after-a-reset")):
+        source = str(tmp_path / f"in{n}")
+        _write(source, "1.json", [_event(n, "/one.pdf")])
+        events = readers.read_events(spark, "text", {"path": source})
+        _run(ingestion.start_ingestion(events, _loader(spark), out, str(tmp_path / mark)))
+    assert {r["doc_id"] for r in sinks.read_chunks(spark, f"{out}/chunks").collect()} == {UID.format(n) for n in (1, 2, 3)}
+    assert status.status_transitions(ingestion.status_log(spark, out)).count() == 0
+
+
+def test_a_failing_embedder_fails_its_document_only(spark, tmp_path):
+    out = str(tmp_path / "out")
+    lines = [(_event(1, "/one.pdf"),), (_event(2, "/two.pdf"),)]
+    events = parse_events(spark.createDataFrame(lines, "value string"))
+
+    def embedder(chunks):
+        bad = F.col("chunk_text") == "plain"
+        broken = F.when(bad, F.raise_error(F.lit("no embedding"))).otherwise(F.array(F.lit(1.0)))
+        return chunks.withColumn("embedding", broken.cast("array<float>"))
+
+    for batch_id in (0, 1):  # the second delivery starts anew
+        ingestion.process_batch(events, batch_id, _loader(spark), embedder, out)
+    log = ingestion.status_log(spark, out)
+    now = {r["doc_id"]: r["status"] for r in status.latest_status(log).collect()}
+    assert now == {UID.format(1): "COMPLETE", UID.format(2): "FAILED"}
+    assert status.status_transitions(log).count() == 0
+    assert {r["doc_id"] for r in sinks.read_chunks(spark, f"{out}/chunks").collect()} == {UID.format(1)}
+
+
 def _requests(n=300, seed=1):
     rnd = random.Random(seed)
     base = dt.datetime(2024, 1, 1)
