@@ -20,7 +20,7 @@ from types import ModuleType
 import numpy as np
 
 #: Entries of one generation of a memo; a memo holds two, which bounds a worker's memory.
-WORDS, CHUNKS = 300_000, 500_000
+WORDS, CHUNKS = 50_000, 450_000
 #: Longer words are not kept in the memo.
 KEPT_CHARS = 64
 
@@ -112,37 +112,39 @@ class WordEncoder:
         """Ids by the library's own encode, as little-endian unsigned 32-bit integers."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word of the layout's pattern."""
-        words = self._words
-        found = words.young.get(word) or words.old.get(word)
-        if found:
-            return found
+    def _ids(self, word: str) -> bytes:
+        """Ids of a word of the layout's pattern, by the library's model."""
         if word.isascii() and word[word[0] == " " :].isalnum():
             mapped = word.replace(" ", "Ġ")
         else:
             mapped = word.encode("utf-8").decode("latin-1").translate(self._bytes)
         ids = [t.id for t in self._model.tokenize(mapped)]
-        found = self._packs[len(ids)](*ids) if len(ids) < len(self._packs) else pack(f"<{len(ids)}I", *ids)
-        if len(word) <= KEPT_CHARS:
-            words.put(word, found)
+        return self._packs[len(ids)](*ids) if len(ids) < len(self._packs) else pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        found = self._words.get(word)
+        if found is None:
+            found = self._ids(word)
+            if len(word) <= KEPT_CHARS:
+                self._words.put(word, found)
         return found
 
     def _chunk(self, memo: Memo, key: str, before: str) -> bytes:
         """Ids of a part between spaces; ``before`` is the space that belongs to it, if any."""
-        found = memo.get(key)
-        if found is None:
+        if key[-1:] in (".", ","):
             bare = key.rstrip(".,")
             if bare.isalpha():
-                # The common case without a pattern: letters, then at most full stops and commas.
-                found = self._word(before + bare)
-                if len(bare) < len(key):
-                    found += self._word(key[len(bare) :])
+                # Letters, then full stops or commas: two words, the first of which is remembered without the signs.
+                return (memo.young.get(bare) or self._chunk(memo, bare, before)) + self._word(key[len(bare) :])
+        found = memo.old.get(key)
+        if found is None:
+            if key.isalpha():
+                found = self._ids(before + key)
             else:
                 pattern = _BYTE_WORDS if self.layout == "byte" else _LOWER_WORDS
                 found = b"".join(map(self._word, pattern.findall(before + key)))
-            if len(key) <= KEPT_CHARS:
-                memo.put(key, found)
+        if len(key) <= KEPT_CHARS:
+            memo.put(key, found)
         return found
 
     def encode(self, text: str | None) -> bytes:
