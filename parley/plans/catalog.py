@@ -23,6 +23,7 @@ from parley.operators import (
     vectors,
 )
 from parley.plans.views import Inputs
+from parley.sources import sinks
 
 DIMS = 64
 QUERY_VECTOR = tuple(((37 * i) % DIMS - 31.5) / 32 for i in range(DIMS))
@@ -30,6 +31,10 @@ OWNER = 3
 LOADED_AT = "2024-02-01 00:00:00"
 AS_OF = "2024-01-31 00:00:00"
 
+# Rows from which a key is cut into blocks in the queries named _cut.
+CUT = 64
+MESSAGE_WORDS = (("the", "english"), ("and", "english"), ("der", "german"), ("und", "german"), ("les", "french"), ("que", "romance"))
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
@@ -553,3 +558,96 @@ def tool_dispatch(i: Inputs) -> DataFrame:
 
 
 ROLE_SQL = ", ".join(f"({n}, '{name}', '{perms}')" for n, name, perms in ROLE_ROWS)
+
+
+# ---- hot keys in blocks: the same answers as the queries without _cut -------------------------------
+
+
+@_register
+def interaction_gaps_cut(i: Inputs) -> DataFrame:
+    gaps = analytics.interaction_gaps(i.chat_logs, 3600, CUT)
+    return gaps.withColumn("duration_s", F.round("duration_s", 6))
+
+
+@_register
+def response_latency_cut(i: Inputs) -> DataFrame:
+    kind = F.col("event_type")
+    events = i.table("events")
+    waits = analytics.response_latency(events, "user_id", "ts", "event_id", kind == "click", kind == "view", CUT)
+    return waits.withColumn("latency_s", F.round("latency_s", 6))
+
+
+@_register
+def status_transitions_cut(i: Inputs) -> DataFrame:
+    return status.status_transitions(i.status_log, CUT)
+
+
+@_register
+def token_bucket_cut(i: Inputs) -> DataFrame:
+    return limits.token_bucket(i.requests, 3, 12 * 3600, CUT)
+
+
+@_register
+def rolling_history_cut(i: Inputs) -> DataFrame:
+    return text.rolling_history(i.table("conversations"), 4, 3)
+
+
+# ---- plain logs, rows as written, gates -----------------------------------------------------------
+
+
+@_register
+def message_topics(i: Inputs) -> DataFrame:
+    words = i.spark.createDataFrame(MESSAGE_WORDS, "word string, topic string")
+    turns = i.table("conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), "text")
+    return analytics.with_topics(turns, words, "text").select("id", "topic")
+
+
+@_register
+def engagement_gaps(i: Inputs) -> DataFrame:
+    plain = i.chat_logs.drop("interaction_duration")
+    return analytics.engagement(plain, 3600).withColumn("avg_duration", F.round("avg_duration", 6))
+
+
+@_register
+def cascade_survivors(i: Inputs) -> DataFrame:
+    tables = {
+        "customer": i.table("customer").select("c_custkey"),
+        "orders": i.table("orders").select("o_orderkey", "o_custkey"),
+        "lineitem": i.table("lineitem").select("l_orderkey", "l_linenumber"),
+    }
+    edges = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey")]
+    deleted = i.table("customer").filter("c_acctbal < 0").select("c_custkey")
+    left = integrity.cascade_delete(tables, edges, "customer", "c_custkey", deleted)
+    keys = (("customer", "c_custkey", F.lit(0)), ("orders", "o_orderkey", F.lit(0)), ("lineitem", "l_orderkey", F.col("l_linenumber")))
+    parts = [
+        left[name].select(F.lit(name).alias("table"), F.col(key).cast("long").alias("key"), line.cast("int").alias("line"))
+        for name, key, line in keys
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_register
+def display_status(i: Inputs) -> DataFrame:
+    return status.display_status(status.with_current_status(i.owners, i.status_log)).select("id", "user_id", "status")
+
+
+@_register
+def topics_as_text(i: Inputs) -> DataFrame:
+    parsed = analytics.user_analytics(i.chat_logs, 2).withColumn("top_topics", F.from_json("top_topics", "array<string>"))
+    text_ = V.json_text(F.col("top_topics"), parsed.schema["top_topics"].dataType)
+    return parsed.select("user_id", text_.alias("top_topics"))
+
+
+@_register
+def analytics_rows(i: Inputs) -> DataFrame:
+    table = analytics.user_analytics(i.chat_logs, 2)
+    good, _ = sinks.prepare_overwrite(table, "user_id", ["total_interactions"])
+    return good
+
+
+@_register
+def secured_calls(i: Inputs) -> DataFrame:
+    done = access.secured("can_query_analytics")(
+        lambda calls: calls.select("call_id", "user_id", F.lit("OK").alias("status"), F.col("tool").alias("result"))
+    )
+    return done(i.tool_calls, access.user_permissions(i.users, i.roles))

@@ -402,6 +402,36 @@ def _needed(sql: str) -> list[str]:
     return [name for name in VIEWS if name in wanted]
 
 
+_SQL |= {f"{name}_cut": _SQL[name] for name in (
+    "interaction_gaps", "response_latency", "status_transitions", "token_bucket", "rolling_history"
+)}
+_SQL |= {
+    "message_topics": "SELECT m.conv_id * 100000 + m.turn AS id, b.topic FROM conversations m LEFT JOIN (SELECT conv_id,"
+    " turn, arg_min(topic, (-n, topic)) AS topic FROM (SELECT conv_id, turn, topic, count(*) AS n FROM (SELECT conv_id,"
+    " turn, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM conversations) JOIN (VALUES"
+    " ('the', 'english'), ('and', 'english'), ('der', 'german'), ('und', 'german'), ('les', 'french'),"
+    " ('que', 'romance')) k(word, topic) USING (word) GROUP BY ALL) GROUP BY ALL) b"
+    " ON b.conv_id = m.conv_id AND b.turn = m.turn",
+    "engagement_gaps": "SELECT user_id, round(avg(CASE WHEN nxt IS NOT NULL THEN least((epoch_us(nxt) -"
+    " epoch_us(created_at)) / 1e6, 3600.0) END), 6) AS avg_duration, count(id) AS total_interactions FROM (SELECT *,"
+    " lead(created_at) OVER (PARTITION BY user_id ORDER BY created_at, id) AS nxt FROM v_logs) GROUP BY user_id",
+    "cascade_survivors": "SELECT 'customer' AS \"table\", CAST(c_custkey AS BIGINT) AS key, 0 AS line FROM customer WHERE"
+    " c_acctbal >= 0 UNION ALL SELECT 'orders', CAST(o_orderkey AS BIGINT), 0 FROM orders WHERE o_custkey NOT IN (SELECT"
+    " c_custkey FROM customer WHERE c_acctbal < 0) UNION ALL SELECT 'lineitem', CAST(l_orderkey AS BIGINT),"
+    " CAST(l_linenumber AS INTEGER) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey"
+    " IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))",
+    "display_status": "SELECT doc_id AS id, doc_id % 15 AS user_id, lower(coalesce(s.status, 'PENDING')) AS status FROM"
+    " documents LEFT JOIN (SELECT doc_id AS d, arg_max(status, (ts, seq)) AS status FROM v_status_log GROUP BY 1) s"
+    " ON s.d = doc_id",
+    "topics_as_text": "SELECT user_id, top_topics FROM v_analytics",
+    "analytics_rows": "SELECT user_id, CAST(total_interactions AS INTEGER) AS total_interactions, top_topics,"
+    " last_updated_at FROM v_analytics WHERE user_id IS NOT NULL",
+    "secured_calls": f"SELECT c.call_id, c.user_id, CASE WHEN {_HAS.format('can_query_analytics')} THEN 'OK' ELSE 'DENIED'"
+    f" END AS status, CASE WHEN {_HAS.format('can_query_analytics')} THEN c.tool ELSE"
+    f" {_DENIED.format('can_query_analytics')} END AS result FROM v_calls c LEFT JOIN v_perms p ON p.user_id = c.user_id",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for key, sql in _SQL.items():
