@@ -31,7 +31,9 @@ from parley.llm.words import KEPT_CHARS, Memo
 
 MARK = "▁"
 #: Words and pairs of pieces that a worker remembers, per generation; texts that are matched together.
-WORDS, PAIRS, TEXTS = 300_000, 300_000, 2048
+WORDS, PAIRS, TEXTS = 200_000, 150_000, 1024
+#: Words whose edges are taken out of the arrays at a time.
+GROUP = 2048
 _ALNUM = "A-Za-z0-9À-ÖØ-öø-ÿ"
 #: Stands between words and after the end in the concatenated text; no character has this number.
 _GAP = 0x110000
@@ -48,7 +50,7 @@ class PieceModel:
         n = model.get_piece_size()
         self.texts = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        self.plain = np.array([i for i in plain if self.texts[i]], dtype=np.int64)
+        self.plain = np.array([i for i in plain if self.texts[i]], dtype=np.int32)
         self.ids = {self.texts[i]: i for i in self.plain.tolist()}
         self.score = {t: model.get_score(i) for t, i in self.ids.items()}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -66,7 +68,7 @@ class PieceModel:
         self.word = re.compile(f"{MARK}*[^{MARK}](?:{inside})*|{MARK}+")
         self.longest = max(map(len, self.ids))
         table = np.full((len(self.plain), self.longest), 0, dtype=np.int64)
-        self.lengths = np.array([len(self.texts[i]) for i in self.plain], dtype=np.int64)
+        self.lengths = np.array([len(self.texts[i]) for i in self.plain], dtype=np.int32)
         for row, i in enumerate(self.plain.tolist()):
             table[row, : self.lengths[row]] = [ord(c) for c in self.texts[i]]
         self.table = table
@@ -111,7 +113,8 @@ class PieceModel:
             after = np.concatenate([rank[width:], np.full(min(width, n), -1, dtype=np.int64)])[:n]
             rank = rank * (n + 1) + after + 1
             width *= 2
-        suffixes = np.argsort(rank, kind="stable")
+        suffixes = np.argsort(rank, kind="stable").astype(np.int32)
+        del rank, shifted
 
         def bound(upper: bool) -> np.ndarray:
             """The first suffix not before each piece, or not starting with it and behind."""
@@ -134,10 +137,12 @@ class PieceModel:
 
         first, last = bound(False), bound(True)
         counts = last - first
-        rows = np.repeat(np.arange(len(self.plain)), counts)
+        rows = np.repeat(np.arange(len(self.plain), dtype=np.int32), counts)
         begin = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
         positions = suffixes[begin]
-        order = np.lexsort((self.lengths[rows], positions))
+        del begin
+        # Short pieces come first at a position: one key for both.
+        order = np.argsort(positions.astype(np.int64) * (self.longest + 1) + self.lengths[rows], kind="stable")
         return positions[order], rows[order]
 
     def segment(self, words: list[str]) -> Iterator[bytes]:
@@ -156,17 +161,20 @@ class PieceModel:
         strange = np.flatnonzero(alone)
         if len(strange):
             positions = np.concatenate([positions, strange])
-            pieces = np.concatenate([pieces, np.full(len(strange), _UNKNOWN)])
-            lengths = np.concatenate([lengths, np.ones(len(strange), dtype=np.int64)])
+            pieces = np.concatenate([pieces, np.full(len(strange), _UNKNOWN, dtype=np.int32)])
+            lengths = np.concatenate([lengths, np.ones(len(strange), dtype=np.int32)])
             order = np.argsort(positions, kind="stable")
             positions, pieces, lengths = positions[order], pieces[order], lengths[order]
         from_word = np.searchsorted(positions, np.append(begins, len(spaced)))
-        inside = positions - np.repeat(begins, np.diff(from_word))
-        local, ends, ids = inside.tolist(), (inside + lengths).tolist(), pieces.tolist()
-        edges = from_word.tolist()
-        for k, word in enumerate(words):
-            span = slice(edges[k], edges[k + 1])
-            yield self._relax(word, zip(local[span], ends[span], ids[span], strict=True))
+        inside = (positions - np.repeat(begins, np.diff(from_word))).astype(np.int32)
+        for at in range(0, len(words), GROUP):
+            edges = from_word[at : at + GROUP + 1]
+            span = slice(edges[0], edges[-1])
+            local, ends, ids = inside[span].tolist(), (inside[span] + lengths[span]).tolist(), pieces[span].tolist()
+            edges = (edges - edges[0]).tolist()
+            for k, word in enumerate(words[at : at + GROUP]):
+                part = slice(edges[k], edges[k + 1])
+                yield self._relax(word, zip(local[part], ends[part], ids[part], strict=True))
 
     def _relax(self, word: str, edges: Iterable[tuple[int, int, int]]) -> bytes:
         """Keep one edge per character where it ends; edges come sorted by where they start."""
