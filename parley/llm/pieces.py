@@ -255,32 +255,41 @@ def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
     return own_columns(df, doc_id=id_col, text=text_col).mapInArrow(_encode(model_file), "doc_id long, ids binary")
 
 
-def _decode(path: str):
+def _decoded(model: PieceModel, doc_ids: pa.Array, ids: list[bytes | None]) -> pa.RecordBatch:
+    raw = [x or b"" for x in ids]
+    columns = [
+        doc_ids,
+        pa.array([len(x) // 4 for x in raw], pa.int64()),
+        pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+        pa.array([model.decode(np.frombuffer(x, "<u4")) for x in raw], pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "text"])
+
+
+_DECODED = "doc_id long, n_tokens long, ids_crc32 long, text string"
+
+
+def _decode(path: str, encoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                raw = [x or b"" for x in part.column(1).to_pylist()]
-                columns = [
-                    part.column(0),
-                    pa.array([len(x) // 4 for x in raw], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                    pa.array([model.decode(np.frombuffer(x, "<u4")) for x in raw], pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "text"])
+                given = part.column(1).to_pylist()
+                yield _decoded(model, part.column(0), given if encoded else model.encode(given))
 
     return run
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, text) of the result of ``encode``; NULL ids are an empty text."""
-    return encoded.select("doc_id", "ids").mapInArrow(
-        _decode(model_file), "doc_id long, n_tokens long, ids_crc32 long, text string"
-    )
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(model_file, True), _DECODED)
 
 
 def round_trip(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, text_sha256): ids of each text, and the digest of the text decoded from them."""
-    found = decode(encode(df, model_file, id_col, text_col), model_file)
+    """(doc_id, n_tokens, ids_crc32, text_sha256): ids of each text, and the digest of the text decoded from them.
+
+    Both steps run in one worker per task, so that the model and its memos are held once.
+    """
+    found = own_columns(df, doc_id=id_col, text=text_col).mapInArrow(_decode(model_file, False), _DECODED)
     return found.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.col("text"), 256).alias("text_sha256"))

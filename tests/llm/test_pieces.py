@@ -58,4 +58,6 @@ def test_query_against_brute_force(docs, edge, none, library):
             wanted.append((doc, len(ids), zlib.crc32(ids.tobytes()), digest))
         by = lambda r: tuple((x is not None, str(x)) for x in r)
         assert of(pieces.round_trip(df, tokenizer(NAME))) == sorted(wanted, key=by)
+        apart = pieces.decode(pieces.encode(df, tokenizer(NAME)), tokenizer(NAME))
+        assert of(apart, "doc_id", "n_tokens", "ids_crc32") == sorted((w[:3] for w in wanted), key=by)
     assert pieces.round_trip(none, tokenizer(NAME)).count() == 0
