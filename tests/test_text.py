@@ -19,13 +19,15 @@ def _chunks(spark, *texts):
 
 def _loop(doc):
     """The header rules as a loop over lines."""
-    fences, crumbs, sections = 0, [None] * 4, [([None] * 4, [])]
+    fence, crumbs, sections = "", [None] * 4, [([None] * 4, [])]
     for line in doc.split("\n"):
         t = line.strip(" \t\r")
         m = re.match(r"^(#{1,4})(?: (.*))?$", t, re.S)
-        if t.startswith(("```", "~~~")):
-            fences += 1
-        elif m and fences % 2 == 0:
+        if not fence and re.match(r"```+[^`]*$|~~~", t):
+            fence = t[:3]
+        elif fence and t[:3] == fence and not t.strip(fence[0]):
+            fence = ""
+        elif m and not fence:
             level = len(m[1])
             crumbs = crumbs[: level - 1] + [(m[2] or "").strip(" \t\r")] + [None] * (4 - level)
             sections.append((crumbs, []))
@@ -59,6 +61,7 @@ def test_header_cases(spark):
 def test_random_documents(spark):
     rnd = random.Random(3)
     lines = ["# a", "## b", "### c", "#### d", "##### e", "```", "~~~", "", "word", "  # x ", "#", "text # no"]
+    lines += ["```x```", "``` sql", "~~~ `x`", "````", " ~~~ "]
     docs = ["\n".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 30))) for _ in range(300)]
     got = _chunks(spark, *docs)
     assert got == [_loop(d) for d in docs]
@@ -128,7 +131,7 @@ def _markdown(spark, html):
         ("<nav>x</nav>keep<footer>y</footer>", "keep"),
         ("1 &lt; 2 &amp;&amp; &quot;q&quot; &amp;lt; &#65;&#x42;&#8364;&#128512;", '1 < 2 && "q" &lt; AB€😀'),
         ("&#0; &#xD800; &#1114112;", "� � �"),
-        ("&#; &#x; &#99999999999;", "&#; &#x; &#99999999999;"),
+        ("&#; &#x; &#99999999999;", "&#; &#x; \ufffd"),
         ("line one\nline   two<br/>three", "line one line two\nthree"),
         ("<title>Name</title><body><p> x </p></body>", "# Name\n\nx"),
         ("", ""),
