@@ -1,9 +1,9 @@
 """License scans: TF-IDF cosine of lines and licence files to templates, then inheritance from directories.
 
 Built-in functions only. A file's *headers* are its lines; a *licence file* (``LICENSE``, ``COPYING``, ... by name) is also
-compared whole. Vectors are sparse: only words of the templates are exploded, and only from units that hold a word
-rare enough to matter. All other words of a unit count towards its length as if they were as rare as a word
-can be, so that prose around a few common words never looks like a licence.
+compared whole. Vectors are sparse: only units that hold a word rare enough to matter are exploded. Each word, of a
+template or not, has the inverse of its own document frequency over all files, so that a decision depends on the shares
+of files that hold the words, not on the number of files.
 
 A file without a licence of its own takes that of the licence file in its nearest ancestor directory. Directories,
 not files, are joined with their ancestors' licences, so a directory that holds a third of all files is one row.
@@ -82,13 +82,10 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def inverse_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """IDF of each template word over all files, and that of a word that no file has."""
-    rows = files.select(F.array_distinct(F.filter(_words(F.col("text")), lambda w: w.isin(vocabulary))).alias("words"))
-    counted = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    n, total = {r["word"]: r["n"] for r in counted.collect()}, files.count()
-    highest = math.log(1 + total) + 1
-    return {w: math.log((1 + total) / (1 + n.get(w, 0))) + 1 for w in vocabulary}, highest
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """(word, n): the number of files that hold each word of any file."""
+    rows = files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def template_vectors(templates: list[Template], idf: dict[str, float]) -> list[tuple[int, str, str, float]]:
@@ -129,37 +126,24 @@ def matches(
     Ties go to the first licence by name. ``files`` has path, name and text.
     """
     vocabulary = sorted({w for _, text in templates for w in words_of(text)})
-    idf, highest = inverse_frequencies(files, vocabulary)
+    frequencies, total = written(document_frequencies(files), "license-words"), files.count()
+    n = {r["word"]: r["n"] for r in frequencies.filter(F.col("word").isin(vocabulary)).collect()}
+    idf = {w: math.log((1 + total) / (1 + n.get(w, 0))) + 1 for w in vocabulary}
     vectors = template_vectors(templates, idf)
     anchors = anchors_of(vectors, threshold)
     whole = F.when(F.col("name").rlike(LICENCE_FILES), F.array("text")).otherwise(F.array().cast("array<string>"))
     units = files.select("path", F.explode(F.concat(F.split("text", "\n"), whole)).alias("unit")).select(
         F.monotonically_increasing_id().alias("unit_id"), "path", _words(F.col("unit")).alias("words")
     )
-    known = written(
-        units.filter(F.arrays_overlap("words", F.lit(anchors))).select(
-            "path",
-            "unit_id",
-            F.filter("words", lambda w: w.isin(vocabulary)).alias("words"),
-            F.filter("words", lambda w: ~w.isin(vocabulary)).alias("others"),
-        ),
-        "license-units",
-    )
-    weights = spark.createDataFrame([(w, v) for w, v in idf.items()], "word string, idf double")
+    known = written(units.filter(F.arrays_overlap("words", F.lit(anchors))), "license-units")
     terms = (
         known.select("path", "unit_id", F.explode("words").alias("word"))
         .groupBy("path", "unit_id", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(weights), "word")
-        .withColumn("weight", F.col("n") * F.col("idf"))
-    )
-    others = known.select("unit_id", F.explode("others").alias("word")).groupBy("unit_id", "word").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    squares = terms.select("unit_id", F.pow("weight", F.lit(2)).alias("square")).unionByName(
-        others.select("unit_id", F.pow(F.col("n") * F.lit(highest), F.lit(2)).alias("square"))
+        .agg(F.count(F.lit(1)).alias("times"))
+        .join(frequencies, "word")
+        .withColumn("weight", F.col("times") * (F.log((1 + total) / (1 + F.col("n"))) + 1))
     )
-    norms = squares.groupBy("unit_id").agg(F.sqrt(F.sum("square")).alias("norm"))
+    norms = terms.groupBy("unit_id").agg(F.sqrt(F.sum(F.pow("weight", F.lit(2)))).alias("norm"))
     # The templates are a fixed list of a few hundred words.
     fixed = spark.createDataFrame(vectors, "template int, licence string, word string, share double")
     dots = (

@@ -106,3 +106,13 @@ def test_directories(spark, path, directory):
 def test_no_python_in_the_plan(docs):
     plan = licenses.scan(queries.with_paths(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_number_of_files_does_not_decide(spark):
+    notice = "Our new server: licensed under the Apache License, Version 2.0."
+    some = [notice, "Our new server.", "A new server of our own.", "plain prose", "under the moon", "nothing else"]
+    shape = "doc_id long, path string, text string"
+    for copies in (1, 100):
+        rows = [(i, f"{i}.txt", text) for i, text in enumerate(some * copies)]
+        told = licenses.scan(spark.createDataFrame(rows, shape)).filter(F.col("doc_id") % len(some) == 0)
+        assert {r["license"] for r in told.collect()} == {"Apache-2.0"}
