@@ -6,8 +6,9 @@ takes the place of the least valued part of the ordinary content, while header a
 both dictionaries cost the same on ordinary prose and a shorter result under the toxic one means toxic content.
 
 A text is cut into windows of whole words. Each window is compressed with both dictionaries; the difference of the
-lengths has log odds, counted on documents that neither dictionary was trained on; the text's sum of them over the
-root of its windows is turned into a probability by isotonic calibration.
+lengths has log odds, counted on documents that neither dictionary was trained on. A text has two distances: the sum of
+them over the root of its windows, and their largest sum over a run of neighbouring windows, which clean text around a
+passage does not lower. Each is turned into a probability by isotonic calibration, and the larger one once more.
 
 Labels are learned from a bounded sample of labelled rows (``TOXIC_ROWS``, ``ORDINARY_ROWS``, by the smallest hash of the
 id), weighted back to the share of the label among all training rows. Every text is scored whole, row by row.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -134,31 +135,61 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 @dataclass
 class ToxicityModel:
-    """The two dictionaries, the log odds per difference and the calibration's steps."""
+    """The two dictionaries, the log odds per difference and the calibration's steps, last those of each distance."""
 
     ordinary: bytes
     toxic: bytes
     log_odds: np.ndarray
     step_at: np.ndarray
     step_value: np.ndarray
+    steps: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
-    def scorer(self):
-        """A function from a text to the histogram of its windows' differences; made once per task."""
+    def differences(self):
+        """A function from a text to the differences of its windows, from ``LOW`` to ``HIGH``; made once per task."""
         if not self.ordinary:
-            return lambda text: np.zeros(HIGH - LOW + 1)
+            return lambda text: np.zeros(0, dtype=np.int64)
         plain, toxic = _compressor(self.ordinary).compress, _compressor(self.toxic).compress
+        return lambda text: np.clip(
+            np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], dtype=np.int64), LOW, HIGH
+        )
+
+    def scorer(self):
+        """A function from a text to the histogram of its windows' differences; made once per task."""
+        found = self.differences()
+        return lambda text: np.bincount(found(text) - LOW, minlength=HIGH - LOW + 1)
+
+    def measurer(self):
+        """A function from a text to its distances, whole and largest run; made once per task."""
+        found = self.differences()
+
+        def distances(text: str | None) -> tuple[float, float]:
+            odds = self.log_odds[found(text) - LOW]
+            return float(odds.sum() / np.sqrt(max(len(odds), 1))), largest_run(odds)
+
+        return distances
 
-        def histogram(text: str | None) -> np.ndarray:
-            found = [len(plain(w)) - len(toxic(w)) for w in windows(text)]
-            return np.bincount(np.clip(np.array(found, dtype=np.int64), LOW, HIGH) - LOW, minlength=HIGH - LOW + 1)
+    def larger(self, distances: np.ndarray) -> np.ndarray:
+        """The larger probability of each row of distances; 0 where none is calibrated."""
+        each = [np.interp(d, *steps) for d, steps in zip(distances.T, self.steps, strict=False)]
+        return np.max([np.zeros(len(distances)), *each], axis=0)
 
-        return histogram
+    def score(self, distances: np.ndarray) -> np.ndarray:
+        return np.clip(np.interp(self.larger(distances), self.step_at, self.step_value), 0, 1)
 
-    def distance(self, histograms: np.ndarray) -> np.ndarray:
-        return histograms @ self.log_odds / np.sqrt(np.maximum(histograms.sum(axis=1), 1))
 
-    def score(self, histograms: np.ndarray) -> np.ndarray:
-        return np.clip(np.interp(self.distance(histograms), self.step_at, self.step_value), 0, 1)
+def largest_run(values: np.ndarray) -> float:
+    """The largest sum of one or more neighbouring values; 0 without any."""
+    if not len(values):
+        return 0.0
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    return float((sums[1:] - np.minimum.accumulate(sums[:-1])).max())
+
+
+def calibrated(at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic steps of labels over positions, rows of one position taken together."""
+    places, which = np.unique(at, return_inverse=True)
+    total = np.bincount(which, weight)
+    return isotonic(places, np.bincount(which, weight * y) / total, total)
 
 
 def _grams_of(kept: set[str] | None):
@@ -217,6 +248,17 @@ def _histograms(model: ToxicityModel):
     return run
 
 
+def _distances(model: ToxicityModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = model.measurer()
+        for batch in batches:
+            found = np.array([distances(t) for t in batch.column(1).to_pylist()], dtype=np.float64).reshape(-1, 2)
+            columns = [batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["y", "whole", "run"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, y). Rows without label, text or id teach nothing.
 
@@ -259,10 +301,11 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     histograms = np.array(counted["histogram"].tolist(), dtype=np.float64).reshape(len(y), -1)
     odds = [histograms[y == k].sum(axis=0) + 1 for k in (0, 1)]
     model.log_odds = np.log(odds[1] / odds[1].sum()) - np.log(odds[0] / odds[0].sum())
-    distance = model.distance(histograms)
+    measured = rest.select("y", "text").mapInArrow(_distances(model), "y int, whole double, run double").toPandas()
+    y, distances = measured["y"].to_numpy(), measured[["whole", "run"]].to_numpy()
     weight = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
-    order = np.argsort(distance, kind="stable")
-    model.step_at, model.step_value = isotonic(distance[order], y[order].astype(float), weight[order])
+    model.steps = [calibrated(d, y, weight) for d in distances.T]
+    model.step_at, model.step_value = calibrated(model.larger(distances), y, weight)
     return model
 
 
@@ -271,10 +314,10 @@ def scores(model: ToxicityModel, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        histogram = model.scorer()
+        distances = model.measurer()
         for texts in batches:
-            found = [histogram(t) for t in texts]
-            yield pd.Series(model.score(np.array(found, dtype=np.float64)) if found else [], dtype="float64")
+            found = np.array([distances(t) for t in texts], dtype=np.float64).reshape(-1, 2)
+            yield pd.Series(model.score(found), dtype="float64")
 
     return run.asNondeterministic()(text)
 
@@ -284,7 +327,7 @@ def rate(
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of ``df``, by a model of the rows that are not held out.
 
-    NULL and empty texts have no window and get the score of distance 0; repeated rows get equal scores; an empty
+    NULL and empty texts have no window and get the score of distances 0; repeated rows get equal scores; an empty
     table gives an empty result. Other columns of both tables are not read.
     """
     docs = own_columns(df, doc_id=id_col, text=text_col)

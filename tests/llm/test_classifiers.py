@@ -175,3 +175,18 @@ def test_toxic_dictionary_shortens_toxic_windows():
     marked = [histogram(" ".join([*[word() for _ in range(50)], *bad])) @ spread for _ in range(50)]
     assert np.mean(marked) > np.mean(clean) + 1
     assert toxicity.dictionaries([b"too little"], runs) is None
+
+
+def test_clean_text_around_a_toxic_passage_does_not_hide_it(spark):
+    rng = np.random.default_rng(1)
+    syllables = ["the", "ing", "er", "on", "tion", "st", "re", "an", "ed", "or", "al", "un"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    clean = lambda n: " ".join(word() for _ in range(n))
+    bad = lambda: " ".join(f"{word()} {w}" for w in rng.choice(["villainous", "scoundrel", "blackguard"], 12))
+    rows = [(i, f"{clean(60)} {bad()}" if i % 4 == 0 else clean(100), int(i % 4 == 0)) for i in range(2400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "y"))
+    texts = [*(f"{clean(n)} {bad()} {clean(n)}" for n in (0, 250, 2500)), clean(5000)]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = dict(given.select("doc_id", toxicity.scores(model, F.col("text"))).collect())
+    assert [scores[i] >= toxicity.THRESHOLD for i in range(4)] == [True, True, True, False]
