@@ -1,7 +1,9 @@
 """License scans: TF-IDF cosine of lines and licence files to templates, then inheritance from directories.
 
-Built-in functions only. A file's *headers* are its lines; a *licence file* (``LICENSE``, ``COPYING``, ... by name) is also
-compared whole. Vectors are sparse: only units that hold a word rare enough to matter are exploded. Each word, of a
+Built-in functions only. A file's *headers* are its lines, its paragraphs (lines up to one without letters or digits, so
+that comment marks do not matter), and from each line on as many lines of the paragraph as it takes to have the words of
+each template, so that a notice is found however it is wrapped. A *licence file* (``LICENSE``, ``COPYING``, ... by name) is also compared whole, and
+then with the full texts of licences as well. Vectors are sparse: only units that hold a word rare enough to matter are exploded. Each word, of a
 template or not, has the inverse of its own document frequency over all files, so that a decision depends on the shares
 of files that hold the words, not on the number of files.
 
@@ -13,10 +15,12 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parley.functions.values import let
 from parley.llm.store import own_columns, written
 
 THRESHOLD = 0.75
@@ -73,6 +77,9 @@ TEMPLATES = [
 
 Template = tuple[str, str]
 
+#: Full texts, compared with whole licence files only.
+FULL_TEXTS = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
 
 def words_of(text: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
@@ -118,41 +125,96 @@ def anchors_of(vectors: list[tuple[int, str, str, float]], threshold: float) ->
     return sorted(anchors)
 
 
+def _headers(paragraph: Column, by_length: dict[int, list[str]], anchors: list[str]) -> Column:
+    """The lines of a paragraph, the paragraph and its windows as arrays of words, where they hold an anchor."""
+    lines = F.filter(F.transform(F.split(paragraph, "\n"), _words), lambda ws: F.size(ws) > 0)
+
+    def measured(ls: Column) -> Column:
+        first = F.transform(ls, lambda ws: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), F.size(ws) - 1)))
+        starts = F.filter(F.transform(F.flatten(first), lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+        return F.struct(
+            F.flatten(ls).alias("words"), F.transform(ls, lambda ws: F.size(ws)).alias("sizes"), starts.alias("starts")
+        )
+
+    def ended(v: Column) -> Column:
+        # For each word, where its line ends.
+        stops = F.flatten(F.zip_with(v["starts"], v["sizes"], lambda p, n: F.array_repeat(p + n, n)))
+        return F.struct(v["words"].alias("words"), v["sizes"].alias("sizes"), v["starts"].alias("starts"), stops.alias("stops"))
+
+    def cut(v: Column) -> Column:
+        words, starts, all_words = v["words"], v["starts"], F.size(v["words"])
+        # Start and length in one number, which is cheap to compare.
+        code = lambda start, n: start.cast("long") * 2**31 + n
+
+        def windows(n: int, own: list[str]) -> Column:
+            size = lambda p: v["stops"][F.least(p + n, all_words) - 1] - p
+            near = F.filter(starts, lambda p: F.arrays_overlap(F.slice(words, p + 1, size(p)), F.lit(own)))
+            return F.transform(near, lambda p: code(p, size(p)))
+
+        parts = [windows(n, own) for n, own in by_length.items()]
+        codes = F.array_distinct(
+            F.concat(F.zip_with(starts, v["sizes"], code), F.array(code(F.lit(0), all_words)), *parts)
+        )
+        at = lambda c: F.slice(words, F.shiftright(c, 31).cast("int") + 1, (c % 2**31).cast("int"))
+        return F.filter(F.transform(codes, at), lambda ws: F.arrays_overlap(ws, F.lit(anchors)))
+
+    return let(let(let(lines, measured), ended), cut)
+
+
 def matches(
-    spark: SparkSession, files: DataFrame, templates: list[Template] = TEMPLATES, threshold: float = THRESHOLD
+    spark: SparkSession,
+    files: DataFrame,
+    templates: list[Template] = TEMPLATES,
+    threshold: float = THRESHOLD,
+    full_texts: list[Template] = FULL_TEXTS,
 ) -> DataFrame:
     """(path, licence, score): the best template of the units of each path that reaches the threshold.
 
     Ties go to the first licence by name. ``files`` has path, name and text.
     """
-    vocabulary = sorted({w for _, text in templates for w in words_of(text)})
+    vocabulary = sorted({w for _, text in [*templates, *full_texts] for w in words_of(text)})
     frequencies, total = written(document_frequencies(files), "license-words"), files.count()
     n = {r["word"]: r["n"] for r in frequencies.filter(F.col("word").isin(vocabulary)).collect()}
     idf = {w: math.log((1 + total) / (1 + n.get(w, 0))) + 1 for w in vocabulary}
     vectors = template_vectors(templates, idf)
     anchors = anchors_of(vectors, threshold)
-    whole = F.when(F.col("name").rlike(LICENCE_FILES), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = files.select("path", F.explode(F.concat(F.split("text", "\n"), whole)).alias("unit")).select(
-        F.monotonically_increasing_id().alias("unit_id"), "path", _words(F.col("unit")).alias("words")
+    by_length: dict[int, list[str]] = {}
+    for _, text in templates:
+        own = words_of(text)
+        by_length[len(own)] = sorted({*by_length.get(len(own), []), *(w for w in own if w in anchors)})
+    # A line without letters and digits of any script parts two paragraphs.
+    paragraphs = files.select("path", F.explode(F.split("text", r"\n[^\p{L}\p{N}]*\n")).alias("paragraph"))
+    headers = paragraphs.filter(F.arrays_overlap(_words(F.col("paragraph")), F.lit(anchors))).select(
+        "path", F.lit(False).alias("whole"), F.explode(_headers(F.col("paragraph"), by_length, anchors)).alias("words")
+    )
+    wholes = files.filter(F.col("name").rlike(LICENCE_FILES)).select(
+        "path", F.lit(True).alias("whole"), _words(F.col("text")).alias("words")
+    )
+    known = written(
+        headers.unionByName(wholes).select(F.monotonically_increasing_id().alias("unit_id"), "path", "whole", "words"),
+        "license-units",
     )
-    known = written(units.filter(F.arrays_overlap("words", F.lit(anchors))), "license-units")
     terms = (
-        known.select("path", "unit_id", F.explode("words").alias("word"))
-        .groupBy("path", "unit_id", "word")
+        known.select("unit_id", "whole", F.explode("words").alias("word"))
+        .groupBy("unit_id", "whole", "word")
         .agg(F.count(F.lit(1)).alias("times"))
         .join(frequencies, "word")
         .withColumn("weight", F.col("times") * (F.log((1 + total) / (1 + F.col("n"))) + 1))
     )
     norms = terms.groupBy("unit_id").agg(F.sqrt(F.sum(F.pow("weight", F.lit(2)))).alias("norm"))
-    # The templates are a fixed list of a few hundred words.
-    fixed = spark.createDataFrame(vectors, "template int, licence string, word string, share double")
+    # The templates are a fixed list of a few thousand words.
+    full = [(len(templates) + t, *rest) for t, *rest in template_vectors(full_texts, idf)]
+    shape = "template int, licence string, word string, share double, full boolean"
+    fixed = spark.createDataFrame([(*v, False) for v in vectors] + [(*v, True) for v in full], shape)
     dots = (
         terms.join(F.broadcast(fixed), "word")
-        .groupBy("path", "unit_id", "template", "licence")
+        .filter(F.col("whole") | ~F.col("full"))
+        .groupBy("unit_id", "template", "licence")
         .agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
     )
     score = F.round(F.col("dot") / F.col("norm"), 9)
-    close = dots.join(norms, "unit_id").withColumn("score", score).filter(F.col("score") >= threshold)
+    near = dots.join(norms, "unit_id").withColumn("score", score).filter(F.col("score") >= threshold)
+    close = near.join(known.select("unit_id", "path"), "unit_id")
     # The negated score first, so that one minimum takes the highest score and then the first licence by name.
     best = close.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best"))
     return best.select("path", (-F.col("best.less")).alias("score"), "best.licence")
@@ -178,6 +240,7 @@ def scan(
     text_col: str = "text",
     templates: list[Template] = TEMPLATES,
     threshold: float = THRESHOLD,
+    full_texts: list[Template] = FULL_TEXTS,
 ) -> DataFrame:
     """(doc_id, path, own_license, score, license, inherited_from): one row per row of ``df``.
 
@@ -193,7 +256,7 @@ def scan(
         F.coalesce("text", F.lit("")).alias("text"),
     )
     named = files.withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
-    found = written(matches(spark, named, templates, threshold), "licenses")
+    found = written(matches(spark, named, templates, threshold, full_texts), "licenses")
     placed = found.select(directory_of(F.col("path")).alias("directory"), "path", "score", "licence")
     in_files = placed.filter(F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILES))
     # Of several licence files in a directory the best match counts, then the first by licence name.

@@ -116,3 +116,19 @@ def test_number_of_files_does_not_decide(spark):
         rows = [(i, f"{i}.txt", text) for i, text in enumerate(some * copies)]
         told = licenses.scan(spark.createDataFrame(rows, shape)).filter(F.col("doc_id") % len(some) == 0)
         assert {r["license"] for r in told.collect()} == {"Apache-2.0"}
+
+
+def test_wrapped_headers_and_full_texts(spark):
+    bsd = """# Copyright Acme
+# Redistribution and use in source and binary
+#   forms, with or without modification, are permitted
+# provided that the following conditions are met:
+# here goes more of it, told in many other words
+def f():
+    return 1"""
+    mit = "Copyright (c) 2020 Acme Inc.\n\n" + dict(licenses.FULL_TEXTS)["MIT"]
+    rows = [(1, "a/x.py", bsd), (2, "b/LICENSE", mit), (3, "b/c/y.py", "x = 1"), (4, "d/LICENSE", "plain prose " * 200)]
+    rows += [(i, f"e/{i}.txt", "the plain prose of a file and of the other files\n" * 3) for i in range(10, 60)]
+    found = {r[0]: r[4] for r in of(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))}
+    assert (found[1], found[2], found[3]) == ("BSD-3-Clause", "MIT", "MIT")
+    assert {x for i, x in found.items() if i > 3} == {None}
