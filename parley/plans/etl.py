@@ -1,6 +1,7 @@
 """The telemetry job: chat logs in, one analytics row per user out.
 
-Run with ``spark-submit --jars <jdbc driver> -m parley.plans.etl --url jdbc:postgresql://... --user ...``.
+Run with ``spark-submit --jars <jdbc driver> -m parley.plans.etl --url jdbc:postgresql://... --user ...
+--rejected <shared folder>``.
 """
 
 from __future__ import annotations
@@ -36,13 +37,15 @@ def run_etl(
     fmt: str = "jdbc",
     options: Mapping[str, str] | None = None,
     topics: int | None = None,
+    rejected: str | None = None,
 ) -> int:
     """Read, aggregate, overwrite ``target``; returns the number of rejected rows.
 
+    Rejected rows are kept as a Parquet table where ``rejected`` names its folder; the command line asks for it.
     The target table is truncated and keeps its constraints. A failed run raises; running again is safe.
     """
     table = aggregate_logs(read(), topics)
-    return write_overwrite(table, target, "user_id", ["total_interactions"], fmt, dict(options or {}))
+    return write_overwrite(table, target, "user_id", ["total_interactions"], fmt, dict(options or {}), rejected)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -56,6 +59,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     cli.add_argument("--partitions", type=int, default=4)
     cli.add_argument("--fetchsize", type=int, default=5000)
     cli.add_argument("--topics", type=int, help="store this many real topics instead of the fixed list")
+    cli.add_argument("--rejected", required=True, help="folder that keeps the rows which the target cannot take")
     args = cli.parse_args(argv)
     login = {"user": args.user, "password": os.environ.get(args.password_env, ""), "driver": args.driver}
     session = spark or build_session("parley-telemetry")
@@ -65,7 +69,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             session, args.url, args.source, "id", None, args.partitions, args.fetchsize, **login
         )
 
-    rejected = run_etl(read, args.target, "jdbc", {"url": args.url, **login}, args.topics)
+    rejected = run_etl(read, args.target, "jdbc", {"url": args.url, **login}, args.topics, args.rejected)
     print(f"rejected rows: {rejected}")
     return rejected
 

@@ -125,3 +125,19 @@ def test_external_converter(spark, tmp_path):
     files = readers.read_files(spark, str(tmp_path))
     got = text.convert_files(files, factory).select(F.element_at(F.split("path", "/"), -1), "text")
     assert rows(got) == [("a.pdf", "# Title\nbody"), ("b.pdf", None)]
+
+
+def test_etl_command_keeps_rejected_rows(spark, tmp_path, monkeypatch):
+    target, rejected = str(tmp_path / "t"), str(tmp_path / "r")
+    logs = spark.createDataFrame([(1, "a", "x"), (2, None, "x"), (3, None, "y")], "id int, user_id string, topic string")
+    logs = logs.withColumn("created_at", F.timestamp_micros(F.col("id").cast("long")))
+    monkeypatch.setattr(etl, "read_jdbc", lambda *a, **k: logs)
+    # Parquet in place of a database, which tests do not have.
+    monkeypatch.setattr(
+        etl, "write_overwrite", lambda df, to, pk, ints, fmt, options, *more: sinks.write_overwrite(df, to, pk, ints, "parquet", {}, *more)
+    )
+    given = ["--url", "jdbc:x", "--user", "u", "--target", target]
+    assert etl.main([*given, "--rejected", rejected], spark) == 1
+    assert rows(spark.read.parquet(rejected).select("user_id", "total_interactions")) == [(None, 2)]
+    with pytest.raises(SystemExit):
+        etl.main(given, spark)
