@@ -24,13 +24,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df):
-    """Rows as plain tuples in a stable order."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is None, str(x)) for x in r))
-
-
-def plan(df):
-    """The executed plan as text."""
-    return df._jdf.queryExecution().executedPlan().toString()

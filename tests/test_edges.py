@@ -1,7 +1,7 @@
 """Rows that fixtures rarely hold: NULL times, bursts, outliers, duplicate keys, lost samples, odd markup."""
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from parley.operators import access, analytics, integrity, limits, ordered, series, status, text

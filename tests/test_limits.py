@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from frames import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

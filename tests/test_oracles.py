@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+from parley.plans import catalog, oracles
 
 FOLDER = os.environ.get("PARLEY_SF_DIR", "/root/testdata/sf0.01")
 TABLES = (
@@ -15,7 +16,7 @@ TABLES = (
     " benchmark labels conversations"
 ).split()
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,8 @@ def _plain(df):
 def test_only_the_approximate_search_has_no_twin():
     assert set(QUERIES) - set(ORACLES) == {"knn_approx"}
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

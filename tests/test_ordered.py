@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import plan, rows
+from frames import plan, rows
 from pyspark.sql import functions as F
 
 from parley.operators import analytics, limits, ordered, status, text

@@ -5,7 +5,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import plan
+from frames import plan
 
 import __spark_entry__ as entry_points
 from parley.operators import analytics

@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import plan, rows
+from frames import plan, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -6,7 +6,7 @@ import os
 import random
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from parley.operators import access, analytics, integrity, limits, status

@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest import plan
+from frames import plan
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
