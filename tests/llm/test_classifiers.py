@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import of
+from llm_tables import of
 from pyspark.sql import functions as F
 
 from parley.llm import language, quality, toxicity

@@ -2,7 +2,7 @@ import hashlib
 import string
 
 import duckdb
-from conftest import FOLDER, of
+from llm_tables import FOLDER, of
 from pyspark.sql import functions as F
 
 from parley.llm import exact, oracles, queries

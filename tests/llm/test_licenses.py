@@ -2,7 +2,7 @@ import math
 import re
 
 import pytest
-from conftest import of
+from llm_tables import of
 from pyspark.sql import functions as F
 
 from parley.llm import licenses, queries

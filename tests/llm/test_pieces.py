@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
-from conftest import of, tokenizer
+from llm_tables import of, tokenizer
 
 from parley.llm import pieces
 

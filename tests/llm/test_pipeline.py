@@ -3,7 +3,7 @@ import subprocess
 import sys
 
 import corpus_pipeline
-from conftest import FOLDER, of, tokenizer
+from llm_tables import FOLDER, of, tokenizer
 
 from parley.llm import exact, language, packing, quality, simhash
 from parley.llm.store import written

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
-from conftest import of
+from llm_tables import of
 
 from parley.llm import components, simhash
 

@@ -3,7 +3,7 @@ import struct
 
 import pytest
 import xxhash
-from conftest import of
+from llm_tables import of
 from pyspark.sql import functions as F
 
 from parley.llm import sketches

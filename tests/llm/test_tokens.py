@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import of, tokenizer
+from llm_tables import of, tokenizer
 from tokenizers import Tokenizer
 
 from parley.llm import packing, token_files
