@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parley.llm import (
     exact,
     language,
+    lexical,
     licenses,
     packing,
     pieces,
@@ -103,3 +104,8 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @_register
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@_register
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -1,0 +1,124 @@
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_tables import FOLDER, of
+
+from parley.llm import lexical
+from parley.llm.store import folder
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def terms(text):
+    return [t.translate(LOWER) for t in TERM.findall(text or "")]
+
+
+def brute(docs, items, k=10):
+    """Ranks by scoring every document for every item."""
+    counted = [(d, Counter(terms(t))) for d, t in docs]
+    counted = [(d, c, sum(c.values())) for d, c in counted if c]
+    n_docs, total = len(counted), sum(n for _, _, n in counted)
+    df = Counter(t for _, c, _ in counted for t in c)
+    wanted = {}
+    for item, text in items:
+        wanted.setdefault(item, set()).update(terms(text))
+    out = []
+    for item, words in wanted.items():
+        scored = []
+        for d, c, n in counted:
+            m = 100 - 90 + 90 * n * n_docs // total
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m))
+                for t in words & c.keys()
+            )
+            if score > 0:
+                scored.append((-score, d is None, d or 0))
+        for rank, (score, lost, d) in enumerate(sorted(scored)[:k], 1):
+            out.append((item, rank, None if lost else d, -score))
+    return sorted(out, key=lambda r: tuple((x is not None, str(x)) for x in r))
+
+
+COLUMNS = ("item_id", "rank", "doc_id", "score")
+ITEMS = [
+    (1, "Hello world"),
+    (2, None),
+    (3, ""),
+    (4, "word1 word2 text an a"),
+    (4, "id"),
+    (None, "TEXT 12 ü"),
+    (5, "nothing_of this kind xyzzy"),
+    (6, "one"),
+]
+
+
+@pytest.mark.parametrize("points", [1, 7, 1 << 19])
+def test_edge_rows_against_brute_force(spark, edge, points):
+    items = spark.createDataFrame([(*i, "x") for i in ITEMS], "item_id long, text string, score string")
+    docs = [(r["doc_id"], r["text"]) for r in edge.collect()]
+    found = lexical.ranked_search(edge, items, shard_points=points)
+    assert of(found, *COLUMNS) == brute(docs, ITEMS)
+
+
+def test_whole_tables_against_brute_force(spark, docs, texts):
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    wanted = brute(texts.items(), [(r["item_id"], r["text"]) for r in items.collect()])
+    assert of(lexical.ranked_search(docs, items), *COLUMNS) == wanted
+    path = folder(spark, "lexical-test")
+    lexical.build_index(docs, path, shard_docs=16)
+    # Items in several blocks give the same as one block.
+    assert of(lexical.search_index(spark, path, items, block_terms=100), *COLUMNS) == wanted
+
+
+def test_ties_take_the_smaller_ids(spark):
+    rows = [(i, "same words here") for i in range(40, 0, -1)] + [(99, "other words"), (98, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, "here same")], "item_id long, text string")
+    found = lexical.ranked_search(df, items, shard_docs=4).orderBy("rank").collect()
+    assert [r["doc_id"] for r in found] == list(range(1, 11))
+    assert [r["rank"] for r in found] == list(range(1, 11))
+
+
+def test_a_term_in_every_document_has_a_weight_like_any_other(spark):
+    df = spark.createDataFrame([(1, "all"), (2, "all all")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ALL")], "item_id long, text string")
+    assert of(lexical.ranked_search(df, items), *COLUMNS) == brute([(1, "all"), (2, "all all")], [(1, "ALL")])
+
+
+def test_empty_tables(spark, none, docs):
+    items = spark.createDataFrame([(1, "hello")], "item_id long, text string")
+    assert lexical.ranked_search(none, items).count() == 0
+    assert lexical.ranked_search(docs, items.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 300), st.integers(0, 40)), min_size=1, max_size=80), st.randoms())
+def test_treap_cells_hold_the_maxima_of_their_squares(points, random):
+    points = sorted(points)
+    impact = np.array([random.randint(1, 50) for _ in points])
+    row, col = (np.array(x) for x in zip(*points, strict=True))
+    cells = lexical.treap(row, col, impact)
+    assert len(cells) < 2 * len(points)
+    seen = set()
+
+    def below(i):
+        c = dict(zip(cells.dtype.names, cells[i].tolist(), strict=True))
+        square = (c["row"] >> c["level"], c["col"] >> c["level"])
+        own = [j for j, p in enumerate(points) if (p[0] >> c["level"], p[1] >> c["level"]) == square]
+        assert c["top"] == max(impact[j] for j in own)
+        if c["n"] == 0:
+            assert len(own) == 1
+            seen.update(own)
+        else:
+            assert 2 <= c["n"] <= 4
+            for k in range(c["n"]):
+                assert int(cells[c["first"] + k]["level"]) < c["level"]
+                below(c["first"] + k)
+
+    below(len(cells) - 1)
+    assert len(seen) == len(points)
