@@ -14,6 +14,7 @@ from parley.llm import (
     licenses,
     packing,
     pieces,
+    prefix_trie,
     quality,
     simhash,
     sketches,
@@ -106,6 +107,12 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@_register
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+    return nodes.withColumn("depth", F.col("depth").cast("long"))
+
+
 @_register
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
