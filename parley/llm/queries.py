@@ -13,6 +13,7 @@ from parley.llm import (
     lexical,
     licenses,
     packing,
+    personal,
     pieces,
     prefix_trie,
     quality,
@@ -107,6 +108,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@_register
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.digests(personal.personal_data(table(spark, folder, "documents")))
+
+
 @_register
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     nodes = prefix_trie.conversation_trie(table(spark, folder, "conversations"))
