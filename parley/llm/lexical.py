@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from parley.llm.store import folder, own_columns, written
 
 #: Points and documents after which a shard is closed; only a single larger document makes a larger one.
-SHARD_POINTS, SHARD_DOCS = 1 << 19, 2048
+SHARD_POINTS, SHARD_DOCS = 1 << 18, 1024
 #: (item, term) pairs of a block of items that is sent to the tasks at once.
 BLOCK_TERMS = 1 << 18
 #: Cell paths that a task follows at a time: items are taken in groups of so many terms times columns at most.
-GROUP_PATHS = 1 << 22
+GROUP_PATHS = 1 << 20
 #: States that an item splits at a time at least; beyond them a quarter of its states.
 BATCH = 16
 
@@ -206,16 +206,21 @@ def build_index(
 class _Index:
     """A shard opened for search."""
 
-    def __init__(self, ids: bytes, known: bytes, terms: bytes, cells: bytes):
+    def __init__(self, ids: pa.Buffer, known: pa.Buffer, terms: pa.Buffer, cells: pa.Buffer, wanted: dict[bytes, int]):
         self.ids = np.frombuffer(ids, "<i8")
         self.known = np.frombuffer(known, "u1")
-        self.rows = {t: i for i, t in enumerate(terms.split(b" "))}
-        n, at = len(cells) // _CELL.itemsize, 0
+        words = terms.to_pybytes().split(b" ")
+        #: Row of each wanted term, -1 where the shard has none.
+        self.rows = np.full(len(wanted), -1, dtype=np.int32)
+        for row, word in enumerate(words):
+            if word in wanted:
+                self.rows[wanted[word]] = row
+        n, at = cells.size // _CELL.itemsize, 0
         for name in _CELL.names:
             kind = _CELL[name]
             setattr(self, name, np.frombuffer(cells, kind, n, at))
             at += n * kind.itemsize
-        side = max(len(self.rows), len(self.ids))
+        side = max(len(words), len(self.ids))
         self.height = max(side - 1, 1).bit_length()
 
     def meets(self, cell: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -258,7 +263,7 @@ def search_shard(index: _Index, item: np.ndarray, row: np.ndarray, weight: np.nd
     Ranges (``r_*``) hold the item, level, column and bound; paths (``p_*``) the cell that a term's row path has
     reached in a range, sorted by range.
     """
-    root = np.full(len(row), len(index.level) - 1, dtype=np.int64)
+    root = np.full(len(row), len(index.level) - 1, dtype=np.int32)
     on = index.meets(root, row)
     p_cell, p_row, p_weight, item = root[on], row[on], weight[on], item[on]
     if not len(item):
@@ -268,7 +273,7 @@ def search_shard(index: _Index, item: np.ndarray, row: np.ndarray, weight: np.nd
     r_item = item[new]
     r_level = np.full(len(r_item), index.height, dtype=np.int64)
     r_col = np.zeros(len(r_item), dtype=np.int64)
-    r_bound = np.add.reduceat(p_weight * index.top[p_cell], np.flatnonzero(new))
+    r_bound = np.add.reduceat(p_weight * index.top[p_cell].astype(np.int64), np.flatnonzero(new))
 
     while len(r_item):
         # The best ranges of each item are split, the others wait.
@@ -284,16 +289,16 @@ def search_shard(index: _Index, item: np.ndarray, row: np.ndarray, weight: np.nd
         # A cell smaller than the range stays whole in one half; another one is left for its children.
         got = [(parent[~branch], cell[~branch], prow[~branch], pweight[~branch])]
         inner, irow, iweight, iparent = cell[branch], prow[branch], pweight[branch], parent[branch]
-        first, count = index.first[inner].astype(np.int64), index.n[inner]
+        first, count = index.first[inner], index.n[inner]
         for k in range(4):
             has = np.flatnonzero(count > k)
-            child = first[has] + k
+            child = first[has] + np.int32(k)
             met = index.meets(child, irow[has])
             has, child = has[met], child[met]
             got.append((iparent[has], child, irow[has], iweight[has]))
         parent, cell, prow, pweight = (np.concatenate(x) for x in zip(*got, strict=True))
         half = r_level[parent] - 1
-        col = index.col[cell].astype(np.int64) >> half
+        col = index.col[cell] >> half
         side = col & 1
 
         order = np.argsort(parent * 2 + side, kind="stable")
@@ -301,7 +306,7 @@ def search_shard(index: _Index, item: np.ndarray, row: np.ndarray, weight: np.nd
         where = parent * 2 + side[order]
         new = np.concatenate([[True], where[1:] != where[:-1]]) if len(where) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
-        bound = np.add.reduceat(pweight * index.top[cell], begin) if len(begin) else np.zeros(0, np.int64)
+        bound = np.add.reduceat(pweight * index.top[cell].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
         n_item, n_level, n_col = r_item[parent[begin]], r_level[parent[begin]] - 1, col[begin]
         n_range = np.cumsum(new) - 1
 
@@ -330,12 +335,14 @@ def search_shard(index: _Index, item: np.ndarray, row: np.ndarray, weight: np.nd
 def _search(item: np.ndarray, term: np.ndarray, terms: list[bytes], weights: np.ndarray, ids: list[int | None], k: int):
     """Search of a block of items: pairs (item, term), sorted by item, with numbers into ``ids`` and ``terms``."""
 
+    wanted = {t: i for i, t in enumerate(terms)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(ids), k)
         for batch in batches:
             for at in range(batch.num_rows):
-                index = _Index(*[batch.column(c)[at].as_buffer().to_pybytes() for c in range(4)])
-                rows = np.array([index.rows.get(t, -1) for t in terms], dtype=np.int64)
+                index = _Index(*[batch.column(c)[at].as_buffer() for c in range(4)], wanted)
+                rows = index.rows
                 here = (rows[term] >= 0) & (weights[term] > 0)
                 items, pairs = item[here], term[here]
                 group = np.cumsum(np.full(len(items), len(index.ids))) // GROUP_PATHS
@@ -425,7 +432,7 @@ def search_index(
         df = dict.fromkeys(range(len(words)), 0)
         counted = shards.select("terms", "dfs").mapInArrow(_frequencies(words), "term long, df long")
         df |= {r["term"]: r["df"] for r in counted.groupBy("term").agg(F.sum("df").alias("df")).collect()}
-        weights = np.array([term_weight(totals["docs"], df[i]) for i in range(len(words))], dtype=np.int64)
+        weights = np.array([term_weight(totals["docs"], df[i]) for i in range(len(words))], dtype=np.int32)
         item, term = np.array(entries, dtype=np.int64).reshape(-1, 2).T.copy()
         part = shards.select("doc_ids", "known", "terms", "cells").mapInArrow(
             _search(item, term, words, weights, ids, k), "item_id long, doc_id long, score long"
