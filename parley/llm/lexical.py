@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,8 +141,11 @@ class _Shard:
         cells = treap(rank[term], np.repeat(place, sizes), impact)
         ids = np.array([i or 0 for i in self.ids], dtype="<i8")[by_length]
         known = np.array([i is not None for i in self.ids], dtype="u1")[by_length]
-        fields = b"".join(cells[name].tobytes() for name in _CELL.names)
-        return [ids.tobytes(), known.tobytes(), b" ".join(words[by_df]), dfs[by_df].astype("<i4").tobytes(), fields]
+        # Compressed here, not by the file format: a batch of shards is small on its way, and one is opened at a time.
+        packed = zstandard.ZstdCompressor(level=1).compress
+        fields = packed(b"".join(cells[name].tobytes() for name in _CELL.names))
+        terms, dfs = packed(b" ".join(words[by_df])), dfs[by_df].astype("<i4").tobytes()
+        return [ids.tobytes(), known.tobytes(), terms, packed(dfs), fields]
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,24 +202,29 @@ def build_index(
     totals = spark.read.parquet(f"{path}/totals").first()
     (
         docs.mapInArrow(_gather(totals["docs"], totals["total"], shard_points, shard_docs), _SHARD)
-        .write.option("compression", "zstd")
+        .write.option("compression", "uncompressed")
         .parquet(f"{path}/shards")
     )
 
 
+def _unpacked(data: pa.Buffer) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class _Index:
     """A shard opened for search."""
 
     def __init__(self, ids: pa.Buffer, known: pa.Buffer, terms: pa.Buffer, cells: pa.Buffer, wanted: dict[bytes, int]):
         self.ids = np.frombuffer(ids, "<i8")
         self.known = np.frombuffer(known, "u1")
-        words = terms.to_pybytes().split(b" ")
+        words = _unpacked(terms).split(b" ")
         #: Row of each wanted term, -1 where the shard has none.
         self.rows = np.full(len(wanted), -1, dtype=np.int32)
         for row, word in enumerate(words):
             if word in wanted:
                 self.rows[wanted[word]] = row
-        n, at = cells.size // _CELL.itemsize, 0
+        cells = _unpacked(cells)
+        n, at = len(cells) // _CELL.itemsize, 0
         for name in _CELL.names:
             kind = _CELL[name]
             setattr(self, name, np.frombuffer(cells, kind, n, at))
@@ -370,8 +379,8 @@ def _frequencies(terms: list[bytes]):
         total = np.zeros(len(terms), dtype=np.int64)
         for batch in batches:
             for words, dfs in zip(batch.column(0), batch.column(1), strict=True):
-                df = np.frombuffer(dfs.as_py(), "<i4")
-                for i, word in enumerate(words.as_py().split(b" ")):
+                df = np.frombuffer(_unpacked(dfs.as_buffer()), "<i4")
+                for i, word in enumerate(_unpacked(words.as_buffer()).split(b" ")):
                     number = wanted.get(word)
                     if number is not None:
                         total[number] += df[i]
