@@ -109,43 +109,49 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _tokenise(path: str):
+    names = ["doc_id", "crc", "ids", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
+        total = np.zeros(words.vocabulary, dtype=np.int64)
         for batch in batches:
             for part in _slices(batch):
                 ids = [words.encode(t) + END for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["doc_id", "crc", "ids"],
-                )
+                crc, coded = pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())
+                found = np.bincount(_flat(coded)[0])
+                if len(found) > len(total):
+                    total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
+                total[: len(found)] += found
+                columns = [part.column(0), crc, coded, pa.nulls(len(ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        if total.any():
+            token = np.flatnonzero(total)
+            counts = np.stack([token, total[token]]).astype("<i8").tobytes()
+            columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, crc, ids): ids of each whole text and the end id 0, as little-endian unsigned 32-bit integers."""
-    return docs.select("doc_id", "text").mapInArrow(_tokenise(path), "doc_id long, crc long, ids binary")
+    """(doc_id, crc, ids, counts): ids of each whole text and the end id 0, as little-endian unsigned 32-bit integers.
+
+    After its documents each task adds one row without ids, whose ``counts`` are its tokens and how often they occur.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_tokenise(path), "doc_id long, crc long, ids binary, counts binary")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for part in _slices(batch):
-            found = np.bincount(_flat(part.column(0))[0])
-            if len(found) > len(total):
-                total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
-            total[: len(found)] += found
-    token = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(total[token])], names=["token", "n"])
+        for counts in batch.column(0):
+            token, n = np.frombuffer(counts.as_buffer(), "<i8").reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "n"])
 
 
 def token_ranks(tokens: DataFrame) -> np.ndarray:
     """Tokens by falling frequency over all rows, ties by the smaller token: at most as many as the vocabulary."""
-    counts = tokens.select("ids").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(_count, "token long, n long")
+    counts = counts.groupBy("token").agg(F.sum("n").alias("n"))
     ranked = counts.toPandas().sort_values(["n", "token"], ascending=[False, True], kind="stable")
     return ranked["token"].to_numpy(dtype=np.int64)
 
@@ -212,6 +218,7 @@ def write_token_files(
     spark = df.sparkSession
     tokens = written(tokenised(own_columns(df, doc_id=id_col, text=text_col), tokenizer), "tokens")
     order = token_ranks(tokens)
+    tokens = tokens.filter("ids IS NOT NULL").select("doc_id", "crc", "ids")
     ranks = spark.createDataFrame([(i, int(t)) for i, t in enumerate(order)], "rank long, token long")
     ranks.write.parquet(f"{path}/ranks")
     block = block_of(id_key(), block_bounds(tokens.select(id_key().alias("key")), "key"))

@@ -107,6 +107,7 @@ class WordEncoder:
         self._words = Memo(WORDS)
         self._spaced = Memo(CHUNKS)
         self._chunks = Memo(CHUNKS)
+        self._signs = {s: self._ids(s) for s in ".,"} if self.layout else {}
 
     def whole(self, text: str) -> bytes:
         """Ids by the library's own encode, as little-endian unsigned 32-bit integers."""
@@ -165,10 +166,20 @@ class WordEncoder:
         return self._chunk(self._chunks, first, "") + self._joined(self._spaced, rest, " ")
 
     def _joined(self, memo: Memo, parts: list[str], before: str) -> bytes:
-        ids = list(map(memo.young.get, parts))
-        if None in ids:
-            ids = [self._chunk(memo, p, before) if x is None else x for x, p in zip(ids, parts, strict=True)]
-        return b"".join(ids)
+        get = memo.young.get
+        ids = list(map(get, parts))
+        if None not in ids:
+            return b"".join(ids)
+        signs, whole = self._signs, self._chunk
+        out = []
+        for x, p in zip(ids, parts, strict=True):
+            if x is None:
+                # A known part that ends with a letter, then a full stop or comma: the sign is a word of its own.
+                sign = signs.get(p[-1:])
+                bare = get(p[:-1]) if sign is not None and p[-2:-1].isalpha() else None
+                x = whole(memo, p, before) if bare is None else bare + sign
+            out.append(x)
+        return b"".join(out)
 
 
 def encoder(path: str) -> WordEncoder:
