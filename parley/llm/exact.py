@@ -83,14 +83,15 @@ def exact_dedup(
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: one row per distinct text.
 
-    Of rows that repeat id and text of the kept row any one stays, since they are the same document.
+    Of rows that repeat id and text of the kept row any one stays, since they are the same document; ids are compared
+    as whole numbers, so 7 and '007' are one id.
     """
     normalise, hasher = options.get("normalise", lower_ascii), options.get("hasher", md5_of)
     stay = exact_dedup(df, id_col, text_col, **options).filter("kept")
     key = F.sha2(normalise(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), 256)
     keyed = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
-        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id_key"),
+        F.coalesce(F.col(f"`{id_col}`").try_cast("long").cast("string"), F.lit("")).alias("id_key"),
         key.alias("text_key"),
     )
     wanted = stay.select(

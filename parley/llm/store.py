@@ -28,13 +28,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def own_columns(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns under the operator's own names, so that no other column can clash with them."""
+    """Only the named columns under the operator's own names, so that no other column can clash with them.
+
+    Ids are read as whole numbers: an id that is none, such as a text without digits, counts as NULL.
+    """
     return df.select(*[_cast(F.col(f"`{source}`"), own) for own, source in columns.items()])
 
 
 def _cast(c: Column, own: str) -> Column:
     kind = {"doc_id": "long", "text": "string", "lang": "string"}.get(own)
-    return (c.cast(kind) if kind else c).alias(own)
+    return (c.try_cast(kind) if kind else c).alias(own)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -47,6 +47,16 @@ def test_one_row_per_text_stays_with_its_columns(edge):
     assert {r["doc_id"] for r in kept.collect() if r["text"] and "hello" in r["text"].lower()} == {1}
 
 
+def test_ids_of_any_type_lose_no_group(spark):
+    rows = [("007", "same text"), ("08", "same text"), ("9", "another"), ("x", "no number"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert of(exact.deduplicated(df), "doc_id") == [(None,), ("007",), ("9",), ("x",)]
+    for kind in ("double", "decimal(12,2)", "int"):
+        numbers = spark.createDataFrame([(7, "same text"), (8, "same text"), (9, "another")], "doc_id int, text string")
+        found = exact.deduplicated(numbers.withColumn("doc_id", F.col("doc_id").cast(kind)))
+        assert sorted(int(r["doc_id"]) for r in found.collect()) == [7, 9]
+
+
 def test_empty_table(none):
     assert exact.exact_dedup(none).count() == 0
     assert exact.deduplicated(none).count() == 0
