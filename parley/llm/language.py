@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,6 @@ EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.05
 UNKNOWN = "und"
 #: Characters that are hashed at a time, so that a very long text needs little memory.
 SPAN = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
@@ -100,7 +98,7 @@ class LanguageModel:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         at, value = vector(text, self.idf)
         p = _softmax((value @ self.weights[at] + self.weights[-1]) / self.temperature)
@@ -174,19 +172,19 @@ def _vectors(idf: np.ndarray):
 def train(docs: DataFrame, per_class: int = PER_CLASS) -> LanguageModel:
     """A model from ``docs`` (doc_id, text, lang). Rows without text, label or id teach nothing.
 
-    Without any such row the model knows no language and predicts ``und``.
+    Repeated rows are one example. Four of five examples teach the weights, the fifth the temperature; a single
+    example teaches both. Without any such row the model knows no language and predicts ``und``.
     """
     usable = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     idf = inverse_frequencies(usable.select("text"))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        usable.select("doc_id", "lang")
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= per_class)
-        .select("doc_id", "lang")
-        .distinct()
-    )
-    # A repeated row is one example: per_class ids per language are sent to the tasks, and as many rows come back.
+    # A repeated row is one example. Only ids whose hash lies below twice the share that is wanted are ranked, so no
+    # task gets more than some 2 * per_class of a language.
+    examples = usable.select("doc_id", "lang").distinct().withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    sizes = examples.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    near = examples.join(sizes, "lang").filter(F.col("hash") / (1 << 30) * F.col("n") <= 2 * per_class + 20)
+    w = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    chosen = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_class).select("doc_id", "lang")
+    # per_class ids per language are sent to the tasks, and as many rows come back.
     sample = (
         usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
         .select("doc_id", "lang", "text")
@@ -203,7 +201,7 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> LanguageModel:
         rows.append((at, np.append(np.frombuffer(value, "<f4"), 1).astype(np.float64), languages.index(lang)))
     if not languages:
         return LanguageModel([], idf, np.zeros((size + 1, 0)), 1.0)
-    learn = [r for i, r in enumerate(rows) if i % 5 or len(rows) < 10]
+    learn = [r for i, r in enumerate(rows) if i % 5] or rows
     kept = [r for i, r in enumerate(rows) if i % 5 == 0]
     weights = ftrl(learn, len(languages), size + 1)
     logits = np.array([value @ weights[at] for at, value, _ in kept])
