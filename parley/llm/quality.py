@@ -31,6 +31,8 @@ BANDS = 2000
 THRESHOLD = 0.7
 #: Every so-many-th labelled row is kept from the regression, for the calibration.
 CALIBRATION_PART = 4
+#: Groups in which the tasks' parts of the normal equations are added up first.
+SUM_NODES = 64
 
 _CLASSES = np.zeros(256, dtype=np.uint8)
 for _code in range(256):
@@ -149,6 +151,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _normal_parts(model: QualityModel):
+    from pyspark import TaskContext
+
     size = len(model.phases) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +163,14 @@ def _normal_parts(model: QualityModel):
                 y = batch.column(1).to_numpy(zero_copy_only=False)
                 total += np.hstack([z.T @ z, (z.T @ y)[:, None]])
         if total.any():
+            node = TaskContext.get().partitionId() % SUM_NODES
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(size, dtype=np.int32)), pa.array([r.tobytes() for r in total], pa.binary())],
-                names=["line", "part"],
+                [
+                    pa.array(np.arange(size, dtype=np.int32)),
+                    pa.array(np.full(size, node, dtype=np.int32)),
+                    pa.array([r.tobytes() for r in total], pa.binary()),
+                ],
+                names=["line", "node", "part"],
             )
 
     return run
@@ -169,7 +178,7 @@ def _normal_parts(model: QualityModel):
 
 def _sum_parts(pdf: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(p, dtype=np.float64) for p in pdf["part"])
-    return pd.DataFrame({"line": pdf["line"].iloc[:1], "part": [total.tobytes()]})
+    return pd.DataFrame({"line": pdf["line"].iloc[:1], "node": pdf["node"].iloc[:1], "part": [total.tobytes()]})
 
 
 def _bands(model: QualityModel):
@@ -186,9 +195,12 @@ def _bands(model: QualityModel):
 def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int = 11) -> QualityModel:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, y). Rows without label or id teach nothing.
 
-    Every label of a document counts, also repeated ones. Without labelled rows every score is 0.5.
+    The label of a document is the mean of its labels. Documents whose hashed id is a multiple of ``CALIBRATION_PART``
+    calibrate, the others teach the weights; where one of these parts is empty, it takes all rows. Without labelled
+    rows every score is 0.5.
     """
-    labels = labels.filter("y IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("y").cast("double"))
+    labels = labels.filter("y IS NOT NULL AND doc_id IS NOT NULL")
+    labels = labels.groupBy("doc_id").agg(F.avg(F.col("y").cast("double")).alias("y"))
     # The join moves ids, statistics and labels, not texts.
     rows = docs.select("doc_id", stats_of(F.col("text")).alias("stats")).join(labels, "doc_id")
     rows = written(rows.select("doc_id", "stats", "y"), "quality-stats")
@@ -213,12 +225,14 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, seed: in
     if not moments["n"]:
         return model
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_PART)) == 0
-    few = moments["n"] < 200
-    parts = rows.filter(F.lit(True) if few else ~apart).select("stats", "y")
+    held = rows.agg(F.count_if(apart)).first()[0]
+    parts = rows.filter(F.lit(True) if held == moments["n"] else ~apart).select("stats", "y")
     summed = (
-        parts.mapInArrow(_normal_parts(model), "line int, part binary")
+        parts.mapInArrow(_normal_parts(model), "line int, node int, part binary")
+        .groupBy("line", "node")
+        .applyInPandas(_sum_parts, "line int, node int, part binary")
         .groupBy("line")
-        .applyInPandas(_sum_parts, "line int, part binary")
+        .applyInPandas(_sum_parts, "line int, node int, part binary")
         .toPandas()
         .sort_values("line")
     )
@@ -226,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, seed: in
     gram, right = total[:, :-1], total[:, -1]
     model.weights = np.linalg.solve(gram + RIDGE * gram[-1, -1] * np.eye(len(gram)) / features, right)
     counted = (
-        rows.filter(F.lit(True) if few else apart)
+        rows.filter(apart if held else F.lit(True))
         .select("stats", "y")
         .mapInArrow(_bands(model), "band long, raw double, y double")
         .groupBy("band")
