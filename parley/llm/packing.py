@@ -23,8 +23,8 @@ from parley.llm.token_files import END
 from parley.llm.words import encoder
 
 CAPACITY = 2048
-#: Chunks per length, over which the numbering of its pieces is spread.
-CHUNKS = 64
+#: Pieces per chunk, roughly, over which the numbering of a length's pieces is spread.
+CHUNK_PIECES = 1 << 16
 
 
 def _cut(path: str, capacity: int):
@@ -101,9 +101,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return slots
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, chunks: int = CHUNKS) -> DataFrame:
-    """The rows of ``cut`` with ``sequence_id`` and ``offset``; ``cut`` is a stable table with doc_id, piece, length."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_PIECES) -> DataFrame:
+    """The rows of ``cut`` with ``sequence_id`` and ``offset``; ``cut`` is a stable table with doc_id, piece, length.
+
+    A piece that fills a sequence needs no plan: it is a sequence of its own, with a negative number from its place in
+    the table. The others have numbers from 0.
+    """
     spark = cut.sparkSession
+    full = F.col("length") == capacity
+    alone = cut.filter(full).select(
+        *cut.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    cut = cut.filter(~full)
+    chunks = max(1, cut.count() // chunk_pieces)
     keyed = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
     sizes = keyed.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,19 +123,20 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, chunks: int = CHUNKS) -> Data
         plan(counts, capacity), "length long, first long, last long, sequence long, each long, place long"
     )
     within = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")
-    # The begins have at most capacity * chunks rows, the slots a few per length: both are bounded by parameters.
+    # The slots are a few per length, bounded by the capacity.
     numbered = (
         keyed.withColumn("rank", F.row_number().over(within) - 1)
-        .join(F.broadcast(begins), ["length", "chunk"])
+        .join(begins, ["length", "chunk"])
         .withColumn("rank", F.col("rank") + F.col("begin"))
     )
     met = (numbered["length"] == slots["length"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
     index = F.col("rank") - F.col("first")
-    return numbered.join(F.broadcast(slots), met).select(
+    shared = numbered.join(F.broadcast(slots), met).select(
         *[numbered[c] for c in cut.columns],
         (F.col("sequence") + F.expr("(rank - first) div each")).alias("sequence_id"),
         (F.col("place") + (index % F.col("each")) * numbered["length"]).alias("offset"),
     )
+    return shared.unionByName(alone)
 
 
 def best_fit_packing(
