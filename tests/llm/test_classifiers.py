@@ -35,6 +35,35 @@ def test_language_of_edge_rows(edge, none):
     assert set(of(language.identify(edge.withColumn("lang", F.lit(None))), "lang_pred")) == {("und",)}
 
 
+def test_repeated_rows_are_one_example(docs):
+    row = docs.filter("lang = 'en' AND text IS NOT NULL").orderBy("doc_id")
+    row = row.filter(~language.held_out_of(row["doc_id"], 4, 2)).limit(1)
+    repeated = docs.unionByName(row.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(1500)))).drop("n"))
+    model = language.train(repeated.filter(~language.held_out_of(F.col("doc_id"), 4, 2)), per_class=40)
+    found = docs.filter(language.held_out_of(F.col("doc_id"), 4, 2)).filter("text IS NOT NULL")
+    found = found.select("lang", language.predictions(model, F.col("text"))["lang_pred"].alias("p"))
+    assert found.filter("lang = p").count() >= 0.9 * found.count()
+
+
+def test_number_signs_are_no_letters(spark, docs):
+    texts = [(1, "½ ½ 12"), (2, "② ³"), (3, "12 a")]
+    model = language.train(docs)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = df.select("doc_id", language.predictions(model, F.col("text"))["lang_pred"].alias("p")).collect()
+    assert [r["p"] == "und" for r in found] == [True, True, False]
+
+
+@pytest.mark.parametrize("n", [199, 200, 201])
+def test_one_more_label_hardly_moves_scores(spark, n):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    every = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").orderBy("doc_id").select("doc_id", "quality")
+    scores = [
+        {r["doc_id"]: r["score"] for r in quality.rate(frame, every.limit(k)).collect()} for k in (n, n + 1)
+    ]
+    moved = [abs(scores[0][d] - scores[1][d]) for d in scores[0]]
+    assert sum(moved) / len(moved) < 0.01
+
+
 def test_labels_of_held_out_documents_teach_nothing(docs):
     swapped = docs.withColumn("lang", F.when(language.held_out_of(F.col("doc_id"), 4, 2), "xx").otherwise(F.col("lang")))
     assert of(language.identify(swapped)) == of(language.identify(docs))

@@ -48,7 +48,7 @@ def test_entry_registers_every_operator():
     import __spark_entry__
 
     names = [n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")]
-    assert names == [f"op{i}" for i in range(1, 11)] and "pipeline" in __spark_entry__.queries()
+    assert names == [f"op{i}" for i in range(1, 14)] and "pipeline" in __spark_entry__.queries()
 
 
 def test_entry_works_without_this_folder(tmp_path):
