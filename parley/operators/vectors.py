@@ -7,13 +7,14 @@ are cut by row count: a group (an owner, or a hash bucket) with many rows become
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,10 @@ from parley.functions.values import chunk_key, filled, fixed4, let
 from parley.functions.vectors import cosine_distance, cosine_similarity, has_dim, norm
 from parley.operators.access import owned_chunks
 from parley.operators.ordered import top_per_key
-from parley.operators.text import split_markdown, words
+from parley.operators.text import split_markdown
+
+#: Words whose buckets a task remembers.
+WORDS = 1_000_000
 
 # ---- embedding ----------------------------------------------------------------------------------
 
@@ -40,24 +44,45 @@ def embed(
     return df.withColumn(out, run(F.col(text)))
 
 
-def hash_bucket(word: Column, dims: int) -> Column:
+def hash_bucket(word: bytes, dims: int) -> int:
     """The first 8 hexadecimal digits of the word's MD5, as a number modulo ``dims``."""
-    # Where dims divides a power of 16, the digits above it make no difference.
-    digits = next((n for n in range(1, 8) if 16**n % dims == 0), 8)
-    return F.conv(F.substring(F.md5(word), 9 - digits, digits), 16, 10).cast("long") % dims
+    return int(md5(word).hexdigest()[:8], 16) % dims
+
+
+def _hash_vectors(dims: int):
+    """Vectors of a column of texts; each distinct word is hashed once per task, with at most ``WORDS`` remembered."""
+    word = re.compile(rb"[^ \t\r\n\f]+")
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[bytes, int] = {}
+        for texts in batches:
+            flat = np.zeros((len(texts), dims))
+            for row, text in enumerate(texts.fill_null("").cast(pa.binary()).to_pylist()):
+                found = word.findall(text)
+                try:
+                    buckets = [known[w] for w in found]
+                except KeyError:
+                    if len(known) > WORDS:
+                        known.clear()
+                    known.update((w, hash_bucket(w, dims)) for w in set(found).difference(known))
+                    buckets = [known[w] for w in found]
+                flat[row] = np.bincount(buckets, minlength=dims) if buckets else 0
+            length = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+            unit = np.divide(flat, length, out=np.zeros_like(flat), where=length > 0).astype("float32")
+            offsets = pa.array(np.arange(len(texts) + 1, dtype="int32") * dims)
+            yield pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
+
+    return run
 
 
 def hash_embed(df: DataFrame, text: str = "chunk_text", dims: int = 64, out: str = "embedding") -> DataFrame:
-    """Hashed word counts scaled to length one; a text without words gives a zero vector.
+    """Hashed word counts scaled to length one; a text without words, a NULL one too, gives a zero vector.
 
-    Works inside each row: words become bucket names, which are the whole vocabulary to count.
+    Works row by row in Arrow batches: hashing each distinct word once costs far less than hashing every occurrence
+    in built-in expressions.
     """
-    names = [str(i) for i in range(dims)]
-    counter = CountVectorizerModel.from_vocabulary(names, inputCol="_buckets", outputCol="_counts")
-    buckets = F.transform(words(F.col(text)), lambda w: hash_bucket(w, dims).cast("string"))
-    counted = counter.setMinTF(0.0).transform(df.withColumn("_buckets", buckets))
-    scaled = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
-    return scaled.withColumn(out, vector_to_array("_unit", "float32")).drop("_buckets", "_counts", "_unit")
+    return df.withColumn(out, _hash_vectors(dims)(F.col(text)))
 
 
 # ---- one query ----------------------------------------------------------------------------------
@@ -257,24 +282,14 @@ def knn_approx(
     tables: int = 12,
     bits: int = 3,
     seed: int = 7,
-    exact_rows: int = 10_000,
     q_rows: int = 20_000,
     c_rows: int = 50_000,
 ) -> DataFrame:
     """As ``knn_join``, comparing only vectors that share a hash bucket in one of the tables.
 
     More tables raise recall, more bits cut the work. Candidates are ranked by their exact similarity, and
-    every candidate of a bucket is compared. Owners with at most ``exact_rows`` chunks are searched exactly,
-    since hashing saves nothing there; with 0, all are hashed.
+    every candidate of a bucket is compared. Owners of every size are searched in the same way.
     """
-    if exact_rows > 0:
-        # At most count(chunks) / exact_rows owners.
-        large = F.broadcast(_sizes(chunks, ["owner"]).filter(F.col("_n") > exact_rows).select("owner"))
-        shape = {"q_rows": q_rows, "c_rows": c_rows}
-        hashed = [df.join(large, "owner", "left_semi") for df in (queries, chunks)]
-        rest = [df.join(large, "owner", "left_anti") for df in (queries, chunks)]
-        found = knn_approx(*hashed, dims, k, tables, bits, seed, 0, **shape)
-        return found.unionByName(knn_join(*rest, dims, k, **shape))
     q = signatures(_usable(queries, dims, "query_id", "owner"), dims, tables, bits, seed)
     c = signatures(_usable(chunks, dims, "id", "owner"), dims, tables, bits, seed)
     by = ["owner", "_table", "_bucket"]

@@ -22,10 +22,9 @@ from parley.operators import (
     validate,
     vectors,
 )
-from parley.plans.views import Inputs
+from parley.plans.views import DIMS, Inputs
 from parley.sources import sinks
 
-DIMS = 64
 QUERY_VECTOR = tuple(((37 * i) % DIMS - 31.5) / 32 for i in range(DIMS))
 OWNER = 3
 LOADED_AT = "2024-02-01 00:00:00"
@@ -459,12 +458,13 @@ def knn_join(i: Inputs) -> DataFrame:
 @_register
 def knn_approx(i: Inputs) -> DataFrame:
     asked, owned = _searches(i)
-    return vectors.knn_approx(asked, owned, DIMS, exact_rows=0).withColumn("similarity", F.round("similarity", 6))
+    return vectors.knn_approx(asked, owned, DIMS).withColumn("similarity", F.round("similarity", 6))
 
 
 @_register
 def search_report(i: Inputs) -> DataFrame:
-    asked, owned = _searches(i)
+    owned = access.chunk_owner(i.chunks, i.owners)
+    asked = owned.withColumnRenamed("id", "query_id")
     hits = vectors.hits_with_text(vectors.knn_join(asked, owned, DIMS), i.chunks)
     return vectors.search_report(hits, asked.select("query_id", "owner"))
 

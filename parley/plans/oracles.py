@@ -21,9 +21,8 @@ VIEWS = {
     " ELSE 'standard' END AS usage_tier FROM customer WHERE c_acctbal >= 0",
     "v_docs": "SELECT d.doc_id AS id, d.doc_id % 15 AS user_id, concat('f', CAST(d.doc_id AS VARCHAR),"
     " CASE WHEN d.doc_id % 7 = 0 THEN '.PDF' WHEN d.doc_id % 5 = 0 THEN '.txt' ELSE '.pdf' END)"
-    " AS file_name, e.ts AS created_at FROM documents d JOIN events e ON e.event_id = d.doc_id",
-    "v_chunks": "SELECT v.vec_id AS id, v.vec_id AS doc_id, d.text AS chunk_text,"
-    " CAST(v.embedding AS DOUBLE[]) AS embedding, d.doc_id % 15 AS owner"
+    " AS file_name, e.ts AS created_at FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id",
+    "v_vectors": "SELECT v.vec_id AS id, CAST(v.embedding AS DOUBLE[]) AS embedding, d.doc_id % 15 AS owner"
     " FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id",
     "v_status_log": "SELECT event_id AS seq, user_id AS doc_id, CASE event_type WHEN 'signup' THEN 'PENDING'"
     " WHEN 'purchase' THEN 'COMPLETE' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END AS status, ts"
@@ -100,10 +99,10 @@ VIEWS = {
     " UNION ALL SELECT doc_id, 0, NULL, NULL, NULL, NULL, any_value(text) FROM v_named GROUP BY doc_id"
     " HAVING max(CASE WHEN body <> '' THEN 1 ELSE 0 END) = 0",
     # kNN of every vector among the vectors of its owner.
-    "v_hits": "SELECT * FROM (SELECT q.id AS query_id, c.id, q.owner, c.chunk_text,"
+    "v_hits": "SELECT * FROM (SELECT q.id AS query_id, c.id, q.owner,"
     " list_dot_product(q.embedding, c.embedding) / sqrt(list_dot_product(q.embedding, q.embedding))"
     " / sqrt(list_dot_product(c.embedding, c.embedding)) AS similarity"
-    " FROM v_chunks q JOIN v_chunks c ON q.owner = c.owner)"
+    " FROM v_vectors q JOIN v_vectors c ON q.owner = c.owner)"
     " QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) <= 5",
     "v_ranked": "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id)"
     " AS INTEGER) AS rank FROM v_hits",
@@ -135,6 +134,25 @@ def _quantised(x: str) -> str:
     return f"least(floor(greatest(-1.0, least(1.0, {x})) * 32768), 32767)"
 
 
+# Every document as a chunk with a hashed embedding; one without words has none and is in no search.
+VIEWS["v_chunks"] = (
+    "SELECT d.doc_id AS id, d.doc_id, d.text AS chunk_text, d.doc_id % 15 AS owner,"
+    f" CAST(e.embedding AS DOUBLE[]) AS embedding FROM documents d LEFT JOIN ({_embedding('documents', 'doc_id', 'text')}) e"
+    " ON e.doc_id = d.doc_id"
+)
+VIEWS["v_embedded"] = "SELECT * FROM v_chunks WHERE embedding IS NOT NULL"
+VIEWS["v_chunk_hits"] = (
+    "SELECT * FROM (SELECT q.id AS query_id, c.id, c.chunk_text,"
+    " list_dot_product(q.embedding, c.embedding) / sqrt(list_dot_product(q.embedding, q.embedding))"
+    " / sqrt(list_dot_product(c.embedding, c.embedding)) AS similarity"
+    " FROM v_embedded q JOIN v_embedded c ON q.owner = c.owner)"
+    " QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) <= 5"
+)
+VIEWS["v_chunk_ranked"] = (
+    "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id)"
+    " AS INTEGER) AS rank FROM v_chunk_hits"
+)
+
 # What the fixture's pages contain of elements and entities.
 _DROPPED = ("script", "style", "nav", "footer")
 _BLOCKS = ("title", "h[1-6]", "p", "div", "article", "section", "ul", "ol", "table", "tr", "body", "head", "html")
@@ -180,7 +198,7 @@ _FOUND = f"""v_found AS (SELECT * FROM (SELECT s.user_id, s.query, k.id, k.chunk
  / sqrt(list_dot_product(CAST(t.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])))
  / sqrt(list_dot_product(k.embedding, k.embedding)) AS similarity
  FROM (SELECT DISTINCT user_id, query FROM v_calls) s JOIN v_terms t ON t.query = s.query
- JOIN v_chunks k ON k.owner = s.user_id)
+ JOIN v_embedded k ON k.owner = s.user_id)
  QUALIFY row_number() OVER (PARTITION BY user_id, query ORDER BY round(similarity, 9) DESC, id) <= 5)"""
 _REPORTS = """v_reports AS (SELECT user_id, query, string_agg(concat('Result ', CAST(rank AS VARCHAR),
  ' (Similarity: ', printf('%.4f', similarity), '):', chr(10), chunk_text), chr(10) || chr(10) ORDER BY rank) AS report
@@ -349,11 +367,13 @@ _SQL: dict[str, str] = {
     f" ({_embedding('documents', 'doc_id', 'text')})",
     "knn_exact": "SELECT id, doc_id, chunk_text, round(s, 6) AS similarity, CAST(row_number() OVER"
     " (ORDER BY s DESC, id) AS INTEGER) AS rank FROM (SELECT id, doc_id, chunk_text, list_cosine_similarity("
-    f"embedding, CAST({_Q} AS DOUBLE[])) AS s FROM v_chunks WHERE owner = {OWNER}) ORDER BY s DESC, id LIMIT 5",
+    f"embedding, CAST({_Q} AS DOUBLE[])) AS s FROM v_embedded WHERE owner = {OWNER}) ORDER BY s DESC, id LIMIT 5",
     "knn_join": "SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM v_ranked",
-    "search_report": "SELECT query_id, owner, string_agg(concat('Result ', CAST(rank AS VARCHAR), ' (Similarity: ',"
+    "search_report": "r AS (SELECT query_id, string_agg(concat('Result ', CAST(rank AS VARCHAR), ' (Similarity: ',"
     " printf('%.4f', similarity), '):', chr(10), chunk_text), chr(10) || chr(10) ORDER BY rank) AS report"
-    " FROM v_ranked GROUP BY query_id, owner",
+    " FROM v_chunk_ranked GROUP BY query_id)"
+    f" SELECT c.id AS query_id, c.owner, coalesce(r.report, '{NOTHING_FOUND}') AS report"
+    " FROM v_chunks c LEFT JOIN r ON r.query_id = c.id",
     "ingest_batch": f"e AS ({_embedding('v_split', 'doc_id, chunk_idx', 'chunk_text')})"
     " SELECT sha256(concat(CAST(s.doc_id AS VARCHAR), ':', CAST(s.chunk_idx AS VARCHAR))) AS id, s.doc_id,"
     f" s.chunk_idx, s.chunk_text, {_numbers('e.embedding')} AS embedding FROM v_split s JOIN e"

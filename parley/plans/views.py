@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators.vectors import hash_embed
 from parley.schemas import role_seeds
 
+#: Dimensions of the fixtures' vectors and of hashed embeddings.
+DIMS = 64
+
 
 class Inputs:
     """The derived tables of one data folder; each attribute access builds a lazy DataFrame."""
@@ -52,7 +56,7 @@ class Inputs:
     @property
     def docs(self) -> DataFrame:
         d, e = self.table("documents").select("doc_id"), self.table("events").select("event_id", "ts")
-        return d.join(e, F.col("event_id") == F.col("doc_id")).selectExpr(
+        return d.join(e, F.col("event_id") == F.col("doc_id"), "left").selectExpr(
             "doc_id AS id",
             "doc_id % 15 AS user_id",
             "concat('f', doc_id, CASE WHEN doc_id % 7 = 0 THEN '.PDF'"
@@ -67,10 +71,9 @@ class Inputs:
 
     @property
     def chunks(self) -> DataFrame:
-        v, d = self.table("embeddings"), self.table("documents").select("doc_id", "text")
-        return v.join(d, F.col("vec_id") == F.col("doc_id")).selectExpr(
-            "vec_id AS id", "doc_id", "text AS chunk_text", "embedding"
-        )
+        """Every document as one chunk, embedded by the embedder that the search tool uses for its queries."""
+        texts = self.table("documents").selectExpr("doc_id AS id", "doc_id", "text AS chunk_text")
+        return hash_embed(texts, "chunk_text", DIMS)
 
     @property
     def vectors(self) -> DataFrame:

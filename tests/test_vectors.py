@@ -79,25 +79,34 @@ def test_recall_of_the_approximate_search(spark):
     _, df = _table(spark, 400, 16)
     queries = df.withColumnRenamed("id", "query_id")
     exact = vectors.knn_join(queries, df, 16)
-    approx = vectors.knn_approx(queries, df, 16, exact_rows=0)
+    approx = vectors.knn_approx(queries, df, 16)
     assert rows(approx.groupBy("query_id", "id").count().filter("count > 1")) == []
     recall = vectors.ann_recall(approx, exact).first()
     assert recall["recall"] > 0.9 and recall["neighbours"] == exact.count()
     one_cell = rows(approx.select("query_id", "id", "rank"))
-    cut = vectors.knn_approx(queries, df, 16, exact_rows=0, q_rows=5, c_rows=5)
+    cut = vectors.knn_approx(queries, df, 16, q_rows=5, c_rows=5)
     assert rows(cut.select("query_id", "id", "rank")) == one_cell
 
 
-def test_small_owners_are_searched_exactly(spark):
+def test_owners_of_every_size_are_searched_alike(spark):
+    """An owner's neighbours do not change when other owners, or more chunks of others, come along."""
     _, df = _table(spark, 300, 8)
     queries = df.withColumnRenamed("id", "query_id")
     cols = ["query_id", "id", "rank"]
-    exact = rows(vectors.knn_join(queries, df, 8).select(cols))
-    assert rows(vectors.knn_approx(queries, df, 8, bits=12, tables=1).select(cols)) == exact
-    part = vectors.knn_approx(queries, df, 8, bits=12, tables=1, exact_rows=100)
-    small = {r["query_id"] for r in queries.filter("owner > 0").collect()}
-    assert [r for r in rows(part.select(cols)) if r[0] in small] == [r for r in exact if r[0] in small]
-    assert part.count() < len(exact)
+    both = rows(vectors.knn_approx(queries, df, 8).select(cols))
+    small = df.filter("owner > 0")
+    alone = rows(vectors.knn_approx(small.withColumnRenamed("id", "query_id"), small, 8).select(cols))
+    mine = {r["id"] for r in small.collect()}
+    assert [r for r in both if r[0] in mine] == alone
+
+
+def test_recall_over_the_given_vectors(spark):
+    folder = "/root/testdata/sf0.1"
+    given = spark.read.parquet(f"{folder}/embeddings.parquet")
+    chunks = given.selectExpr("vec_id AS id", "vec_id % 15 AS owner", "embedding")
+    queries = chunks.withColumnRenamed("id", "query_id")
+    found = vectors.ann_recall(vectors.knn_approx(queries, chunks, 64), vectors.knn_join(queries, chunks, 64)).first()
+    assert found["neighbours"] == 5 * chunks.count() and found["recall"] >= 0.9
 
 
 def test_distance_edges(spark):
