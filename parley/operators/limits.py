@@ -342,7 +342,14 @@ def bucket_transfer(us: np.ndarray, start: int, end: int, cap: int, cost: int) -
     ``shift`` is true and ``value`` otherwise. Two levels never get further apart, so there are only
     about as many pieces as the bucket has tokens, whatever the number of requests.
     """
-    pieces = [(0, True, 0)]
+    pieces = advance_transfer([(0, True, 0)], us, start, cap, cost)
+    return advance_transfer(pieces, (), int(us[-1]) if len(us) else start, cap, cost, end)
+
+
+def advance_transfer(
+    pieces: list[tuple[int, bool, int]], us: Sequence[int], last: int, cap: int, cost: int, end: int | None = None
+) -> list[tuple[int, bool, int]]:
+    """The pieces after requests at the times ``us``, the first of which comes after ``last``; then refilled up to ``end``."""
 
     def refilled(parts, amount):
         out = []
@@ -381,11 +388,11 @@ def bucket_transfer(us: np.ndarray, start: int, end: int, cap: int, cost: int) -
     def merged(parts):
         return [p for i, p in enumerate(parts) if i == 0 or p[1:] != parts[i - 1][1:]]
 
-    last = start
-    for now in us.tolist():
+    for now in us:
+        now = int(now)
         pieces = merged(spent(refilled(pieces, now - last)))
         last = now
-    return merged(refilled(pieces, end - last))
+    return pieces if end is None else merged(refilled(pieces, end - last))
 
 
 def apply_transfer(pieces: list[tuple[int, bool, int]], level: int) -> int:
@@ -405,30 +412,64 @@ def token_bucket(requests: DataFrame, capacity: int, refill_s: int, min_rows: in
     given = requests.select("id", key, "ts", micros(requests, "ts").alias("us"))
     rows = split_hot(given.filter(F.col("us").isNotNull()), [key], F.col("us"), min_rows)
 
-    def transfer(group, pdf):
-        us = np.sort(pdf["us"].to_numpy())
-        start, end = int(pdf["_start"].iloc[0]), int(us[-1])
-        lo, shift, value = zip(*bucket_transfer(us, start, end, cap, cost))
-        fixed = {key: [group[0]] * len(lo), "_blk": int(group[1]), "_start": start, "end": end}
-        return pd.DataFrame({**fixed, "lo": lo, "shift": shift, "value": value})
-
-    def chain(group, pdf):
-        found, level, at = [], cap, None
-        for blk, part in pdf.groupby("_blk", sort=True):
-            start = int(part["_start"].iloc[0])
-            level = cap if at is None else min(cap, level + start - at)
-            found.append((group[0], blk, start, level))
-            level = apply_transfer(list(zip(part["lo"], part["shift"], part["value"])), level)
-            at = int(part["end"].iloc[0])
-        return pd.DataFrame(found, columns=[key, "_blk", "_start", "us"])
-
-    pieces = "_blk bigint, _start bigint, end bigint, lo bigint, shift boolean, value bigint"
+    def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Blocks follow one another, each in order of time and over as many batches as it needs.
+        held = None
+
+        def closed():
+            name, blk, start, last, pieces = held
+            lo, shift, value = zip(*pieces)
+            n = len(pieces)
+            columns = [[name] * n, [blk] * n, [start] * n, [last] * n, lo, shift, value]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made)], schema=made)
+
+        for batch in batches:
+            names, blks, starts = (batch.column(c).to_pylist() for c in (key, "_blk", "_start"))
+            us = batch.column("us").to_pylist()
+            cuts = [i for i in range(1, len(us)) if blks[i] != blks[i - 1] or names[i] != names[i - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(us)]):
+                if a == b:
+                    continue
+                if held is None or held[:2] != (names[a], blks[a]):
+                    if held is not None:
+                        yield closed()
+                    held = (names[a], blks[a], starts[a], starts[a], [(0, True, 0)])
+                pieces = advance_transfer(held[4], us[a:b], held[3], cap, cost)
+                held = (*held[:3], us[b - 1], pieces)
+        if held is not None:
+            yield closed()
+
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The pieces of a block follow one another by ``lo``, the blocks of a key by number.
+        name = blk = at = None
+        level, pieces, begun = cap, [], False
+        for batch in batches:
+            found = []
+            for r in zip(*[c.to_pylist() for c in batch.columns]):
+                if not begun or r[0] != name or r[1] != blk:
+                    if begun and r[0] == name:
+                        level = min(cap, apply_transfer(pieces, level) + r[2] - at)
+                    else:
+                        level = cap
+                    name, blk, begun, pieces = r[0], r[1], True, []
+                    found.append((name, blk, r[2], level))
+                at = r[3]
+                pieces.append(r[4:])
+            columns = zip(*found) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, linked)], schema=linked)
+
+    pieces = _schema(requests, key, "_blk bigint, _start bigint, end bigint, lo bigint, shift boolean, value bigint")
+    links = _schema(requests, key, "_blk bigint, _start bigint, us bigint")
+    made, linked = to_arrow_schema(pieces), to_arrow_schema(links)
     carry = (
         rows.filter(F.col("_blk").isNotNull())
-        .groupBy(key, "_blk")
-        .applyInPandas(transfer, _schema(requests, key, pieces))
-        .groupBy(key)
-        .applyInPandas(chain, _schema(requests, key, "_blk bigint, _start bigint, us bigint"))
+        .select(key, "_blk", "_start", "us")
+        .repartition(key, "_blk")
+        .sortWithinPartitions(key, "_blk", "us")
+        .mapInArrow(transfers, pieces)
+        .repartition(key)
+        .sortWithinPartitions(key, "_blk", "lo")
+        .mapInArrow(chains, links)
     )
     added = "admitted boolean, credit_us bigint"
     folded = _fold_in_order(rows, carry, [key], ["us", "id"], _bucket_fold(cap, cost), added)

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.constants import FRAME
-from parley.operators.ordered import HOT_ROWS, running_sum, split_hot
+from parley.operators.ordered import NO_POSITION, floor_div
 
 
 def _div(a: Column, b: int) -> Column:
@@ -69,23 +69,34 @@ def dequantise(value: Column) -> Column:
     return value.cast("double") / F.lit(32768.0)
 
 
-def frames(
-    s: DataFrame, size: int = FRAME, number: str = "n", value: str = "sample", min_rows: int = HOT_ROWS
-) -> DataFrame:
+def frames(s: DataFrame, size: int = FRAME, number: str = "n", value: str = "sample") -> DataFrame:
     """Full frames of ``size`` consecutive samples in the order of their numbers; an incomplete tail is held back.
 
     Samples are framed as they arrive: a lost number leaves no hole, and of a doubled number one sample counts
-    (the least). The running position of a signal with very many samples is taken in blocks.
+    (the least). Samples are gathered by ``number div size`` first, so a group has at most ``size`` of them however
+    long the signal. A running count over these groups, not over samples, tells where each begins: in a signal
+    without holes they are its frames, and only groups behind a hole are dealt anew.
     """
-    once = s.groupBy("signal_id", F.col(number).alias("_i")).agg(F.min(value).alias("_sample"))
-    placed = running_sum(split_hot(once, ["signal_id"], F.col("_i"), min_rows), ["signal_id"], ["_i"], F.lit(1), "_p")
-    frame = _div(F.col("_p") - 1, size)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("_p").alias("i"), F.col("_sample").alias("v"))))
-    return (
-        placed.groupBy("signal_id", frame.alias("frame"))
-        .agg(ordered["v"].alias("samples"))
+    at = F.col(number).cast("long")
+    group = F.coalesce(floor_div(at - 1, size), F.lit(NO_POSITION))
+    rows = s.select(F.struct("signal_id").alias("_s"), group.alias("_g"), at.alias("_i"), F.col(value).alias("_v"))
+    once = rows.repartition("_s", "_g").groupBy("_s", "_g", "_i").agg(F.min("_v").alias("_v"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_v").alias("v"))))
+    parts = once.groupBy("_s", "_g").agg(ordered["v"].alias("samples"))
+    earlier = Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long"))
+    begins = parts.select("_s", "_g", F.size("samples").cast("long").alias("_n")).withColumn("_p", begin)
+    placed = parts.join(begins, ["_s", "_g"])
+    whole = (F.col("_p") % size == 0) & (F.col("_n") == size)
+    done = placed.filter(whole).select("_s", _div(F.col("_p"), size).alias("frame"), "samples")
+    loose = placed.filter(~whole).select("_s", "_p", F.posexplode("samples").alias("_o", "v"))
+    loose = loose.select("_s", (F.col("_p") + F.col("_o")).alias("i"), "v")
+    again = (
+        loose.groupBy("_s", _div(F.col("i"), size).alias("frame"))
+        .agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("samples"))
         .filter(F.size("samples") == size)
     )
+    return done.unionByName(again).select("_s.signal_id", "frame", "samples")
 
 
 @F.arrow_udf(T.BinaryType())

@@ -108,7 +108,11 @@ def test_lost_and_doubled_samples_cost_no_frame(spark):
     out = {r["frame"]: r["samples"] for r in series.frames(df, 10).collect()}
     kept = sorted(set(numbers))
     assert out == {i: kept[10 * i : 10 * i + 10] for i in range(4)}
-    assert rows(series.frames(df, 10, min_rows=8)) == rows(series.frames(df, 10))
+    # A signal without a name, samples without a number or value, and negative numbers are framed like any other.
+    odd = [(None, n, n) for n in (-3, -1, 0, 2, 2, 5)] + [(2, None, 7), (2, 1, None), (2, 1, 4), (2, 2, None)]
+    out = series.frames(spark.createDataFrame(odd, "signal_id long, n long, sample long"), 2).collect()
+    got = {(r["signal_id"], r["frame"]): r["samples"] for r in out}
+    assert got == {(None, 0): [-3, -1], (None, 1): [0, 2], (2, 0): [7, 4]}
 
 
 def test_pcm_of_empty_null_and_odd_frames(spark):
