@@ -131,8 +131,8 @@ def _nearest(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return best, np.take_along_axis(sims, best, axis=1)
 
 
-def _cell_topk(k: int, schema: pa.Schema, at_once: int = 256):
-    """Best k chunks per query for one cell, which may hold several blocks."""
+def _cell_topk(k: int, schema: pa.Schema, decode: Callable | None = None, at_once: int = 256):
+    """Best k chunks per query for one cell, which may hold several blocks; ``decode`` gives the chunks' unit vectors."""
 
     def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
         found_q, found_c, found_s = [], [], []
@@ -143,7 +143,7 @@ def _cell_topk(k: int, schema: pa.Schema, at_once: int = 256):
             q_codes, c_codes = codes[: queries.num_rows], codes[queries.num_rows :]
             q_order, c_order = (np.argsort(x, kind="stable") for x in (q_codes, c_codes))
             q_sorted, c_sorted = q_codes[q_order], c_codes[c_order]
-            q, c = _units(queries["_v"]), _units(chunks["_v"])
+            q, c = _units(queries["_v"]), (decode or _units)(chunks["_v"])
             for code in np.intersect1d(q_sorted, c_sorted):
                 mine = q_order[slice(*np.searchsorted(q_sorted, [code, code + 1]))]
                 theirs = c_order[slice(*np.searchsorted(c_sorted, [code, code + 1]))]
@@ -166,7 +166,7 @@ def _cell_topk(k: int, schema: pa.Schema, at_once: int = 256):
     return run
 
 
-def _sizes(df: DataFrame, block: Sequence[str]) -> DataFrame:
+def block_sizes(df: DataFrame, block: Sequence[str]) -> DataFrame:
     return df.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
 
 
@@ -176,7 +176,7 @@ def _parts(sizes: DataFrame, block: Sequence[str], rows: int, out: str) -> DataF
     return large.select(*block, F.ceil(F.col("_n") / rows).cast("int").alias(out))
 
 
-def _block_topk(
+def block_topk(
     queries: DataFrame,
     chunks: DataFrame,
     q_sizes: DataFrame,
@@ -185,6 +185,7 @@ def _block_topk(
     k: int,
     q_rows: int,
     c_rows: int,
+    decode: Callable | None = None,
 ) -> DataFrame:
     """(query_id, id, similarity): top k per query and cell. Inputs hold ``block`` columns and ``_v``.
 
@@ -219,10 +220,10 @@ def _block_topk(
     out = T.StructType(
         [queries.schema["query_id"], chunks.schema["id"], T.StructField("similarity", T.DoubleType())]
     )
-    return left.cogroup(right).applyInArrow(_cell_topk(k, to_arrow_schema(out)), out)
+    return left.cogroup(right).applyInArrow(_cell_topk(k, to_arrow_schema(out), decode), out)
 
 
-def _usable(df: DataFrame, dims: int, *cols: str) -> DataFrame:
+def usable(df: DataFrame, dims: int, *cols: str) -> DataFrame:
     """Rows with an owner and a vector of the right length that is not zero, the vector as ``_v``.
 
     The choice is made by an explode of zero or one vector: a filter would be pushed below the embedding
@@ -237,7 +238,7 @@ def _usable(df: DataFrame, dims: int, *cols: str) -> DataFrame:
     return df.filter(F.col("owner").isNotNull()).select(*named, F.explode(one).alias("_v"))
 
 
-def _final_rank(hits: DataFrame, k: int) -> DataFrame:
+def final_rank(hits: DataFrame, k: int) -> DataFrame:
     return top_per_key(hits, ["query_id"], [F.desc(F.round("similarity", 9)), F.asc("id")], k)
 
 
@@ -253,12 +254,12 @@ def knn_join(
 
     Inputs are ``(query_id, owner, embedding)`` and ``(id, owner, embedding)``.
     """
-    q = _usable(queries, dims, "query_id", "owner")
-    c = _usable(chunks, dims, "id", "owner")
+    q = usable(queries, dims, "query_id", "owner")
+    c = usable(chunks, dims, "id", "owner")
     by = ["owner"]
     # Counted before unusable vectors are left out, so that the count need not read the vectors.
-    sizes = [_sizes(df.select(F.col("owner").alias("owner")), by) for df in (queries, chunks)]
-    return _final_rank(_block_topk(q, c, *sizes, by, k, q_rows, c_rows), k)
+    sizes = [block_sizes(df.select(F.col("owner").alias("owner")), by) for df in (queries, chunks)]
+    return final_rank(block_topk(q, c, *sizes, by, k, q_rows, c_rows), k)
 
 
 def signatures(df: DataFrame, dims: int, tables: int, bits: int, seed: int) -> DataFrame:
@@ -290,12 +291,12 @@ def knn_approx(
     More tables raise recall, more bits cut the work. Candidates are ranked by their exact similarity, and
     every candidate of a bucket is compared. Owners of every size are searched in the same way.
     """
-    q = signatures(_usable(queries, dims, "query_id", "owner"), dims, tables, bits, seed)
-    c = signatures(_usable(chunks, dims, "id", "owner"), dims, tables, bits, seed)
+    q = signatures(usable(queries, dims, "query_id", "owner"), dims, tables, bits, seed)
+    c = signatures(usable(chunks, dims, "id", "owner"), dims, tables, bits, seed)
     by = ["owner", "_table", "_bucket"]
-    hits = _block_topk(q, c, _sizes(q, by), _sizes(c, by), by, k, q_rows, c_rows)
+    hits = block_topk(q, c, block_sizes(q, by), block_sizes(c, by), by, k, q_rows, c_rows)
     # The same pair may be found in several tables.
-    return _final_rank(hits.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity")), k)
+    return final_rank(hits.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity")), k)
 
 
 def ann_recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

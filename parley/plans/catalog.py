@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,11 @@ from parley.operators import (
     text,
     tools,
     validate,
+    vector_index,
     vectors,
 )
 from parley.plans.views import DIMS, Inputs
+from parley.session import shared_dir
 from parley.sources import sinks
 
 QUERY_VECTOR = tuple(((37 * i) % DIMS - 31.5) / 32 for i in range(DIMS))
@@ -461,6 +464,24 @@ def knn_approx(i: Inputs) -> DataFrame:
     return vectors.knn_approx(asked, owned, DIMS).withColumn("similarity", F.round("similarity", 6))
 
 
+@_register
+def knn_index(i: Inputs) -> DataFrame:
+    """All given vectors in a stored index, built from half of them and appended to; every vector asks."""
+    asked, owned = _searches(i)
+    path = f"{shared_dir(i.spark)}/vector-index-{uuid.uuid4().hex}"
+    vector_index.build_index(owned.filter("id % 2 = 0"), path, DIMS, lists=16, parts=16)
+    vector_index.append(owned.filter("id % 2 = 1"), path)
+    hits = vector_index.search(asked, path, probes=12)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+@_register
+def index_recall(i: Inputs) -> DataFrame:
+    """Share of the exact neighbours that the stored index finds."""
+    asked, owned = _searches(i)
+    return vectors.ann_recall(knn_index(i), vectors.knn_join(asked, owned, DIMS))
+
+
 @_register
 def search_report(i: Inputs) -> DataFrame:
     owned = access.chunk_owner(i.chunks, i.owners)
