@@ -6,12 +6,12 @@ planner broadcasts them after checking their size; when they are not, it shuffle
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.constants import DENIED
 from parley.functions.values import has_permission, permission_map
-from parley.operators.ordered import micros
+from parley.operators.ordered import HOT_ROWS, micros, split_hot
 
 
 def user_permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
@@ -54,6 +54,57 @@ def overlay(
     )
 
 
+def overlay_as_of(
+    calls: DataFrame,
+    base: DataFrame,
+    cache: DataFrame,
+    key: str,
+    value: str,
+    ttl_s: int,
+    ts: str = "ts",
+    loaded: str = "loaded_at",
+    min_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``calls`` with the ``value`` that held for their ``key`` at their own time, and ``from_cache``.
+
+    ``cache`` is a log of entries. At a call's time the entry loaded last counts, if it is younger than ``ttl_s``; of
+    entries loaded at one time the one with the greatest value; an entry loaded at the time of a call counts for it.
+    Otherwise the value of ``base`` holds, NULL where it has none. A call without a time or a key finds no entry, and
+    an entry without a time is none. Entries and calls of a key pass one window in order of time; keys with at least
+    ``min_rows`` of them are cut into blocks, each of which starts from the entry that was last before it.
+    """
+    asked = calls.select(
+        F.col(key).alias("_k"), micros(calls, ts).alias("_at"), F.struct(*calls.columns).alias("_call"),
+    )
+    entry = F.struct(F.col("_at").alias("at"), F.col(value).alias("held"))
+    known = cache.withColumn("_at", micros(cache, loaded)).filter(F.col("_at").isNotNull() & F.col(key).isNotNull())
+    known = known.select(F.col(key).alias("_k"), "_at", entry.alias("_entry"))
+    rows = split_hot(asked.unionByName(known, allowMissingColumns=True), ["_k"], F.col("_at"), min_rows)
+    earlier = Window.partitionBy("_k").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        rows.filter(F.col("_blk").isNotNull())
+        .groupBy("_k", "_blk")
+        .agg(F.max("_entry").alias("_entry"))
+        .withColumn("_entry", F.max("_entry").over(earlier))
+        .withColumn("_first", F.lit(True))
+    )
+    every = rows.withColumn("_first", F.lit(False)).unionByName(carry, allowMissingColumns=True)
+    upto = (
+        Window.partitionBy("_k", "_blk")
+        .orderBy(F.desc("_first"), F.asc_nulls_first("_at"), F.col("_call").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    # Entries come in order of time, so the greatest so far is the last.
+    met = every.withColumn("_e", F.max("_entry").over(upto)).filter(F.col("_call").isNotNull())
+    live = F.coalesce(F.col("_at") - F.col("_e.at") < F.lit(ttl_s * 1_000_000), F.lit(False))
+    found = met.select("_call.*", F.col("_k"), live.alias("from_cache"), F.when(live, F.col("_e.held")).alias("_held"))
+    stored = base.select(F.col(key).alias("_b"), F.col(value).alias("_stored"))
+    joined = found.join(stored, F.col("_k") == F.col("_b"), "left")
+    return joined.select(
+        *calls.columns, F.when(F.col("from_cache"), F.col("_held")).otherwise(F.col("_stored")).alias(value), "from_cache"
+    )
+
+
 def chunk_owner(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks with the owner of their document, as ``owner``."""
     d = docs.select(F.col("id").alias("_doc"), F.col("user_id").alias("owner"))

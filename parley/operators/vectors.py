@@ -14,7 +14,6 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +35,34 @@ WORDS = 1_000_000
 def embed(
     df: DataFrame, model_factory: Callable, text: str = "chunk_text", out: str = "embedding", batch: int = 64
 ) -> DataFrame:
-    """Vectors from a model that is loaded once per Python worker.
+    """Vectors from a model that is loaded once per task; NULL where the model raises.
 
-    ``model_factory()`` returns a function from an array of texts to an array (texts x dimensions).
+    ``model_factory()`` returns a function from an array of texts to an array (texts x dimensions). When it raises on a
+    batch, the texts of that batch are tried one by one inside the task, so one bad text costs one batch.
     """
-    run = predict_batch_udf(model_factory, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+
+    def one_by_one(predict: Callable, texts: np.ndarray) -> list:
+        found = []
+        for i in range(len(texts)):
+            try:
+                found.append(np.asarray(predict(texts[i : i + 1]))[0])
+            except Exception:  # noqa: BLE001  any error of a model
+                found.append(None)
+        return found
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = model_factory()
+        for texts in batches:
+            found: list = []
+            for at in range(0, len(texts), batch):
+                part = texts.iloc[at : at + batch].to_numpy()
+                try:
+                    found.extend(np.asarray(predict(part)))
+                except Exception:  # noqa: BLE001  any error of a model
+                    found.extend(one_by_one(predict, part))
+            yield pd.Series([None if v is None else np.asarray(v, dtype="float32") for v in found], dtype=object)
+
     return df.withColumn(out, run(F.col(text)))
 
 

@@ -170,6 +170,17 @@ def cache_overlay(i: Inputs) -> DataFrame:
     return access.overlay(base, cache, "user_id", "permissions", _ntz(AS_OF), 5 * 86_400)
 
 
+@_register
+def cache_as_of(i: Inputs) -> DataFrame:
+    """The permissions of each tool call at its own time: a live entry of the cache log, else the stored ones."""
+    base = access.user_permissions(i.users, i.roles).select("user_id", "permissions")
+    cache = i.table("events").filter("event_type = 'signup'").selectExpr(
+        "user_id", "props AS permissions", "ts AS loaded_at"
+    )
+    calls = i.tool_calls.select("call_id", "user_id", "ts")
+    return access.overlay_as_of(calls, base, cache, "user_id", "permissions", 2 * 86_400, min_rows=CUT)
+
+
 @_register
 def owned_chunks(i: Inputs) -> DataFrame:
     premium = i.users.filter("role_id = 2")
@@ -666,6 +677,14 @@ def analytics_rows(i: Inputs) -> DataFrame:
     return good
 
 
+@_register
+def analytics_rejected(i: Inputs) -> DataFrame:
+    """What the telemetry job sets aside: here every 97th log has lost its user."""
+    user = F.when(F.col("id") % 97 != 0, F.col("user_id"))
+    table = analytics.user_analytics(i.chat_logs.withColumn("user_id", user), 2)
+    return sinks.prepare_overwrite(table, "user_id", ["total_interactions"])[1]
+
+
 @_register
 def secured_calls(i: Inputs) -> DataFrame:
     done = access.secured("can_query_analytics")(

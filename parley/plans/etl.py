@@ -37,15 +37,16 @@ def run_etl(
     fmt: str = "jdbc",
     options: Mapping[str, str] | None = None,
     topics: int | None = None,
-    rejected: str | None = None,
+    *,
+    rejected: str,
 ) -> int:
     """Read, aggregate, overwrite ``target``; returns the number of rejected rows.
 
-    Rejected rows are kept as a Parquet table where ``rejected`` names its folder; the command line asks for it.
+    Rejected rows are kept as a Parquet table in the folder ``rejected``.
     The target table is truncated and keeps its constraints. A failed run raises; running again is safe.
     """
     table = aggregate_logs(read(), topics)
-    return write_overwrite(table, target, "user_id", ["total_interactions"], fmt, dict(options or {}), rejected)
+    return write_overwrite(table, target, "user_id", rejected, ["total_interactions"], fmt, dict(options or {}))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -69,7 +70,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             session, args.url, args.source, "id", None, args.partitions, args.fetchsize, **login
         )
 
-    rejected = run_etl(read, args.target, "jdbc", {"url": args.url, **login}, args.topics, args.rejected)
+    rejected = run_etl(read, args.target, "jdbc", {"url": args.url, **login}, args.topics, rejected=args.rejected)
     print(f"rejected rows: {rejected}")
     return rejected
 

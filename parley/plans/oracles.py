@@ -254,6 +254,12 @@ _SQL: dict[str, str] = {
     f" TIMESTAMP '{AS_OF}' < ts + INTERVAL 5 DAY AS live FROM events WHERE event_type = 'signup'"
     f" AND ts <= TIMESTAMP '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1) c"
     " ON c.user_id = b.user_id",
+    "cache_as_of": "e AS (SELECT user_id, ts AS loaded, max(props) AS held FROM events WHERE event_type = 'signup'"
+    " GROUP BY ALL), m AS (SELECT c.event_id AS call_id, c.user_id, c.ts, e.held,"
+    " coalesce(c.ts < e.loaded + INTERVAL 2 DAY, false) AS from_cache FROM events c ASOF LEFT JOIN e"
+    " ON c.user_id = e.user_id AND c.ts >= e.loaded) SELECT m.call_id, m.user_id, m.ts,"
+    " CASE WHEN from_cache THEN m.held ELSE p.permissions END AS permissions, from_cache"
+    " FROM m LEFT JOIN v_perms p ON p.user_id = m.user_id",
     "owned_chunks": "SELECT id, doc_id, owner, chunk_text FROM v_chunks"
     " WHERE owner IN (SELECT id FROM v_users WHERE role_id = 2)",
     "token_claims": "SELECT id, md5(CAST(id AS VARCHAR)) AS user_id, CASE WHEN role_id <> 3 THEN role_id END"
@@ -446,6 +452,9 @@ _SQL |= {
     "topics_as_text": "SELECT user_id, top_topics FROM v_analytics",
     "analytics_rows": "SELECT user_id, CAST(total_interactions AS INTEGER) AS total_interactions, top_topics,"
     " last_updated_at FROM v_analytics WHERE user_id IS NOT NULL",
+    "analytics_rejected": "SELECT NULL::BIGINT AS user_id, CAST(sum(n) AS BIGINT) AS total_interactions,"
+    " CAST(to_json(list(topic ORDER BY n DESC, topic) [1:2]) AS VARCHAR) AS top_topics, max(last_at) AS last_updated_at"
+    " FROM (SELECT topic, count(*) AS n, max(created_at) AS last_at FROM v_logs WHERE id % 97 = 0 GROUP BY topic)",
     "secured_calls": f"SELECT c.call_id, c.user_id, CASE WHEN {_HAS.format('can_query_analytics')} THEN 'OK' ELSE 'DENIED'"
     f" END AS status, CASE WHEN {_HAS.format('can_query_analytics')} THEN c.tool ELSE"
     f" {_DENIED.format('can_query_analytics')} END AS result FROM v_calls c LEFT JOIN v_perms p ON p.user_id = c.user_id",

@@ -15,7 +15,7 @@ from parley.operators.text import split_markdown
 from parley.operators.validate import split_valid
 from parley.operators.vectors import hash_embed
 from parley.session import shared_dir
-from parley.sources.sinks import write_batch, write_chunks
+from parley.sources.sinks import commit_batch, is_committed, keyed_chunks, latest_chunks, read_committed, write_batch
 
 # Order of the status events that one batch writes for one document.
 _ASKED, _FIRST, _LAST = 0, 1, 2
@@ -36,26 +36,6 @@ def hashed(dims: int = 64) -> Callable[[DataFrame], DataFrame]:
     return lambda chunks: hash_embed(chunks, "chunk_text", dims)
 
 
-def _store(embedder, docs: DataFrame, target: str, batch_id: int, stream: str) -> list[str]:
-    """Chunk, embed and write the documents of a batch; returns the ids of those that could not be.
-
-    When the batch fails as a whole, its documents are tried one by one, so that a single bad one is told apart
-    and cannot stop the stream. A batch is as large as the trigger lets it be.
-    """
-    try:
-        write_chunks(embedder(split_markdown(docs)), target, batch_id, stream)
-        return []
-    except Exception:  # noqa: BLE001  any error of a converter or model
-        failed = []
-        for (doc,) in docs.select("doc_id").collect():
-            one = docs.filter(F.col("doc_id") == F.lit(doc))
-            try:
-                write_chunks(embedder(split_markdown(one)), target, batch_id, f"{stream}-{md5(doc.encode()).hexdigest()}")
-            except Exception:  # noqa: BLE001
-                failed.append(doc)
-        return failed
-
-
 def process_batch(
     events: DataFrame,
     batch_id: int,
@@ -66,26 +46,40 @@ def process_batch(
 ) -> None:
     """One micro-batch of parsed events.
 
-    ``load_text`` maps good events to ``(doc_id, text)`` with NULL text where the file cannot be read;
-    such documents, and those that cannot be chunked or embedded, become FAILED and do not stop the rest. Chunks
-    are written before the status that announces them, and every write replaces what the same batch of the
-    same stream wrote before, so a batch may run again.
+    ``load_text`` maps good events to ``(doc_id, text)`` with NULL text where the file cannot be read. ``embedder`` adds
+    ``embedding`` to chunks, NULL where it could not make one; ``vectors.embed`` does so for models that raise. A document
+    without a text, or with a chunk without a vector, becomes FAILED with none of its chunks and does not stop the rest,
+    at the price of itself: nothing is run once per document. What no row answers for, such as a lost store, fails
+    the batch, and the stream runs it again.
+
+    PENDING and PROCESSING are visible at once. Chunks, final status and rejected events become visible together by one
+    commit; a batch that runs again after it changes nothing.
     """
+    spark = events.sparkSession
+    if is_committed(spark, out, batch_id, stream):
+        return
     good, bad = split_valid(events)
     # A document delivered twice in one batch is processed once.
     good = top_per_key(good, ["doc_id"], [F.col("file_path"), F.col("value")], 1, "_k").drop("_k")
     loaded = load_text(good).select("doc_id", "text")
     docs = good.select("doc_id").join(loaded, "doc_id", "left").persist()
+    chunks = embedder(split_markdown(docs.filter(F.col("text").isNotNull()))).persist()
     try:
-        write_batch(bad, f"{out}/quarantine", batch_id, stream)
         begun = _status(docs, F.lit("PENDING"), _ASKED, batch_id)
         begun = begun.unionByName(_status(docs, F.lit("PROCESSING"), _FIRST, batch_id))
         write_batch(begun, f"{out}/status_started", batch_id, stream)
-        failed = _store(embedder, docs.filter(F.col("text").isNotNull()), f"{out}/chunks", batch_id, stream)
-        done = F.col("text").isNotNull() & ~F.col("doc_id").isin(failed)
+        failed = chunks.filter(F.col("embedding").isNull()).select("doc_id").distinct()
+        marked = docs.join(failed.withColumn("_failed", F.lit(True)), "doc_id", "left")
+        done = F.col("text").isNotNull() & F.col("_failed").isNull()
         end = F.when(done, "COMPLETE").otherwise("FAILED")
-        write_batch(_status(docs, end, _LAST, batch_id), f"{out}/status_ended", batch_id, stream)
+        outputs = {
+            "quarantine": bad,
+            "chunks": keyed_chunks(chunks.join(failed, "doc_id", "left_anti")),
+            "status_ended": _status(marked, end, _LAST, batch_id),
+        }
+        commit_batch(outputs, out, batch_id, stream)
     finally:
+        chunks.unpersist()
         docs.unpersist()
 
 
@@ -122,7 +116,18 @@ def start_ingestion(
 def status_log(spark, out: str) -> DataFrame:
     """All status events written by the stream, as the input of the life-cycle operators."""
     started = spark.read.parquet(f"{out}/status_started")
-    return started.unionByName(spark.read.parquet(f"{out}/status_ended"))
+    ended = read_committed(spark, out, "status_ended")
+    return started.select("doc_id", "status", "ts", "seq").unionByName(ended.select("doc_id", "status", "ts", "seq"))
+
+
+def stored_chunks(spark, out: str) -> DataFrame:
+    """Chunks of committed batches, one row per key; a document delivered again replaces its earlier chunks."""
+    return latest_chunks(read_committed(spark, out, "chunks"))
+
+
+def quarantine(spark, out: str) -> DataFrame:
+    """Rejected events of committed batches with their reasons."""
+    return read_committed(spark, out, "quarantine")
 
 
 def dedupe_stream(events: DataFrame, event_id: str, ts: str, delay: str = "10 minutes") -> DataFrame:

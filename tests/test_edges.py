@@ -1,5 +1,8 @@
 """Rows that fixtures rarely hold: NULL times, bursts, outliers, duplicate keys, lost samples, odd markup."""
 
+import datetime as dt
+import random
+
 import pytest
 from frames import rows
 from pyspark.sql import functions as F
@@ -157,3 +160,37 @@ def test_a_fence_closes_with_its_own_kind(spark):
 def test_entities_are_decoded_once(spark, html, plain):
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     assert text.html_to_markdown(df).first()["markdown"] == plain
+
+
+def _as_of_brute(calls, base, cache, ttl):
+    out = []
+    for call, key, at in calls:
+        held = [(t, v) for k, t, v in cache if k == key and k is not None and t is not None and at is not None and t <= at]
+        t, v = max(held, key=lambda e: (e[0], e[1] is not None, e[1] or ""), default=(None, None))
+        live = t is not None and (at - t).total_seconds() < ttl
+        out.append((call, key, v if live else base.get(key), live))
+    return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+@pytest.mark.parametrize("min_rows", [8, 1_000_000])
+def test_permissions_at_the_time_of_each_call(spark, min_rows):
+    rnd = random.Random(min_rows)
+    start = dt.datetime(2024, 1, 1)
+
+    def when():
+        # Bursts at single times, a wrong clock, and a spread of others.
+        return start + dt.timedelta(seconds=rnd.choice([50, 50, 51, 10**8, *range(0, 400, 7)]))
+
+    keys = [1] * 8 + [2, 3, 4]
+    calls = [(i, rnd.choice(keys), when()) for i in range(240)]
+    calls += [(900, None, when()), (901, 1, None), (902, 1, None), (903, 77, when())]
+    cache = [(rnd.choice(keys), when(), rnd.choice("abc")) for _ in range(90)]
+    cache += [(1, None, "z"), (None, when(), "z"), (77, start, "own")]
+    base = {1: "stored", 2: "other", 3: None}
+    got = access.overlay_as_of(
+        spark.createDataFrame(calls, "call_id long, user_id long, ts timestamp_ntz"),
+        spark.createDataFrame(list(base.items()), "user_id long, p string"),
+        spark.createDataFrame(cache, "user_id long, loaded_at timestamp_ntz, p string"),
+        "user_id", "p", 60, min_rows=min_rows,
+    )
+    assert rows(got.select("call_id", "user_id", "p", "from_cache")) == _as_of_brute(calls, base, cache, 60)

@@ -34,7 +34,7 @@ def test_overwrite_drops_null_keys_and_counts_them(spark, tmp_path):
     logs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id int, user_id string")
     counts = analytics.interaction_counts(logs)
     for _ in range(2):
-        assert sinks.write_overwrite(counts, target, "user_id", ["total_interactions"]) == 1
+        assert sinks.write_overwrite(counts, target, "user_id", str(tmp_path / "r"), ["total_interactions"]) == 1
     got = spark.read.parquet(target)
     assert got.schema["total_interactions"].dataType.simpleString() == "int"
     assert rows(got.select("user_id", "total_interactions")) == [("a", 2)]
@@ -42,7 +42,7 @@ def test_overwrite_drops_null_keys_and_counts_them(spark, tmp_path):
 
 def test_overwrite_rejects_counts_that_do_not_fit(spark, tmp_path):
     df = spark.createDataFrame([("a", 2**31), ("b", 2**31 - 1)], "k string, n long")
-    assert sinks.write_overwrite(df, str(tmp_path / "t"), "k", ["n"]) == 1
+    assert sinks.write_overwrite(df, str(tmp_path / "t"), "k", str(tmp_path / "r"), ["n"]) == 1
     good, bad = sinks.prepare_overwrite(df, "k", ["n"])
     assert rows(good) == [("b", 2**31 - 1)] and rows(bad) == [("a", 2**31)]
 
@@ -94,11 +94,11 @@ def test_etl_job(spark, tmp_path):
     logs = spark.createDataFrame(
         [(1, "a", "x"), (2, "a", "y"), (3, "a", "y"), (4, None, "x")], "id int, user_id string, topic string"
     ).withColumn("created_at", F.timestamp_micros(F.col("id").cast("long")))
-    assert etl.run_etl(lambda: logs, target, "parquet") == 1
+    assert etl.run_etl(lambda: logs, target, "parquet", rejected=str(tmp_path / "r")) == 1
     assert rows(spark.read.parquet(target).select("user_id", "total_interactions", "top_topics")) == [
         ("a", 3, '["general", "ai_architecture"]')
     ]
-    assert etl.run_etl(lambda: logs, target, "parquet", topics=1) == 1
+    assert etl.run_etl(lambda: logs, target, "parquet", topics=1, rejected=str(tmp_path / "r")) == 1
     assert rows(spark.read.parquet(target).select("user_id", "top_topics")) == [("a", '["y"]')]
 
 
@@ -107,11 +107,11 @@ def test_etl_job_on_the_source_table(spark, tmp_path):
     logs = spark.createDataFrame(data, "id int, user_id string, message_text string")
     logs = logs.withColumn("created_at", F.timestamp_micros(F.col("id").cast("long")))
     target, rejected = str(tmp_path / "t"), str(tmp_path / "r")
-    assert etl.run_etl(lambda: logs, target, "parquet", topics=2) == 1
+    assert etl.run_etl(lambda: logs, target, "parquet", topics=2, rejected=rejected) == 1
     out = dict(rows(spark.read.parquet(target).select("user_id", "top_topics")))
     assert out == {"a": '["ai_architecture","general"]', "b": "[]"}
     table = etl.aggregate_logs(logs)
-    assert sinks.write_overwrite(table, target, "user_id", ["total_interactions"], rejected=rejected) == 1
+    assert sinks.write_overwrite(table, target, "user_id", rejected, ["total_interactions"]) == 1
     assert rows(spark.read.parquet(rejected).select("user_id", "total_interactions")) == [(None, 1)]
 
 
@@ -134,7 +134,7 @@ def test_etl_command_keeps_rejected_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(etl, "read_jdbc", lambda *a, **k: logs)
     # Parquet in place of a database, which tests do not have.
     monkeypatch.setattr(
-        etl, "write_overwrite", lambda df, to, pk, ints, fmt, options, *more: sinks.write_overwrite(df, to, pk, ints, "parquet", {}, *more)
+        etl, "write_overwrite", lambda df, to, pk, lost, ints, fmt, options: sinks.write_overwrite(df, to, pk, lost, ints, "parquet", {})
     )
     given = ["--url", "jdbc:x", "--user", "u", "--target", target]
     assert etl.main([*given, "--rejected", rejected], spark) == 1

@@ -9,7 +9,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
-from parley.operators import access, analytics, integrity, limits, status
+from parley.operators import access, analytics, integrity, limits, status, vectors
 from parley.operators.validate import parse_events
 from parley.schemas import role_seeds
 from parley.sources import readers, sinks
@@ -58,7 +58,7 @@ def test_ingestion_end_to_end_with_restart_and_redelivery(spark, tmp_path):
     run()
     run()  # nothing new
 
-    chunks = sinks.read_chunks(spark, f"{out}/chunks")
+    chunks = ingestion.stored_chunks(spark, out)
     got = rows(chunks.select("doc_id", "chunk_idx", "chunk_text", "header_1"))
     assert got == [
         (UID.format(1), 0, "# A\nalpha", "A"),
@@ -69,7 +69,7 @@ def test_ingestion_end_to_end_with_restart_and_redelivery(spark, tmp_path):
     log = ingestion.status_log(spark, out)
     now = {r["doc_id"]: r["status"] for r in status.latest_status(log).collect()}
     assert now == {UID.format(1): "COMPLETE", UID.format(2): "FAILED", UID.format(3): "COMPLETE"}
-    bad = sinks.read_batches(spark, f"{out}/quarantine")
+    bad = ingestion.quarantine(spark, out)
     assert rows(bad.select("reason")) == [("BAD_JSON",), ("MISSING_FIELD",)]
 
 
@@ -78,9 +78,10 @@ def test_a_batch_may_run_again(spark, tmp_path):
     events = parse_events(spark.createDataFrame([(_event(1, "/one.pdf"),), ("{",)], "value string"))
     for _ in range(2):
         ingestion.process_batch(events, 0, _loader(spark), ingestion.hashed(), out)
-    assert sinks.read_batches(spark, f"{out}/chunks").count() == 2
+    assert ingestion.stored_chunks(spark, out).count() == 2
+    assert sinks.read_batches(spark, f"{out}/chunks").count() == 2  # nothing is written twice
     assert ingestion.status_log(spark, out).count() == 3
-    assert sinks.read_batches(spark, f"{out}/quarantine").count() == 1
+    assert ingestion.quarantine(spark, out).count() == 1
 
 
 def test_streams_with_one_target_add_up(spark, tmp_path):
@@ -90,7 +91,7 @@ def test_streams_with_one_target_add_up(spark, tmp_path):
         _write(source, "1.json", [_event(n, "/one.pdf")])
         events = readers.read_events(spark, "text", {"path": source})
         _run(ingestion.start_ingestion(events, _loader(spark), out, str(tmp_path / mark)))
-    assert {r["doc_id"] for r in sinks.read_chunks(spark, f"{out}/chunks").collect()} == {UID.format(n) for n in (1, 2, 3)}
+    assert {r["doc_id"] for r in ingestion.stored_chunks(spark, out).collect()} == {UID.format(n) for n in (1, 2, 3)}
     assert status.status_transitions(ingestion.status_log(spark, out)).count() == 0
 
 
@@ -101,8 +102,7 @@ def test_a_failing_embedder_fails_its_document_only(spark, tmp_path):
 
     def embedder(chunks):
         bad = F.col("chunk_text") == "plain"
-        broken = F.when(bad, F.raise_error(F.lit("no embedding"))).otherwise(F.array(F.lit(1.0)))
-        return chunks.withColumn("embedding", broken.cast("array<float>"))
+        return chunks.withColumn("embedding", F.when(~bad, F.array(F.lit(1.0).cast("float"))))
 
     for batch_id in (0, 1):  # the second delivery starts anew
         ingestion.process_batch(events, batch_id, _loader(spark), embedder, out)
@@ -110,7 +110,63 @@ def test_a_failing_embedder_fails_its_document_only(spark, tmp_path):
     now = {r["doc_id"]: r["status"] for r in status.latest_status(log).collect()}
     assert now == {UID.format(1): "COMPLETE", UID.format(2): "FAILED"}
     assert status.status_transitions(log).count() == 0
-    assert {r["doc_id"] for r in sinks.read_chunks(spark, f"{out}/chunks").collect()} == {UID.format(1)}
+    assert {r["doc_id"] for r in ingestion.stored_chunks(spark, out).collect()} == {UID.format(1)}
+
+
+def test_a_model_that_raises_fails_the_text_only(spark, tmp_path):
+    def factory():
+        def predict(texts):
+            if any(t == "plain" for t in texts):
+                raise ValueError("no embedding")
+            return [[float(len(t))] for t in texts]
+
+        return predict
+
+    out = str(tmp_path / "out")
+    lines = [(_event(1, "/one.pdf"),), (_event(2, "/two.pdf"),), (_event(3),)]
+    events = parse_events(spark.createDataFrame(lines, "value string"))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("raising", "one batch")
+    ingestion.process_batch(events, 0, _loader(spark), lambda chunks: vectors.embed(chunks, factory), out)
+    made = len(jobs.getJobIdsForGroup("raising"))
+    spark.sparkContext.setJobGroup("other", "other")
+    now = {r["doc_id"]: r["status"] for r in status.latest_status(ingestion.status_log(spark, out)).collect()}
+    assert now == {UID.format(1): "COMPLETE", UID.format(2): "FAILED", UID.format(3): "COMPLETE"}
+    assert sorted(r["embedding"] for r in ingestion.stored_chunks(spark, out).collect()) == [[1.0], [8.0], [9.0]]
+    more = [(_event(n, "/two.pdf" if n % 2 else "/one.pdf"),) for n in range(4, 30)]
+    spark.sparkContext.setJobGroup("many", "a batch with many failing documents")
+    events = parse_events(spark.createDataFrame(more, "value string"))
+    ingestion.process_batch(events, 1, _loader(spark), lambda chunks: vectors.embed(chunks, factory), out)
+    assert len(jobs.getJobIdsForGroup("many")) <= made + 3  # jobs do not grow with failures
+    spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_nothing_is_visible_before_the_commit(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    events = parse_events(spark.createDataFrame([(_event(1, "/one.pdf"),), ("{",)], "value string"))
+
+    class Lost(Exception):
+        pass
+
+    def stopped(*_):
+        raise Lost
+
+    # The process dies after all outputs were written and before the commit.
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", stopped)
+        with pytest.raises(Lost):
+            m.setattr(sinks, "is_committed", lambda *a: False)
+            m.setattr(ingestion, "is_committed", lambda *a: False)
+            ingestion.process_batch(events, 0, lambda docs: docs.select("doc_id", F.lit("# A\nb").alias("text")), ingestion.hashed(), out)
+    assert sinks.read_batches(spark, f"{out}/chunks").count() > 0
+    for name in ("chunks", "status_ended", "quarantine"):
+        assert sinks.read_committed(spark, out, name).count() == 0
+    # The batch runs again: all of it is visible, and what the lost attempt left behind is not.
+    for _ in range(2):
+        ingestion.process_batch(events, 0, _loader(spark), ingestion.hashed(), out)
+        assert ingestion.stored_chunks(spark, out).count() == 2
+        assert sinks.read_committed(spark, out, "status_ended").count() == 1
+        assert ingestion.quarantine(spark, out).count() == 1
 
 
 def _requests(n=300, seed=1):
