@@ -20,7 +20,7 @@ from types import ModuleType
 import numpy as np
 
 #: Entries of one generation of a memo; a memo holds two, which bounds a worker's memory.
-WORDS, CHUNKS = 50_000, 450_000
+WORDS, CHUNKS = 50_000, 600_000
 #: Longer words are not kept in the memo.
 KEPT_CHARS = 64
 
@@ -106,7 +106,8 @@ class WordEncoder:
         self._packs = [Struct(f"<{n}I").pack for n in range(17)]
         self._words = Memo(WORDS)
         self._spaced = Memo(CHUNKS)
-        self._chunks = Memo(CHUNKS)
+        # Under the byte layout only uneven texts come here.
+        self._chunks = Memo(CHUNKS // 4 if self.layout == "byte" else CHUNKS)
         self._signs = {s: self._ids(s) for s in ".,"} if self.layout else {}
 
     def whole(self, text: str) -> bytes:
