@@ -7,12 +7,12 @@ import sys
 import pytest
 from frames import plan
 
-import __spark_entry__ as entry_points
 from parley.operators import analytics
+from parley.plans import catalog
 from parley.plans.views import Inputs
 
 FOLDER = "/root/testdata/sf0.01"
-QUERIES = entry_points.queries()
+QUERIES = catalog.queries()
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +30,15 @@ def test_python_only_where_it_is_needed(plans):
     assert python == {
         "ttl_windows",
         "token_bucket",
+        "token_bucket_cut",
         "pcm_roundtrip",
+        "knn_exact",
         "knn_join",
         "knn_approx",
+        "knn_index",
+        "index_recall",
+        "hash_embed",
+        "ingest_batch",
         "search_report",
         "tool_search",
         "tool_dispatch",
