@@ -15,6 +15,7 @@ from parley.operators import (
     access,
     analytics,
     integrity,
+    key_graph,
     limits,
     series,
     status,
@@ -237,6 +238,34 @@ def cascade_delete(i: Inputs) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@_register
+def delete_closure(i: Inputs) -> DataFrame:
+    """Customers asked to go with those they referred, their orders and lines, unless a claim holds one of the orders."""
+    key = F.col("c_custkey")
+    orders, lines = i.table("orders"), i.table("lineitem")
+    tables = {
+        "customer": i.table("customer").select(key, F.when(key % 5 != 1, F.floor(key / 8)).alias("referrer")),
+        "orders": orders.select("o_orderkey", "o_custkey"),
+        "lineitem": lines.select("l_orderkey", "l_linenumber"),
+        "claims": lines.filter("l_returnflag = 'R' AND l_quantity >= 49").select("l_orderkey"),
+    }
+    references = [
+        key_graph.Reference("customer", "referrer", "customer", "c_custkey"),
+        key_graph.Reference("orders", "o_custkey", "customer", "c_custkey"),
+        key_graph.Reference("lineitem", "l_orderkey", "orders", "o_orderkey"),
+        key_graph.Reference("claims", "l_orderkey", "orders", "o_orderkey", restrict=True),
+    ]
+    asked = {"customer": ("c_custkey", i.table("customer").filter("c_acctbal < 0"))}
+    done = key_graph.delete_rows(tables, references, asked)
+    outcome = F.when(F.col("blocked"), "blocked").otherwise("deleted").alias("outcome")
+    parts = [done.verdicts.select("table", "key", F.lit(0).alias("line"), outcome)]
+    for name, own, line in (("customer", "c_custkey", "0"), ("orders", "o_orderkey", "0"), ("lineitem", "l_orderkey", "l_linenumber")):
+        number = F.expr(f"CAST({line} AS INT)").alias("line")
+        rest = done.left[name].select(F.lit(name).alias("table"), F.col(own).cast("string").alias("key"), number, F.lit("left").alias("outcome"))
+        parts.append(rest)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @_register
 def restrict_delete(i: Inputs) -> DataFrame:
     asked = i.table("customer").filter("c_acctbal < 0").select("c_custkey", "c_name")

@@ -280,6 +280,16 @@ _SQL: dict[str, str] = {
     " FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) UNION ALL"
     " SELECT count(*), CAST(sum(l_orderkey) AS BIGINT), 'lineitem' FROM lineitem WHERE l_orderkey NOT IN"
     " (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0)",
+    "delete_closure": "down(top, k) AS (SELECT c_custkey, c_custkey FROM customer WHERE c_acctbal < 0 UNION SELECT top,"
+    " c_custkey FROM down JOIN customer ON c_custkey % 5 <> 1 AND c_custkey // 8 = k), blocked AS (SELECT DISTINCT top FROM"
+    " down JOIN orders ON o_custkey = k JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 49),"
+    " gone AS (SELECT DISTINCT k FROM down WHERE top NOT IN (SELECT top FROM blocked)), gone_orders AS (SELECT o_orderkey"
+    " FROM orders WHERE o_custkey IN (SELECT k FROM gone)) SELECT 'customer' AS \"table\", CAST(c_custkey AS VARCHAR) AS key, 0"
+    " AS line, CASE WHEN c_custkey IN (SELECT top FROM blocked) THEN 'blocked' ELSE 'deleted' END AS outcome FROM customer"
+    " WHERE c_acctbal < 0 UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), 0, 'left' FROM customer WHERE c_custkey"
+    " NOT IN (SELECT k FROM gone) UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 0, 'left' FROM orders WHERE"
+    " o_orderkey NOT IN (SELECT o_orderkey FROM gone_orders) UNION ALL SELECT 'lineitem', CAST(l_orderkey AS VARCHAR),"
+    " CAST(l_linenumber AS INTEGER), 'left' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone_orders)",
     "restrict_delete": "SELECT c_custkey, c_name, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
     " AS blocked FROM customer WHERE c_acctbal < 0",
     "insert_ignore": "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderpriority = '1-URGENT' THEN 'NEW'"
