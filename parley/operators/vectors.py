@@ -129,7 +129,7 @@ def knn_exact(chunks: DataFrame, docs: DataFrame, query: Sequence[float], owner,
 # ---- many queries -------------------------------------------------------------------------------
 
 
-def _units(column: pa.ChunkedArray) -> np.ndarray:
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     m = flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(flat), -1)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -153,6 +153,20 @@ def _nearest(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return best, np.take_along_axis(sims, best, axis=1)
 
 
+def shared_blocks(queries: pa.Table, chunks: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the queries and of the chunks of each block that one cell has of both."""
+    names = pa.chunked_array([*queries["_b"].chunks, *chunks["_b"].chunks])
+    codes = names.combine_chunks().dictionary_encode().indices.to_numpy()
+    q_codes, c_codes = codes[: queries.num_rows], codes[queries.num_rows :]
+    q_order, c_order = (np.argsort(x, kind="stable") for x in (q_codes, c_codes))
+    q_sorted, c_sorted = q_codes[q_order], c_codes[c_order]
+    for code in np.intersect1d(q_sorted, c_sorted):
+        yield tuple(
+            order[slice(*np.searchsorted(held, [code, code + 1]))]
+            for order, held in ((q_order, q_sorted), (c_order, c_sorted))
+        )
+
+
 def _cell_topk(k: int, schema: pa.Schema, decode: Callable | None = None, at_once: int = 256):
     """Best k chunks per query for one cell, which may hold several blocks; ``decode`` gives the chunks' unit vectors."""
 
@@ -160,15 +174,8 @@ def _cell_topk(k: int, schema: pa.Schema, decode: Callable | None = None, at_onc
         found_q, found_c, found_s = [], [], []
         if queries.num_rows and chunks.num_rows:
             chunks = chunks.sort_by("id")
-            names = pa.chunked_array([*queries["_b"].chunks, *chunks["_b"].chunks])
-            codes = names.combine_chunks().dictionary_encode().indices.to_numpy()
-            q_codes, c_codes = codes[: queries.num_rows], codes[queries.num_rows :]
-            q_order, c_order = (np.argsort(x, kind="stable") for x in (q_codes, c_codes))
-            q_sorted, c_sorted = q_codes[q_order], c_codes[c_order]
-            q, c = _units(queries["_v"]), (decode or _units)(chunks["_v"])
-            for code in np.intersect1d(q_sorted, c_sorted):
-                mine = q_order[slice(*np.searchsorted(q_sorted, [code, code + 1]))]
-                theirs = c_order[slice(*np.searchsorted(c_sorted, [code, code + 1]))]
+            q, c = unit_rows(queries["_v"]), (decode or unit_rows)(chunks["_v"])
+            for mine, theirs in shared_blocks(queries, chunks):
                 block, take = c[theirs], min(k, len(theirs))
                 for lo in range(0, len(mine), at_once):
                     part = mine[lo : lo + at_once]
@@ -208,9 +215,13 @@ def block_topk(
     q_rows: int,
     c_rows: int,
     decode: Callable | None = None,
+    cell: Callable | None = None,
+    counted: Sequence[str] = (),
 ) -> DataFrame:
     """(query_id, id, similarity): top k per query and cell. Inputs hold ``block`` columns and ``_v``.
 
+    ``cell(k, schema)`` may give another search of a cell, which adds the numbers named in ``counted``.
+
     Small blocks share a group, so that many small owners do not mean as many calls into Python; a large
     block is cut into a grid of cells, each query part meeting each chunk part once. The sizes only shape
     the groups. The broadcast sides are bounded, see ``_parts``.
@@ -240,9 +251,16 @@ def block_topk(
     left = cells(queries, "_q", "_c", "_qn", "_cn", "query_id").groupBy(*grid)
     right = cells(chunks, "_c", "_q", "_cn", "_qn", "id").groupBy(*grid)
     out = T.StructType(
-        [queries.schema["query_id"], chunks.schema["id"], T.StructField("similarity", T.DoubleType())]
+        [
+            queries.schema["query_id"],
+            chunks.schema["id"],
+            T.StructField("similarity", T.DoubleType()),
+            *[T.StructField(name, T.LongType()) for name in counted],
+        ]
     )
-    return left.cogroup(right).applyInArrow(_cell_topk(k, to_arrow_schema(out), decode), out)
+    schema = to_arrow_schema(out)
+    run = cell(k, schema) if cell else _cell_topk(k, schema, decode)
+    return left.cogroup(right).applyInArrow(run, out)
 
 
 def usable(df: DataFrame, dims: int, *cols: str) -> DataFrame:

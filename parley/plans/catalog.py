@@ -23,6 +23,7 @@ from parley.operators import (
     tools,
     validate,
     vector_index,
+    vector_prune,
     vectors,
 )
 from parley.plans.views import DIMS, Inputs
@@ -498,6 +499,14 @@ def knn_join(i: Inputs) -> DataFrame:
     return vectors.knn_join(asked, owned, DIMS).withColumn("similarity", F.round("similarity", 6))
 
 
+@_register
+def knn_pruned(i: Inputs) -> DataFrame:
+    """Every document asks for its neighbours among all documents of its owner."""
+    owned = access.chunk_owner(i.chunks, i.owners)
+    found = vector_prune.knn_pruned(owned.withColumnRenamed("id", "query_id"), owned, DIMS, lists=256)
+    return found.hits.withColumn("similarity", F.round("similarity", 6))
+
+
 @_register
 def knn_approx(i: Inputs) -> DataFrame:
     asked, owned = _searches(i)

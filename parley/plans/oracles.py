@@ -385,6 +385,7 @@ _SQL: dict[str, str] = {
     " (ORDER BY s DESC, id) AS INTEGER) AS rank FROM (SELECT id, doc_id, chunk_text, list_cosine_similarity("
     f"embedding, CAST({_Q} AS DOUBLE[])) AS s FROM v_embedded WHERE owner = {OWNER}) ORDER BY s DESC, id LIMIT 5",
     "knn_join": "SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM v_ranked",
+    "knn_pruned": "SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM v_chunk_ranked",
     "search_report": "r AS (SELECT query_id, string_agg(concat('Result ', CAST(rank AS VARCHAR), ' (Similarity: ',"
     " printf('%.4f', similarity), '):', chr(10), chunk_text), chr(10) || chr(10) ORDER BY rank) AS report"
     " FROM v_chunk_ranked GROUP BY query_id)"
