@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,13 +24,17 @@ from parley.operators.ordered import micros
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLOT_US = 60_000_000
+COLUMNS = ("us", "id", "kind")
+#: Kinds of rows for ``Waits``; a row may be both.
+REQUEST, RESPONSE = 1, 2
 
 
 class InOrder(StatefulProcessor):
-    """Feeds the rows (us, id) of a key to ``step(state, us, id) -> (state, row)`` in order of (us, id).
+    """Feeds the rows (us, id, kind) of a key to ``step(state, us, id, kind) -> (state, row)`` in order of (us, id).
 
-    ``state`` is a tuple of whole numbers, None at first. Subclasses give ``step``, the number of state fields and how long
-    a state matters.
+    ``state`` is a tuple of whole numbers, None at first and where nothing is kept; ``row`` is None where a row has no
+    result. ``kind`` is a whole number that only some rules look at. Subclasses give ``step``, the number of state fields
+    and how long a state matters.
     """
 
     fields = 1
@@ -39,7 +43,7 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         numbers = T.StructType([T.StructField(f"s{i}", T.LongType()) for i in range(self.fields)])
         slot = T.StructType([T.StructField("slot", T.LongType())])
-        rows = T.StructType([T.StructField("us", T.ArrayType(T.LongType())), T.StructField("id", T.ArrayType(T.LongType()))])
+        rows = T.StructType([T.StructField(name, T.ArrayType(T.LongType())) for name in COLUMNS])
         self.held = handle.getValueState("held", numbers)
         self.waiting = handle.getMapState("waiting", slot, rows)
         self.timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
@@ -48,8 +52,8 @@ class InOrder(StatefulProcessor):
         for pdf in rows:
             for slot, part in pdf.groupby(pdf["us"] // SLOT_US, sort=False):
                 at = (int(slot),)
-                us, ids = self.waiting.getValue(at) if self.waiting.containsKey(at) else ((), ())
-                self.waiting.updateValue(at, ([*us, *part["us"].tolist()], [*ids, *part["id"].tolist()]))
+                held = self.waiting.getValue(at) if self.waiting.containsKey(at) else ((),) * len(COLUMNS)
+                self.waiting.updateValue(at, tuple([*old, *part[name].tolist()] for name, old in zip(COLUMNS, held)))
         yield from self.drain(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -67,14 +71,18 @@ class InOrder(StatefulProcessor):
         for slot in slots:
             if (slot + 1) * SLOT_US > passed:
                 break
-            us, ids = self.waiting.getValue((slot,))
+            waiting = self.waiting.getValue((slot,))
             self.waiting.removeKey((slot,))
             state = tuple(self.held.get()) if self.held.exists() else None
             out = []
-            for at, row in sorted(zip(us, ids)):
-                state, result = self.step(state, at, row)
-                out.append((*key, row, at, *result))
-            self.held.update(state)
+            for at, row, kind in sorted(zip(*waiting)):
+                state, result = self.step(state, at, row, kind)
+                if result is not None:
+                    out.append((*key, row, at, *result))
+            if state is None:
+                self.held.clear()
+            else:
+                self.held.update(state)
             yield pd.DataFrame(out, columns=self.columns)
         left = [s for s in slots if (s + 1) * SLOT_US > passed]
         if left:
@@ -106,7 +114,7 @@ class Bucket(InOrder):
     def __init__(self, cap: int, cost: int, columns: list[str]):
         self.cap, self.cost, self.columns = cap, cost, columns
 
-    def step(self, state, us, _):
+    def step(self, state, us, *_):
         level, last = state or (self.cap, us)
         level = min(self.cap, level + us - last)
         admitted = level >= self.cost
@@ -124,7 +132,7 @@ class Windows(InOrder):
     def __init__(self, ttl: int, columns: list[str]):
         self.ttl, self.columns = ttl, columns
 
-    def step(self, state, us, _):
+    def step(self, state, us, *_):
         anchor = state[0] if state and us < state[0] + self.ttl else us
         return (anchor,), (anchor,)
 
@@ -132,6 +140,27 @@ class Windows(InOrder):
         return state[0] + self.ttl
 
 
+class Waits(InOrder):
+    """The state is the time of the earliest request without a response."""
+
+    fields = 1
+
+    def __init__(self, longest: int, columns: list[str]):
+        self.longest, self.columns = longest, columns
+
+    def step(self, state, us, _, kind):
+        if state and us - state[0] > self.longest:
+            state = None
+        if kind & REQUEST and state is None:
+            state = (us,)
+        if not kind & RESPONSE:
+            return state, None
+        return None, ((us - state[0],) if state else None)
+
+    def until(self, state) -> int:
+        return state[0] + self.longest
+
+
 def _run(rows: DataFrame, key: str, delay: str, processor, added: str, initial: DataFrame | None) -> DataFrame:
     out = T.StructType([rows.schema[key], *T.StructType.fromDDL(f"id bigint, us bigint, {added}").fields])
     grouped = rows.withWatermark("ts", delay).groupBy(key)
@@ -148,7 +177,7 @@ def token_bucket_timed(
     left in microseconds and the time it was left at. Rows without a user or a time are left out.
     """
     cost = refill_s * 1_000_000
-    rows = requests.select("user_id", "id", "ts", micros(requests, "ts").alias("us"))
+    rows = requests.select("user_id", "id", "ts", micros(requests, "ts").alias("us"), F.lit(0).alias("kind"))
     rows = rows.filter("user_id IS NOT NULL AND us IS NOT NULL")
     processor = Bucket(capacity * cost, cost, ["user_id", "id", "us", "admitted", "credit_us"])
     return _run(rows, "user_id", delay, processor, "admitted boolean, credit_us bigint", initial)
@@ -161,7 +190,32 @@ def ttl_windows_timed(
 
     ``initial`` hands over open windows: (key, s0) with the time each began. Rows without a key or a time are left out.
     """
-    rows = log.select(key, F.col(id).alias("id"), F.col(ts).alias("ts"), micros(log, ts).alias("us"))
+    rows = log.select(key, F.col(id).alias("id"), F.col(ts).alias("ts"), micros(log, ts).alias("us"), F.lit(0).alias("kind"))
     rows = rows.filter(F.col(key).isNotNull() & F.col("us").isNotNull())
     processor = Windows(ttl_s * 1_000_000, [key, "id", "us", "anchor_us"])
     return _run(rows, key, delay, processor, "anchor_us bigint", initial)
+
+
+def response_latency_timed(
+    log: DataFrame,
+    key: str,
+    ts: str,
+    seq: str,
+    request: Column,
+    response: Column,
+    longest_s: int = 86_400,
+    delay: str = "10 minutes",
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """(key, id, us, latency_us): each response ``id`` that ends a wait, as ``analytics.response_latency`` has them.
+
+    A wait begins with the first request after a response and ends with the next response, or without a row when
+    ``longest_s`` have passed, so that a request nobody answers keeps no state; a later request begins a new wait. A row
+    may be request and response; it ends its own wait. ``initial`` hands over open waits: (key, s0) with the time each
+    began. Rows without a key or a time, and rows that are neither, are left out.
+    """
+    kind = F.when(request, REQUEST).otherwise(0) + F.when(response, RESPONSE).otherwise(0)
+    rows = log.select(key, F.col(seq).alias("id"), F.col(ts).alias("ts"), micros(log, ts).alias("us"), kind.alias("kind"))
+    rows = rows.filter(F.col(key).isNotNull() & F.col("us").isNotNull() & (F.col("kind") > 0))
+    processor = Waits(longest_s * 1_000_000, [key, "id", "us", "latency_us"])
+    return _run(rows, key, delay, processor, "latency_us bigint", initial)

@@ -8,7 +8,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
-from parley.operators import limits
+from parley.operators import analytics, limits
 from parley.streaming import timed
 
 SCHEMA = "id long, user_id long, ts timestamp"
@@ -88,3 +88,36 @@ def test_buckets_are_handed_over_from_a_batch(spark, store, tmp_path):
     got = _drive(spark, tmp_path, lambda s: timed.token_bucket_timed(s, 3, 200, initial=initial), late)
     cols = ["id", "user_id", "admitted", "credit_us"]
     assert rows(got.select(cols)) == rows(whole.filter("id >= 120").select(cols))
+
+
+def _asks_and_answers():
+    return F.col("id") % 5 != 0, F.col("id") % 5 < 2
+
+
+def _latencies(spark, tmp_path, data, **options):
+    build = lambda s: timed.response_latency_timed(s, "user_id", "ts", "id", *_asks_and_answers(), **options)
+    return rows(_drive(spark, tmp_path, build, data).selectExpr("user_id", "id", "latency_us / 1e6"))
+
+
+def test_response_latency_equals_the_batch(spark, store, tmp_path):
+    """Requests, responses and rows that are both, in files that arrive out of order; equal times go by number."""
+    data = _requests(seed=8) + [(1000 + i, 1, START + dt.timedelta(seconds=70)) for i in range(10)]
+    batch = analytics.response_latency(spark.createDataFrame(data, SCHEMA), "user_id", "ts", "id", *_asks_and_answers())
+    want = rows(batch.select("user_id", "response_seq", "latency_s"))
+    assert want and _latencies(spark, tmp_path, data) == want
+
+
+def test_a_wait_ends_without_a_row_when_it_lasts_too_long(spark, store, tmp_path):
+    data = _requests(seed=9)
+    want, began = [], {}
+    for i, user, ts in sorted(data, key=lambda r: (r[2], r[0])):
+        if user in began and (ts - began[user]).total_seconds() > 40:
+            del began[user]
+        if i % 5 != 0:
+            began.setdefault(user, ts)
+        if i % 5 < 2 and user in began:
+            want.append((user, i, (ts - began.pop(user)).total_seconds()))
+    got = _latencies(spark, tmp_path, data, longest_s=40)
+    assert got == sorted(want, key=lambda r: tuple(map(str, r)))
+    whole = analytics.response_latency(spark.createDataFrame(data, SCHEMA), "user_id", "ts", "id", *_asks_and_answers())
+    assert len(got) < whole.count()
