@@ -2,10 +2,11 @@
 
 Chunks of an owner fall into cells, one per centroid of a bounded sample. A cell knows the smallest and the largest angle
 between its centroid and its chunks, so by the triangle inequality it tells how close to a query any of them can be.
-Every query first searches its nearest cells that hold ``k`` chunks together; what it finds there is a floor for its
-neighbours. It then visits only cells that can reach the floor. In a visited cell, products along the sample's principal
-axes and the lengths of what these axes leave over (Cauchy-Schwarz) bound each similarity; whole vectors are compared
-only where the bound reaches the floor. Centroids and axes shape the work, never the result.
+Cells are gathered into parts of about ``c_rows`` chunks, neighbouring cells together. Where an owner has several parts,
+a query first searches its nearest cells that hold ``k`` chunks together; what it finds there is a floor for its
+neighbours, and it goes only to the parts with a cell that can reach the floor, once to each. There, products along the sample's principal axes and
+the lengths of what these axes leave over (Cauchy-Schwarz) bound each similarity; whole vectors are compared only where
+the bound reaches the floor, which the chunks with the highest bounds raise first. Centroids and axes shape the work, never the result.
 
 How much is left out depends on the data: much of texts, nothing of vectors that point evenly in all directions.
 """
@@ -20,7 +21,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.constants import TOP_K
@@ -31,7 +32,7 @@ from parley.session import shared_dir
 
 #: Room for rounding: of angles and bounds, and of similarities, which are ranked at 9 decimals.
 ANGLE_ROOM, FLOOR_ROOM = 1e-6, 1e-8
-CELL = ["owner", "list"]
+CELL, PART = ["owner", "list"], ["owner", "part"]
 WORK = ["possible", "bounded", "compared"]
 
 
@@ -39,7 +40,8 @@ WORK = ["possible", "bounded", "compared"]
 class Pruned:
     """``hits`` as ``knn_join`` has them, and ``work``: one row of pair counts.
 
-    ``possible`` are all pairs of an owner, ``bounded`` those bounded along the axes, ``compared`` those compared whole.
+    ``possible`` are all pairs of an owner, ``bounded`` those bounded along the axes, ``compared`` those compared whole,
+    those of the first search included.
     """
 
     hits: DataFrame
@@ -69,11 +71,11 @@ def _place(centroids: np.ndarray):
 
 
 def _first(centroids: np.ndarray, k: int):
-    """The cells nearest to a query, as many as hold ``k`` chunks together."""
+    """The cells nearest to a query, as many as hold ``k`` chunks together; none for an owner of one part."""
 
     @F.pandas_udf("array<int>")
-    def run(v: pd.Series, sizes: pd.Series) -> pd.Series:
-        held = _dense(sizes)
+    def run(v: pd.Series, sizes: pd.Series, part: pd.Series) -> pd.Series:
+        held = np.where(_dense(part).max(axis=1, keepdims=True) > 0, _dense(sizes), 0)
         order = np.argsort(np.where(held > 0, _angles(v, centroids), np.inf), axis=1, kind="stable")
         ordered = np.take_along_axis(held, order, axis=1)
         wanted = (ordered > 0) & (ordered.cumsum(axis=1) - ordered < k)
@@ -82,17 +84,15 @@ def _first(centroids: np.ndarray, k: int):
     return run
 
 
-def _others(centroids: np.ndarray):
-    """Further cells in which a chunk could reach the floor."""
+def _reachable(centroids: np.ndarray):
+    """Parts with a cell in which a chunk could reach the floor."""
 
     @F.pandas_udf("array<int>")
-    def run(v: pd.Series, low: pd.Series, high: pd.Series, first: pd.Series, floor: pd.Series) -> pd.Series:
+    def run(v: pd.Series, low: pd.Series, high: pd.Series, part: pd.Series, floor: pd.Series) -> pd.Series:
         angles, lowest, highest = _angles(v, centroids), _dense(low), _dense(high)
         gap = np.maximum(np.maximum(angles - highest, lowest - angles) - ANGLE_ROOM, 0)
         open_ = (highest >= 0) & (np.cos(gap) >= floor.to_numpy()[:, None] - FLOOR_ROOM)
-        for row, done in zip(open_, first):
-            row[done] = False
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in open_])
+        return pd.Series([np.unique(parts[row]).astype("int32") for row, parts in zip(open_, _dense(part))])
 
     return run
 
@@ -125,10 +125,16 @@ def _search_above(axes: np.ndarray, at_once: int = 64) -> Callable:
                         bounds = q_along[part] @ block_along.T
                         bounds += np.outer(q_rest[part], block_rest)
                         for row, bound in zip(part, bounds):
-                            near = np.flatnonzero(bound >= floors[row] - ANGLE_ROOM)
+                            floor = floors[row]
+                            if len(bound) > 2 * k:
+                                # The most promising chunks raise the floor for all others.
+                                top = np.argpartition(bound, -2 * k)[-2 * k :]
+                                floor = max(floor, np.partition(block[top] @ q[row], -k)[-k])
+                                compared += int((bound[top] < floor - ANGLE_ROOM).sum())
+                            near = np.flatnonzero(bound >= floor - ANGLE_ROOM)
                             compared += len(near)
                             sims = block[near] @ q[row]
-                            kept = np.flatnonzero(sims >= floors[row] - FLOOR_ROOM)
+                            kept = np.flatnonzero(sims >= floor - FLOOR_ROOM)
                             kept = kept[np.argsort(-sims[kept].round(9), kind="stable")][:k]
                             found_q.append(np.repeat(row, len(kept)))
                             found_c.append(theirs[near[kept]])
@@ -183,7 +189,7 @@ def knn_pruned(
     Inputs are ``(query_id, owner, embedding)`` and ``(id, owner, embedding)``; rows without an owner and vectors of
     another length or of length zero are left out. ``lists`` bounds the cells of an owner, ``axes`` (a quarter of the
     dimensions) the axes of the bounds, ``train_rows`` the sample. Placed rows and first hits are written once to the
-    shared folder, so that both passes see the same rows.
+    shared folder, so that both searches see the same rows.
     """
     spark = chunks.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/knn-{uuid.uuid4().hex}"
@@ -197,50 +203,49 @@ def knn_pruned(
     if not len(sample):
         sample = np.eye(dims)
     units = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    centroids = means(units, lists, np.random.default_rng(seed), unit=True)
     # Eigenvectors of the small matrix of products, the largest first.
     main = np.linalg.eigh(units.T @ units)[1][:, ::-1].T[: axes or max(1, dims // 4)]
+    centroids = means(units, lists, np.random.default_rng(seed), unit=True)
+    # Along the second axis, as the first is about the mean: lists with close numbers lie close together.
+    centroids = centroids[np.argsort(centroids @ main[min(1, len(main) - 1)], kind="stable")]
 
     placed = good.select("id", "owner", "_v", _place(centroids)("_v").alias("_p"))
     c = staged(placed.select("id", "owner", "_v", "_p.list", "_p.angle"), "chunks")
     cells = c.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-    # At most one entry per list and owner.
-    entries = F.collect_list(F.struct("list", "n", "low", "high"))
-    shapes = cells.groupBy("owner").agg(entries.alias("_e")).select(
-        "owner",
-        _by_list(F.col("_e"), lists, "n", 0.0).alias("_sizes"),
-        _by_list(F.col("_e"), lists, "low", 0.0).alias("_low"),
-        _by_list(F.col("_e"), lists, "high", -1.0).alias("_high"),
-    )
-    asked = usable(queries, dims, "query_id", "owner").join(shapes, "owner")
-    nearby = _first(centroids, k)("_v", "_sizes").alias("_first")
+    # At most one row per list and owner meets in this window and in this list.
+    before = Window.partitionBy("owner").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / c_rows).cast("int")
+    parted = staged(cells.withColumn("part", number), "cells")
+    shapes = parted.groupBy("owner").agg(F.collect_list(F.struct("list", "n", "low", "high", "part")).alias("_e"))
+    missing = {"n": 0.0, "low": 0.0, "high": -1.0, "part": -1.0}
+    shapes = shapes.select("owner", *[_by_list(F.col("_e"), lists, f, x).alias(f"_{f}") for f, x in missing.items()])
+    nearby = _first(centroids, k)("_v", "_n", "_part").alias("_first")
+    asked = usable(queries, dims, "query_id", "owner").join(shapes.select("owner", "_n", "_part"), "owner")
     q = staged(asked.select("query_id", "owner", "_v", nearby), "queries")
-    c_sizes = block_sizes(c, CELL)
 
     near = q.select("query_id", "owner", "_v", F.explode("_first").alias("list"))
-    near_sizes = block_sizes(near, CELL)
-    first = staged(block_topk(near, c, near_sizes, c_sizes, CELL, k, q_rows, c_rows), "first")
-
-    # Every row has a query's k-th similarity or, with fewer hits, no floor.
-    best = final_rank(first, k).groupBy("query_id").agg(
+    near_sizes, c_sizes = block_sizes(near, CELL), parted.select(*CELL, F.col("n").alias("_n"))
+    first = block_topk(near, c, near_sizes, c_sizes, CELL, k, q_rows, c_rows)
+    # Without k hits there is no floor.
+    floors = final_rank(first, k).groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("similarity")).otherwise(F.lit(-2.0)).alias("_floor")
     )
-    aimed = null_safe_join(q, best, ["query_id"], "inner").join(shapes.drop("_sizes"), "owner")
-    further = _others(centroids)("_v", "_low", "_high", "_first", "_floor")
+    aimed = null_safe_join(q, floors, ["query_id"], "left").fillna(-2.0, ["_floor"]).join(shapes, "owner")
+    reached = _reachable(centroids)("_v", "_low", "_high", "_part", "_floor")
     vector = F.concat(F.col("_v").cast("array<double>"), F.array("_floor")).alias("_v")
-    far = staged(aimed.select("query_id", "owner", vector, F.explode(further).alias("list")), "further")
-    far_sizes = block_sizes(far, CELL)
+    far = staged(aimed.select("query_id", "owner", vector, F.explode(reached).alias("part")), "aimed")
+    dealt = c.join(parted.select(*CELL, "part"), CELL).select("id", "owner", "part", "_v")
+    far_sizes, part_sizes = block_sizes(far, PART), parted.groupBy(*PART).agg(F.sum("n").alias("_n"))
     found = block_topk(
-        far, c, far_sizes, c_sizes, CELL, k, q_rows, c_rows, cell=_search_above(main), counted=["compared"]
+        far, dealt, far_sizes, part_sizes, PART, k, q_rows, c_rows, cell=_search_above(main), counted=["compared"]
     )
-    rest = staged(found, "rest")
-
-    hits = first.unionByName(rest.filter("similarity IS NOT NULL").drop("compared"))
+    found = staged(found, "hits")
     counts = [
         _pairs(block_sizes(q, ["owner"]), block_sizes(c, ["owner"]), ["owner"], possible=1),
         _pairs(near_sizes, c_sizes, CELL, compared=1),
-        _pairs(far_sizes, c_sizes, CELL, bounded=1),
-        rest.select(F.lit(0).alias("possible"), F.lit(0).alias("bounded"), "compared"),
+        _pairs(far_sizes, part_sizes, PART, bounded=1),
+        found.select(F.lit(0).alias("possible"), F.lit(0).alias("bounded"), "compared"),
     ]
     work = reduce(DataFrame.unionByName, counts).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in WORK])
+    hits = found.filter("similarity IS NOT NULL").drop("compared")
     return Pruned(final_rank(hits, k), work)

@@ -503,7 +503,7 @@ def knn_join(i: Inputs) -> DataFrame:
 def knn_pruned(i: Inputs) -> DataFrame:
     """Every document asks for its neighbours among all documents of its owner."""
     owned = access.chunk_owner(i.chunks, i.owners)
-    found = vector_prune.knn_pruned(owned.withColumnRenamed("id", "query_id"), owned, DIMS, lists=256)
+    found = vector_prune.knn_pruned(owned.withColumnRenamed("id", "query_id"), owned, DIMS)
     return found.hits.withColumn("similarity", F.round("similarity", 6))
 
 
