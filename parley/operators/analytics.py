@@ -82,7 +82,11 @@ def top_topics(logs: DataFrame, k: int = 2) -> DataFrame:
 
 def user_analytics(logs: DataFrame, k: int = 2) -> DataFrame:
     """The whole per-user table: total, top topics and time of the last interaction."""
-    counts = topic_counts(logs)
+    return analytics_of(topic_counts(logs), k)
+
+
+def analytics_of(counts: DataFrame, k: int = 2) -> DataFrame:
+    """The per-user table from ``topic_counts``."""
     totals = counts.groupBy("user_id").agg(
         F.sum("n").alias("total_interactions"), F.max("last_at").alias("last_updated_at")
     )

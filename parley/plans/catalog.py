@@ -17,6 +17,7 @@ from parley.operators import (
     integrity,
     key_graph,
     limits,
+    maintained,
     series,
     status,
     text,
@@ -79,6 +80,18 @@ def user_analytics(i: Inputs) -> DataFrame:
     return analytics.user_analytics(i.chat_logs, 2)
 
 
+@_register
+def maintained_analytics(i: Inputs) -> DataFrame:
+    """All logs in two batches; the second takes back topics that the first had wrong."""
+    path = f"{shared_dir(i.spark)}/maintained-{uuid.uuid4().hex}"
+    logs = i.chat_logs
+    right, wrong = logs.filter("id % 2 = 1"), logs.filter("id % 2 = 0")
+    mistaken = wrong.withColumn("topic", F.lit("unknown"))
+    maintained.apply_batch(maintained.changes(right.unionByName(mistaken)), 0, path)
+    maintained.apply_batch(maintained.changes(wrong, mistaken), 1, path)
+    return maintained.current(i.spark, path)
+
+
 @_register
 def interaction_gaps(i: Inputs) -> DataFrame:
     return analytics.interaction_gaps(i.chat_logs, 3600).withColumn("duration_s", F.round("duration_s", 6))

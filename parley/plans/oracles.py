@@ -222,6 +222,7 @@ _SQL: dict[str, str] = {
     " count(id) AS total_interactions FROM v_logs GROUP BY user_id",
     "top_topics": "SELECT * FROM v_top",
     "user_analytics": "SELECT * FROM v_analytics",
+    "maintained_analytics": "SELECT * FROM v_analytics",
     "interaction_gaps": "SELECT id, user_id, created_at, round(CASE WHEN nxt IS NOT NULL THEN"
     " least((epoch_us(nxt) - epoch_us(created_at)) / 1e6, 3600.0) END, 6) AS duration_s FROM (SELECT *,"
     " lead(created_at) OVER (PARTITION BY user_id ORDER BY created_at, id) AS nxt FROM v_logs)",
