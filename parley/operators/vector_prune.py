@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from parley.constants import TOP_K
 from parley.operators.ordered import null_safe_join
 from parley.operators.vector_index import TRAIN_ROWS, means, sample_vectors
-from parley.operators.vectors import block_sizes, block_topk, final_rank, shared_blocks, unit_rows, usable
+from parley.operators.vectors import AT_ONCE, block_sizes, block_topk, final_rank, shared_blocks, unit_rows, usable
 from parley.session import shared_dir
 
 #: Room for rounding: of angles and bounds, and of similarities, which are ranked at 9 decimals.
@@ -97,16 +97,18 @@ def _reachable(centroids: np.ndarray):
     return run
 
 
-def _search_above(axes: np.ndarray, at_once: int = 64) -> Callable:
+def _search_above(axes: np.ndarray) -> Callable:
     """Cells whose queries carry their floor as last number: bounds first, whole products where they reach it.
 
     A last row without a query holds the number of pairs compared.
     """
 
     def cell(k: int, schema: pa.Schema):
-        def parts(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def parts(units: np.ndarray) -> np.ndarray:
+            """What lies along the axes and the length of what they leave over: products of these bound products."""
             along = units @ axes.T
-            return along, np.sqrt(np.maximum(0, 1 - (along * along).sum(axis=1)))
+            rest = np.sqrt(np.maximum(0, 1 - (along * along).sum(axis=1, keepdims=True)))
+            return np.concatenate([along, rest], axis=1)
 
         def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
             found_q, found_c, found_s, compared = [], [], [], 0
@@ -117,21 +119,23 @@ def _search_above(axes: np.ndarray, at_once: int = 64) -> Callable:
                 q, floors = flat[:, :-1], flat[:, -1]
                 q = q / np.linalg.norm(q, axis=1, keepdims=True)
                 c = unit_rows(chunks["_v"])
-                (q_along, q_rest), (c_along, c_rest) = parts(q), parts(c)
+                q_parts, c_parts = parts(q), parts(c)
                 for mine, theirs in shared_blocks(queries, chunks):
-                    block, block_along, block_rest = c[theirs], c_along[theirs], c_rest[theirs]
+                    block, block_parts = c[theirs], c_parts[theirs]
+                    at_once = min(64, 1 + AT_ONCE // len(theirs))
                     for lo in range(0, len(mine), at_once):
                         part = mine[lo : lo + at_once]
-                        bounds = q_along[part] @ block_along.T
-                        bounds += np.outer(q_rest[part], block_rest)
+                        bounds = q_parts[part] @ block_parts.T
                         for row, bound in zip(part, bounds):
                             floor = floors[row]
-                            if len(bound) > 2 * k:
+                            near = np.flatnonzero(bound >= floor - ANGLE_ROOM)
+                            if len(near) > 2 * k:
                                 # The most promising chunks raise the floor for all others.
+                                bound = bound[near]
                                 top = np.argpartition(bound, -2 * k)[-2 * k :]
-                                floor = max(floor, np.partition(block[top] @ q[row], -k)[-k])
+                                floor = max(floor, np.partition(block[near[top]] @ q[row], -k)[-k])
                                 compared += int((bound[top] < floor - ANGLE_ROOM).sum())
-                            near = np.flatnonzero(bound >= floor - ANGLE_ROOM)
+                                near = near[bound >= floor - ANGLE_ROOM]
                             compared += len(near)
                             sims = block[near] @ q[row]
                             kept = np.flatnonzero(sims >= floor - FLOOR_ROOM)
@@ -187,8 +191,8 @@ def knn_pruned(
     """The rows of ``knn_join``: the ``k`` nearest chunks of the same owner for every query, exactly.
 
     Inputs are ``(query_id, owner, embedding)`` and ``(id, owner, embedding)``; rows without an owner and vectors of
-    another length or of length zero are left out. ``lists`` bounds the cells of an owner, ``axes`` (a quarter of the
-    dimensions) the axes of the bounds, ``train_rows`` the sample. Placed rows and first hits are written once to the
+    another length or of length zero are left out. ``lists`` bounds the cells of an owner, ``axes`` (three quarters
+    of the dimensions) the axes of the bounds, ``train_rows`` the sample. Placed rows and first hits are written once to the
     shared folder, so that both searches see the same rows.
     """
     spark = chunks.sparkSession
@@ -204,7 +208,7 @@ def knn_pruned(
         sample = np.eye(dims)
     units = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     # Eigenvectors of the small matrix of products, the largest first.
-    main = np.linalg.eigh(units.T @ units)[1][:, ::-1].T[: axes or max(1, dims // 4)]
+    main = np.linalg.eigh(units.T @ units)[1][:, ::-1].T[: axes or max(1, 3 * dims // 4)]
     centroids = means(units, lists, np.random.default_rng(seed), unit=True)
     # Along the second axis, as the first is about the mean: lists with close numbers lie close together.
     centroids = centroids[np.argsort(centroids @ main[min(1, len(main) - 1)], kind="stable")]

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from frames import plan, rows
 from hypothesis import given, settings
@@ -153,6 +154,54 @@ def test_embed_with_a_model(spark):
     assert got == {1: [3.0, 1.0], 2: [0.0, 1.0], 3: [1.0, 1.0]}
 
 
+def _sizes_of_cells(k, schema):
+    def run(queries, chunks):
+        columns = [[None], [None], [None], [queries.num_rows], [chunks.num_rows]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def _cells(spark, k, q_rows, c_rows, owners):
+    data = [(i, i % owners, [1.0, float(i)]) for i in range(400)]
+    q = spark.createDataFrame(data, "query_id long, owner long, _v array<float>")
+    c = spark.createDataFrame(data, "id long, owner long, _v array<float>")
+    sizes = vectors.block_sizes(q, ["owner"])
+    found = vectors.block_topk(
+        q, c, sizes, sizes, ["owner"], k, q_rows, c_rows, cell=_sizes_of_cells, counted=["queries", "chunks"]
+    )
+    return found.select("queries", "chunks", F.spark_partition_id().alias("task")).collect()
+
+
+def test_large_blocks_have_their_own_cells_in_many_tasks(spark):
+    cells = _cells(spark, 3, 150, 150, owners=2)
+    assert len(cells) == 2 * 2 * 2 and sum(r["queries"] * r["chunks"] for r in cells) == 2 * 200 * 200
+    assert max(r["queries"] for r in cells) < 150 and max(r["chunks"] for r in cells) < 150
+    # Their bytes are few, but their work is not gathered in one task.
+    assert len({r["task"] for r in cells}) >= 4
+
+
+def test_a_cell_holds_fewer_queries_where_more_neighbours_are_wanted(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HITS", 1000)
+    assert max(r["queries"] for r in _cells(spark, 20, 20_000, 50_000, owners=1)) < 100
+    assert max(r["queries"] for r in _cells(spark, 1, 20_000, 50_000, owners=1)) == 400
+
+
+def test_the_nearest_of_many_equal_and_odd_vectors():
+    rnd = np.random.RandomState(2)
+    for n, k in ((30, 5), (700, 5), (5000, 50)):
+        c = rnd.normal(size=(n, 6))
+        c[n // 2 :: 7] = c[3]
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+        q = np.concatenate([c[:20], c[-3:]])
+        best, sims = vectors._nearest(q, c, k)
+        expected = np.argsort(-(q @ c.T).round(9), axis=1, kind="stable")[:, :k]
+        assert (best == expected).all() and np.allclose(sims, np.take_along_axis(q @ c.T, expected, axis=1))
+        c[1] = np.nan
+        best, _ = vectors._nearest(q[4:8], c, k)
+        assert (best == np.argsort(-(q[4:8] @ c.T).round(9), axis=1, kind="stable")[:, :k]).all()
+
+
 def test_search_report(spark):
     hits = spark.createDataFrame(
         [(1, 2, 0.25, "second"), (1, 1, 0.98765, "first\nline")], "query_id int, rank int, similarity double, chunk_text string"
