@@ -217,6 +217,12 @@ def _parts(sizes: DataFrame, block: Sequence[str], rows: int, out: str) -> DataF
     return large.select(*block, F.ceil(F.col("_n") / rows).cast("int").alias(out))
 
 
+def _kept(sizes: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Sizes that are computed once, stored under names of their own."""
+    held = staged(sizes.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(block)], "_n"), "sizes")
+    return held.select(*[F.col(f"_k{i}").alias(b) for i, b in enumerate(block)], "_n")
+
+
 def block_topk(
     queries: DataFrame,
     chunks: DataFrame,
@@ -241,7 +247,7 @@ def block_topk(
     once. The broadcast sides are bounded, see ``_parts``.
     """
     q_rows = max(1, min(q_rows, HITS // k))
-    q_sizes, c_sizes = staged(q_sizes, "q-sizes"), staged(c_sizes, "c-sizes")
+    q_sizes, c_sizes = (_kept(sizes, block) for sizes in (q_sizes, c_sizes))
     q_parts = F.broadcast(_parts(q_sizes, block, q_rows, "_qn"))
     c_parts = F.broadcast(_parts(c_sizes, block, c_rows, "_cn"))
     slots = 0
