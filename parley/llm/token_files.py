@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ from parley.llm.words import encoder
 MAGIC = b"PTK1"
 #: Numbers after which a shard is closed; only a single longer document makes a larger one.
 SHARD_TOKENS = 1 << 20
-#: Rows that a task works on at a time.
+#: Rows that a task works on at a time, and bytes of text that it tokenises at a time (a longer text alone).
 STEP = 256
+TEXT_BYTES = 4 << 20
 END = np.zeros(1, dtype="<u4").tobytes()
 
 _TABLE = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u4"), ("data", "<u4")])
@@ -108,6 +110,16 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, STEP)
 
 
+def _text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of about ``TEXT_BYTES`` of the second column, so that many texts share the look-up of their words."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+    at = done = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, done + TEXT_BYTES, side="right")))
+        yield batch.slice(at, stop - at)
+        at, done = stop, ends[stop - 1]
+
+
 def _tokenise(path: str):
     names = ["doc_id", "crc", "ids", "counts"]
 
@@ -115,14 +127,14 @@ def _tokenise(path: str):
         words = encoder(path)
         total = np.zeros(words.vocabulary, dtype=np.int64)
         for batch in batches:
-            for part in _slices(batch):
-                ids = [words.encode(t) + END for t in part.column(1).to_pylist()]
-                crc, coded = pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())
+            for part in _text_slices(batch):
+                coded = words.encode_all(part.column(1), END)
+                crc = pa.array([zlib.crc32(x.as_buffer()) for x in coded], pa.int64())
                 found = np.bincount(_flat(coded)[0])
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), dtype=np.int64)])
                 total[: len(found)] += found
-                columns = [part.column(0), crc, coded, pa.nulls(len(ids), pa.binary())]
+                columns = [part.column(0), crc, coded, pa.nulls(len(coded), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         if total.any():
             token = np.flatnonzero(total)

@@ -5,7 +5,7 @@ not depend on its neighbours. Invented or natural prose repeats its words, so ea
 the library's model once per worker and the ids of a text are joined from the memo. The split is done here
 only for texts of Latin-1 characters without special tokens, where the letter, digit and space classes are the
 short lists below; every other text, and every other layout, goes through the library whole. The ids are the
-same in both ways.
+same in both ways. Many texts can share one split and one look-up of their distinct words (``encode_all``).
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ from struct import Struct, pack
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of one generation of a memo; a memo holds two, which bounds a worker's memory.
 WORDS, CHUNKS = 50_000, 600_000
 #: Longer words are not kept in the memo.
 KEPT_CHARS = 64
+#: Words of letters that a column's encoder remembers, and how many new ones go through the library at a time.
+LETTERS, BULK = 500_000, 2_000
 
 # The character classes of the layouts' patterns within Latin-1.
 SPACE = "\t-\r \x85\xa0"
@@ -94,6 +98,7 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -105,10 +110,19 @@ class WordEncoder:
         self._bytes = byte_alphabet()
         self._packs = [Struct(f"<{n}I").pack for n in range(17)]
         self._words = Memo(WORDS)
-        self._spaced = Memo(CHUNKS)
-        # Under the byte layout only uneven texts come here.
+        # Under the byte layout words of letters are remembered apart, and only uneven texts come to the second.
+        self._spaced = Memo(CHUNKS // 4)
         self._chunks = Memo(CHUNKS // 4 if self.layout == "byte" else CHUNKS)
         self._signs = {s: self._ids(s) for s in ".,"} if self.layout else {}
+        self._known, self._known_ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        if self.layout == "byte":
+            # The same model over lines, one word each; a word's first token, and no other, begins with the space.
+            self._lines = Tokenizer(self._model)
+            self._lines.pre_tokenizer = CharDelimiterSplit("\n")
+            self._line_bytes = {b: c for b, c in self._bytes.items() if b != ord("\n")}
+            vocabulary = self.tokenizer.get_vocab()
+            self._begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+            self._begins[[i for t, i in vocabulary.items() if t[:1] == "Ġ"]] = True
 
     def whole(self, text: str) -> bytes:
         """Ids by the library's own encode, as little-endian unsigned 32-bit integers."""
@@ -149,15 +163,21 @@ class WordEncoder:
             memo.put(key, found)
         return found
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers; NULL is the empty text."""
-        if not text:
-            return b""
+    def _by_words(self, text: str) -> bool:
+        """Whether the split into words is known for a text."""
         if self.layout is None or any(s in text for s in self.specials):
-            return self.whole(text)
+            return False
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
+            return False
+        return True
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers; NULL is the empty text."""
+        if not text:
+            return b""
+        if not self._by_words(text):
             return self.whole(text)
         if self.layout == "lower":
             return self._joined(self._chunks, text.lower().split(" "), "")
@@ -167,10 +187,14 @@ class WordEncoder:
         return self._chunk(self._chunks, first, "") + self._joined(self._spaced, rest, " ")
 
     def _joined(self, memo: Memo, parts: list[str], before: str) -> bytes:
+        return b"".join(self._each(memo, parts, before))
+
+    def _each(self, memo: Memo, parts: list[str], before: str) -> list[bytes]:
+        """Ids of each part."""
         get = memo.young.get
         ids = list(map(get, parts))
         if None not in ids:
-            return b"".join(ids)
+            return ids
         signs, whole = self._signs, self._chunk
         out = []
         for x, p in zip(ids, parts, strict=True):
@@ -180,7 +204,85 @@ class WordEncoder:
                 bare = get(p[:-1]) if sign is not None and p[-2:-1].isalpha() else None
                 x = whole(memo, p, before) if bare is None else bare + sign
             out.append(x)
-        return b"".join(out)
+        return out
+
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> pa.BinaryArray:
+        """As ``encode`` for each text, with ``end`` after its ids.
+
+        Under the byte layout even texts are split at their spaces as one column, so that each of its distinct words
+        is looked up once and the ids of all its words are put together by position.
+        """
+        held = texts.to_pylist()
+        if self.layout != "byte":
+            return pa.array([self.encode(t) + end for t in held], pa.binary())
+        alone, firsts, rests = {}, [], []
+        for row, text in enumerate(held):
+            if text and (not self._by_words(text) or _uneven(text)):
+                alone[row], text = self.encode(text), None
+            first = text.split(" ", 1)[0] if text else ""
+            firsts.append(first)
+            # The spaces at the two ends make places for the first word and for the end.
+            rests.append(f"{text[len(first) :]} " if text else " ")
+        own = [x if first else b"" for x, first in zip(self._each(self._chunks, firsts, ""), firsts, strict=True)]
+        for row, ids in alone.items():
+            own[row] = ids
+        words = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        del held, firsts, rests
+        bounds, coded = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        known, at = self._spaced_ids(coded.dictionary), coded.indices.to_numpy().copy()
+        at[bounds[:-1]] = len(known) + np.arange(len(own))
+        at[bounds[1:] - 1] = len(known) + len(own)
+        ids = pa.concat_arrays([known, pa.array([*own, end], pa.binary())]).take(pa.array(at))
+        offsets = np.frombuffer(ids.buffers()[1], "<i4")[bounds]
+        return pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), ids.buffers()[2]])
+
+    def _spaced_ids(self, parts: pa.StringArray) -> pa.BinaryArray:
+        """Ids of parts with a space before each; words of letters, also before one sign, are looked up as a column."""
+        bare = pc.utf8_rtrim(parts, ".,")
+        size = pc.binary_length(bare).to_numpy()
+        signs = pc.binary_length(parts).to_numpy() - size
+        letters = pc.utf8_is_alpha(bare).to_numpy(zero_copy_only=False) & (signs < 2) & (size <= KEPT_CHARS)
+        plain, others = np.flatnonzero(letters), np.flatnonzero(~letters)
+        named = bare.take(pa.array(plain)).dictionary_encode()
+        sign = np.where(signs == 0, 0, np.where(pc.ends_with(parts, ".").to_numpy(zero_copy_only=False), 1, 2))
+        found = pc.binary_join_element_wise(
+            self._letter_ids(named.dictionary).take(named.indices),
+            pa.array([b"", self._signs["."], self._signs[","]], pa.binary()).take(pa.array(sign[plain])),
+            pa.scalar(b"", pa.binary()),
+        )
+        rest = self._each(self._spaced, parts.take(pa.array(others)).to_pylist(), " ")
+        place = np.argsort(np.concatenate([plain, others]), kind="stable")
+        return pa.concat_arrays([found, pa.array(rest, pa.binary())]).take(pa.array(place))
+
+    def _letter_ids(self, words: pa.StringArray) -> pa.BinaryArray:
+        """Ids of distinct words of letters with a space before each. Of too many, those not in ``words`` are forgotten."""
+        at = pc.fill_null(pc.index_in(words, value_set=self._known), -1).to_numpy().copy()
+        new = at < 0
+        if new.any():
+            if len(self._known) + new.sum() > LETTERS:
+                kept = pa.array(at[~new])
+                self._known, self._known_ids = self._known.take(kept), self._known_ids.take(kept)
+                at[~new] = np.arange(len(kept))
+            at[new] = len(self._known) + np.arange(new.sum())
+            fresh = words.filter(pa.array(new))
+            coded = [self._bulk(fresh.slice(lo, BULK).to_pylist()) for lo in range(0, len(fresh), BULK)]
+            self._known = pa.concat_arrays([self._known, fresh])
+            self._known_ids = pa.concat_arrays([self._known_ids, *coded])
+        return self._known_ids.take(pa.array(at))
+
+    def _bulk(self, words: list[str]) -> pa.BinaryArray:
+        """Ids of words of letters with a space before each, by one call of the library's model."""
+        lines = " " + "\n ".join(words)
+        if lines.isascii():
+            lines = lines.replace(" ", "Ġ")
+        else:
+            lines = lines.encode("utf-8").decode("latin-1").translate(self._line_bytes)
+        ids = np.array(self._lines.encode_batch_fast([lines], add_special_tokens=False)[0].ids, dtype="<u4")
+        begins = np.flatnonzero(self._begins[ids])
+        if len(begins) != len(words):
+            return pa.array([self._ids(" " + w) for w in words], pa.binary())
+        offsets = np.append(begins, len(ids)).astype("<i4") * 4
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
 
 def encoder(path: str) -> WordEncoder:

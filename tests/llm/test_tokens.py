@@ -37,6 +37,57 @@ def test_memo_forgets_and_stays_right(monkeypatch, texts):
     assert len(encoder._words.young) <= 50
 
 
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("letters", [3, 1_000_000])
+def test_columns_and_whole_texts_give_the_same_ids(monkeypatch, name, letters, texts):
+    from parley.llm import words
+
+    monkeypatch.setattr(words, "LETTERS", letters)
+    monkeypatch.setattr(words, "BULK", 2)
+    encoder = WordEncoder(tokenizer(name))
+    rng = random.Random(5)
+    signs = [chr(i) for i in range(1, 256)] + list("  \n't's'll abcdeé.., ") * 40
+    mixed = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(1500)]
+    letter_words = [f"a {chr(i)} {chr(i)}b. {chr(i)}{chr(i)}, c.." for i in range(33, 256)]
+    fixed = [None, "", " ", ".", "a .", "a ..", "a b.", "a  b", "a <|endoftext|> b", "日本 語", "á é, ß.", "a " + "x" * 500 + "."]
+    rows = [*fixed, *mixed, *letter_words, *list(texts.values())[:30], *fixed]
+    column = pa.array(["before", *rows], pa.string())
+    for at in (0, 700, len(rows) - 5):
+        part = column.slice(1 + at, 900)
+        wanted = [encoder.whole(t or "") + b"end!" for t in rows[at : at + 900]]
+        assert encoder.encode_all(part, b"end!").to_pylist() == wanted
+    assert encoder.encode_all(column.slice(0, 0), b"end!").to_pylist() == []
+
+
+def test_letters_are_the_same_in_columns():
+    import pyarrow.compute as pc
+
+    signs = [chr(i) for i in range(256)]
+    assert pc.utf8_is_alpha(pa.array(signs)).to_pylist() == [s.isalpha() for s in signs]
+
+
+def test_tokenising_looks_up_a_repeated_word_once(monkeypatch):
+    """Texts of a batch share the look-up of their words; each was looked up where it stood before."""
+    asked = []
+    bulk = getattr(WordEncoder, "_bulk", None)
+    monkeypatch.setattr(WordEncoder, "_bulk", lambda self, words: asked.extend(words) or bulk(self, words), raising=False)
+    monkeypatch.setattr(WordEncoder, "encode", lambda self, text: pytest.fail("a text for itself"))
+    texts = ["so many words. Words, words and words"] * 300
+    batch = pa.record_batch([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(token_files, "encoder", WordEncoder)
+    first, *_ = token_files._tokenise(tokenizer(NAMES[0]))(iter([batch]))
+    assert sorted(asked) == ["Words", "and", "many", "words"]
+    assert set(first.column(2).to_pylist()) == {WordEncoder(tokenizer(NAMES[0])).whole(texts[0]) + token_files.END}
+
+
+def test_texts_are_cut_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "TEXT_BYTES", 10)
+    texts = ["x" * 4, None, "x" * 6, "x" * 30, "", "x" * 8, "x" * 3]
+    batch = pa.record_batch([pa.array(range(7), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    assert [p.column(0).to_pylist() for p in token_files._text_slices(batch)] == [[0, 1, 2], [3], [4, 5], [6]]
+    assert [p.column(0).to_pylist() for p in token_files._text_slices(batch.slice(3, 3))] == [[3], [4, 5]]
+
+
 def test_numbers_of_every_width_come_back():
     rng = np.random.default_rng(0)
     counts = np.array([0, 1, 3, 4, 5, 1000, 0, 2])
