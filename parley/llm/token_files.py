@@ -19,13 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.blocks import block_bounds, block_of, id_key
 from parley.llm.store import folder, own_columns, written
-from parley.llm.words import encoder
+from parley.llm.words import encoder, text_slices
 
 MAGIC = b"PTK1"
 #: Numbers after which a shard is closed; only a single longer document makes a larger one.
@@ -111,13 +110,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of about ``TEXT_BYTES`` of the second column, so that many texts share the look-up of their words."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
-    at = done = 0
-    while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, done + TEXT_BYTES, side="right")))
-        yield batch.slice(at, stop - at)
-        at, done = stop, ends[stop - 1]
+    return text_slices(batch, TEXT_BYTES)
 
 
 def _tokenise(path: str):

@@ -14,6 +14,7 @@ import json
 import os
 import re
 import sys
+from collections.abc import Iterator
 from struct import Struct, pack
 from types import ModuleType
 
@@ -72,6 +73,16 @@ def _uneven(text: str) -> bool:
     return any(c in text and (f" {c}" in text or f"{c} " in text) for c in _SPACES)
 
 
+def text_slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of about ``size`` bytes of the second column, so that many texts share the look-up of their words."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+    at = done = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at, done = stop, ends[stop - 1]
+
+
 class Memo:
     """A bounded table of what was computed before: entries not used for a whole generation go."""
 
